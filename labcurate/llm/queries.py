@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labcurate.llm import bpe, chat_format, url_filter
-from labcurate.llm.common import table
+from labcurate.llm import bpe, chat_format, hyperminhash, langid, toxicity, url_filter
+from labcurate.llm.common import held_out, table
 
 #: The rules of query op10.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -26,6 +26,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return df.select("doc_id", held_out(df.doc_id).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = toxicity.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return df.select("doc_id", held_out(df.doc_id).alias("held_out"), "score", "predicted")
+
+
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.train(spark))
 
@@ -33,6 +47,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language_id": op3_language_id,
+    "op5_toxicity": op5_toxicity,
+    "op7_hyperminhash": op7_hyperminhash,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {}
