@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labcurate.llm import bpe, chat_format, hyperminhash, langid, toxicity, url_filter
+from labcurate.llm import bpe, chat_format, hyperminhash, langid, packing, toxicity, url_filter
 from labcurate.llm.common import held_out, table
 
 #: The rules of query op10.
@@ -40,6 +40,10 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.train(spark))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_toxicity": op5_toxicity,
     "op7_hyperminhash": op7_hyperminhash,
+    "op9_linear_grouping": op9_linear_grouping,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {}
