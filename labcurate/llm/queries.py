@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labcurate.llm import bpe, chat_format, hyperminhash, langid, packing, toxicity, url_filter
+from labcurate.llm import bpe, chat_format, html_main, hyperminhash, langid, mips, packing, toxicity, url_filter, vector_dedup
 from labcurate.llm.common import held_out, table
 
 #: The rules of query op10.
@@ -31,15 +32,28 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", held_out(df.doc_id).alias("held_out"), "lang_pred", "score")
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = toxicity.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return df.select("doc_id", held_out(df.doc_id).alias("held_out"), "score", "predicted")
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_anisotropic_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mips.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -52,8 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
+    "op4_html_main_text": op4_html_main_text,
     "op5_toxicity": op5_toxicity,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_hyperminhash": op7_hyperminhash,
+    "op8_anisotropic_mips": op8_anisotropic_mips,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_url_filter": op10_url_filter,
 }
