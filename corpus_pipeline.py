@@ -1,15 +1,53 @@
-"""Corpus pipeline: a list of stages, each applied to the rows that the one before it kept."""
+"""Corpus pipeline: language ID, toxicity, near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  The first three return the columns of
+documents; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labcurate.llm import hyperminhash, langid, packing, toxicity
+from labcurate.llm.common import cut
+
+#: A document is rejected as of no known language below this probability, or where the label is ``und``.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts, texts without a letter and texts of no known language go."""
+    found = langid.identify(docs)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    found = toxicity.detect(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.where(F.col("predicted") == 0).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id."""
+    return hyperminhash.drop_near_duplicates(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences: one row for each piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language_id", language_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
 
-STAGES: list = []
+#: The models and the registers cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
