@@ -1 +1 @@
-
+"""DataFrame operators of curation, storage and search."""

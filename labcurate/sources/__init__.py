@@ -1 +1 @@
-
+"""Readers of files and connectors to outside services."""
