@@ -121,9 +121,7 @@ def _let_through(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) those linked by the exact test; the sets are made anew from one document of each class."""
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    ids = classes.join(wanted, F.col("set_id") == F.col("a"), "left_semi").select("set_id", "doc_id")
-    texts = cut(docs.select("doc_id", "text").join(ids, "doc_id").select("set_id", "text"))
+    texts = cut(_texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")), classes, docs))
     side = lambda k: texts.select(F.col("set_id").alias(k), F.col("text").alias("t" + k))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,37 +146,77 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that share a band, lie in different components and have not been compared: those without the band's pivot.
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text) of one document of each class in ids (set_id)."""
+    one = classes.join(ids.distinct(), "set_id", "left_semi").select("set_id", "doc_id")
+    return docs.select("doc_id", "text").join(one, "doc_id").select("set_id", "text")
 
-    Members of a band are dealt to tiles of about TILE, and each pair of tiles is compared by registers in one group of bounded
-    size; only pairs that the estimate lets through come out.
+
+def _candidates(regs: np.ndarray, part: np.ndarray, own: np.ndarray, key: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a pair of tiles: each row of the first with the rows of the second that lie in another component, that the estimate lets
+    through, and that share no earlier band, where the pair has been seen to."""
+    at, i, j = key
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    earlier = regs[:, : at * ROWS].reshape(len(regs), at, ROWS)
+    for x in left:
+        near = right[(part[right] != part[x]) & (estimate(regs[x], regs[right]) >= _LET)]
+        if i == j:
+            near = near[near > x]
+        if len(near):
+            near = near[~(earlier[near] == earlier[x]).all(axis=2).any(axis=1)]
+        if len(near):
+            yield x, near
+
+
+def _links_left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between members of a band that lie in different components, other than those with the band's pivot.
+
+    The members are dealt to tiles of about TILE, and each pair of tiles is a group of bounded size.  The registers show which
+    members have a candidate in a group at all; those meet again with their texts, and the exact test runs inside the group, so
+    that pairs are never rows.  Every candidate is tested unless links found in the group have joined its components by then.
     """
     m = members.where(F.col("n") > 2).join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
     m = m.withColumn("component", F.coalesce("component", "set_id"))
     mixed = m.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
     m = m.join(mixed, "band", "left_semi").where(F.col("set_id") != F.col("pivot")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     m = m.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    m = m.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "component")
-    m = m.join(classes.select("set_id", "sketch"), "set_id").select("band", "i", "j", "own", "set_id", "component", "sketch")
+    m = m.select("band", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "component")
+    names = ["band", "at", "i", "j", "own", "set_id", "component"]
+
+    def columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
+        _, part = np.unique(np.array(group.column("component").to_pylist(), object), return_inverse=True)
+        return part, group.column("own").to_numpy(), tuple(group.column(k)[0].as_py() for k in ("at", "i", "j"))
 
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        ids, parts, own = (np.array(group.column(k).to_pylist(), object) for k in ("set_id", "component", "own"))
+    def flag(group: pa.Table) -> pa.Table:
         regs = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        _, part = np.unique(parts, return_inverse=True)
-        i, j = (k.as_py() for k in key[1:])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            near = right[(part[right] != part[x]) & (estimate(regs[x], regs[right]) >= _LET)]
-            for y in near:
-                if i != j or ids[x] < ids[y]:
-                    a.append(ids[x])
-                    b.append(ids[y])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    found = m.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        some = np.zeros(len(regs), bool)
+        for x, near in _candidates(regs, *columns(group)):
+            some[x] = some[near] = True
+        return group.select(names).filter(pa.array(some))
+
+    def confirm(group: pa.Table) -> pa.Table:
+        ids = group.column("set_id").to_pylist()
+        sets = [shingle_set(t) for t in group.column("text").to_pylist()]
+        good = np.array([len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, ids, strict=True)])
+        if not good.all():  # a repeated doc_id has brought the text of another row
+            group, sets = group.filter(pa.array(good)), [s for s, g in zip(sets, good, strict=True) if g]
+        out: list[tuple[bytes, bytes]] = []
+        if group.num_rows:
+            ids = group.column("set_id").to_pylist()
+            part, own, key = columns(group)
+            for x, near in _candidates(np.stack([registers(s) for s in sets]), part, own, key):
+                for y in near:
+                    if part[x] != part[y] and linked(sets[x], sets[y]):
+                        out.append((ids[x], ids[y]))
+                        part[part == part[y]] = part[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    schema = "band long, at int, i int, j int, own int, set_id binary, component binary"
+    flagged = cut(m.join(classes.select("set_id", "sketch"), "set_id").groupBy("band", "i", "j").applyInArrow(flag, schema))
+    if flagged.isEmpty():
+        return flagged.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
+    texts = _texts(flagged.select("set_id"), classes, docs)
+    return flagged.join(texts, "set_id").groupBy("band", "i", "j").applyInArrow(confirm, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,17 +231,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(real.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("sketch").alias("sketch")))
     band = lambda i: F.xxhash64(i, F.col("sketch").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    bands = classes.select("set_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
+    bands = classes.select("set_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("at", "band"))
     shared = bands.groupBy("band").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
     members = cut(bands.join(shared, "band"))
     pairs = members.where(F.col("set_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     links = cut(_confirmed(cut(_let_through(pairs, classes)), classes, docs))
     labels = cut(components(links))
-    rest = cut(_left_over(members, labels, classes))
-    if not rest.isEmpty():
-        more = cut(_confirmed(rest, classes, docs))
-        if not more.isEmpty():
-            labels = cut(components(links.unionByName(more)))
+    more = cut(_links_left_over(members, labels, classes, docs))
+    if not more.isEmpty():
+        labels = cut(components(links.unionByName(more)))
     ids = classes.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id")
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked_ids = ids.join(least, "component").select("set_id", "component_id")
