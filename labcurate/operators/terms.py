@@ -51,18 +51,18 @@ def _without_brackets(low: Column, terms: tuple[Term, ...]) -> Column:
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[bare]
 
 
-def surface(c: Column) -> Column:
+def surface(c: Column, terms: tuple[Term, ...] = SURFACES) -> Column:
     """The standard surface, or the text as it is."""
     text = strip(c)
     low = F.lower(text)
-    return F.when(low == "", c).otherwise(F.coalesce(_by_alias(low, SURFACES), _by_pattern(text, SURFACES), _fuzzy(low, SURFACES), c))
+    return F.when(low == "", c).otherwise(F.coalesce(_by_alias(low, terms), _by_pattern(text, terms), _fuzzy(low, terms), c))
 
 
-def liquid(c: Column) -> Column:
+def liquid(c: Column, terms: tuple[Term, ...] = LIQUIDS) -> Column:
     """The standard ionic liquid, or the text as it is."""
     text = strip(c)
     low = F.lower(text)
-    return F.when(low == "", c).otherwise(F.coalesce(_by_alias(low, LIQUIDS), _by_pattern(text, LIQUIDS), _without_brackets(low, LIQUIDS), c))
+    return F.when(low == "", c).otherwise(F.coalesce(_by_alias(low, terms), _by_pattern(text, terms), _without_brackets(low, terms), c))
 
 
 def with_normalized(df: DataFrame, column: str, normal: Column, out: str | None = None) -> DataFrame:
@@ -76,3 +76,14 @@ def term_info(spark: SparkSession, df: DataFrame, column: str, terms: tuple[Term
     """Adds chinese_name and formula of a standard term; null for others."""
     info = dictionary(spark, terms).select(F.col("term").alias("__term"), "chinese_name", "formula")
     return df.join(F.broadcast(info), F.col(column) == F.col("__term"), "left").drop("__term")  # the dictionary has a fixed size
+
+
+def with_alias(terms: tuple[Term, ...], term: str, alias: str) -> tuple[Term, ...]:
+    """The dictionary with one more alias; an unknown term is an error."""
+    if term not in standards(terms):
+        raise ValueError(f"unknown term: {term}")
+    return tuple(t._replace(aliases=(*t.aliases, alias)) if t.term == term else t for t in terms)
+
+
+def standards(terms: tuple[Term, ...]) -> list[str]:
+    return [t.term for t in terms]

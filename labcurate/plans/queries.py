@@ -18,6 +18,7 @@ from labcurate.operators import explore as X
 from labcurate.operators import storage as W
 from labcurate.operators import terms as T
 from labcurate.operators.dictionaries import LIQUIDS, SURFACES
+from labcurate.plans.library import Library, payload_schema
 from labcurate.plans.registry import query
 from labcurate.streaming import ingest
 
@@ -270,3 +271,27 @@ def snapshot_replace(s: SparkSession, d: str) -> DataFrame:
     changed = now.where("c_custkey % 10 = 0").withColumn("c_name", F.lit("new"))
     table.write(W.keyed_replace(now, changed, now.where("c_custkey % 5 = 0"), "c_custkey"))
     return table.read()
+
+
+@query(
+    "library_sync",
+    "WITH r AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '0.1' WHEN 1 THEN '< 0.05' ELSE NULL END AS cof FROM orders WHERE o_custkey % 5 <> 0 AND (o_custkey % 2 = 1 OR o_orderkey % 2 = 0)) "
+    "SELECT (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0) AS total_parents, count(*) AS total_records, min(CASE cof WHEN '0.1' THEN 0.1 WHEN '< 0.05' THEN 0.05 END::DOUBLE) AS min_value, max(CASE cof WHEN '0.1' THEN 0.1 WHEN '< 0.05' THEN 0.05 END::DOUBLE) AS max_value, avg(CASE cof WHEN '0.1' THEN 0.1::DOUBLE WHEN '< 0.05' THEN 0.05::DOUBLE END) AS avg_value FROM r",
+)
+def library_sync(s: SparkSession, d: str) -> DataFrame:
+    """Two synchronisations and a deletion: customers as documents, orders as measurements; even documents send half of theirs again."""
+    lib = Library(s, _shared(s))
+    schema = payload_schema()
+    fields = {"cof": "CASE o_orderkey % 3 WHEN 0 THEN '0.1' WHEN 1 THEN '< 0.05' END", "evidence": "cast(o_orderkey as string)"}
+    record = F.struct(*[F.expr(fields.get(f.name, "cast(null as string)")).alias(f.name) for f in schema["records"].dataType.elementType.fields])
+
+    def payload(orders: DataFrame, docs: DataFrame) -> DataFrame:
+        lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(record).alias("records"))
+        rows = docs.join(lists, "c_custkey", "left").withColumns({"doi": F.concat(F.lit("doi:10.1/"), F.col("c_custkey")), "title": F.col("c_name"), "records": F.coalesce("records", F.array().cast(schema["records"].dataType))})
+        return rows.select(*[F.col(f.name) if f.name in ("doi", "title", "records") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    docs, orders = read(s, d, "customer"), read(s, d, "orders")
+    lib.sync(payload(orders, docs))
+    lib.sync(payload(orders.where("o_orderkey % 2 = 0"), docs.where("c_custkey % 2 = 0")))
+    lib.delete(lib.literature().where("cast(substring(doi, 6) as int) % 5 = 0").select("id"))
+    return lib.stats()

@@ -29,7 +29,7 @@ def client_accepts(mime: Column, name: Column) -> Column:
 
 def plain_text(files: DataFrame) -> DataFrame:
     """file_hash, text of text and Markdown files."""
-    return files.where(F.col("extension").isin(".txt", ".md")).select("file_hash", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(F.col("extension").isin(".txt", ".md")).select("file_hash", F.decode("content", "UTF-8").alias("text"))
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:
