@@ -15,6 +15,7 @@ from labcurate.functions import parsing as P
 from labcurate.functions import scoring as S
 from labcurate.operators import curate as C
 from labcurate.operators import explore as X
+from labcurate.operators import review as R
 from labcurate.operators import storage as W
 from labcurate.operators import terms as T
 from labcurate.operators.dictionaries import LIQUIDS, SURFACES
@@ -295,3 +296,26 @@ def library_sync(s: SparkSession, d: str) -> DataFrame:
     lib.sync(payload(orders.where("o_orderkey % 2 = 0"), docs.where("c_custkey % 2 = 0")))
     lib.delete(lib.literature().where("cast(substring(doi, 6) as int) % 5 = 0").select("id"))
     return lib.stats()
+
+
+query("quarantine", f"WITH {_RAW_SQL} SELECT {_KEYS}, coalesce(trim(material), '') = '' AS bad FROM raw WHERE coalesce(trim(material), '') = '' OR k3 % 2 = 0")(lambda s, d: _quarantine(s, d))
+
+
+def _quarantine(s: SparkSession, d: str) -> DataFrame:
+    good, bad = R.split_valid(raw(s, d).withColumnRenamed("material", "material_name"))
+    return good.where("k3 % 2 = 0").select("k1", "k2", "k3", F.lit(False).alias("bad")).unionByName(bad.select("k1", "k2", "k3", F.lit(True).alias("bad")))
+
+
+query("client_ids", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment || '-' || c_custkey END AS id FROM customer")(
+    lambda s, d: R.with_client_ids(read(s, d, "customer").withColumn("id", F.expr("CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN '' END")), "c_mktsegment", "c_custkey").select("c_custkey", "id")
+)
+query("metadata_to_sync", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'temp-' || c_name WHEN c_custkey % 3 = 1 THEN '' ELSE '10.1/x' END AS doi, CASE WHEN c_custkey % 3 = 1 THEN 'T' ELSE 'Untitled' END AS title FROM customer")(
+    lambda s, d: R.metadata_to_sync(read(s, d, "customer").selectExpr("c_custkey", "c_name", "CASE WHEN c_custkey % 3 = 2 THEN '10.1/x' END AS doi", "CASE WHEN c_custkey % 3 = 1 THEN 'T' WHEN c_custkey % 3 = 0 THEN ' ' END AS title", "cast(null as string) AS authors", "cast(null as string) AS journal", "cast(null as int) AS year"), "c_name").select(
+        "c_custkey", "doi", "title"
+    )
+)
+query("edit_tracking", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 25 ELSE p_size END AS p_size, CASE WHEN p_size > 25 THEN p_size END AS p_size_original, CASE WHEN p_size > 25 THEN 'modified' ELSE 'unverified' END AS status FROM part")(
+    lambda s, d: R.edited(read(s, d, "part").select("p_partkey", "p_size", F.lit("unverified").alias("status")), "p_size", F.least("p_size", F.lit(25))).select("p_partkey", "p_size", "p_size_original", "status")
+)
+query("run_totals", "SELECT count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, sum(CASE WHEN event_type <> 'error' THEN user_id END) AS records FROM events")(lambda s, d: R.run_totals(read(s, d, "events").withColumn("failure", F.expr("CASE WHEN event_type = 'error' THEN 'x' END")), "failure", "user_id"))
+query("detail_labels", "SELECT event_id, strftime(ts, '%H:%M') AS at, CASE event_type WHEN 'view' THEN '<' ELSE '' END || user_id AS shown FROM events")(lambda s, d: read(s, d, "events").select("event_id", R.clock(F.col("ts")).alias("at"), R.signed_value(F.expr("CASE WHEN event_type = 'view' THEN '<' END"), F.col("user_id")).alias("shown")))
