@@ -40,17 +40,38 @@ class _Tokens:
         self.library.encode_special_tokens = True
         self.split = splitter(pattern)
         self.memo = Memo(self._whole)
+        # Byte-level tokens have one character for each byte.
+        self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.sizes[i] = len(token)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _NOT_PLAIN.search(text):
-            return self._whole(text)
+    def _learn(self, words: list[str]) -> None:
+        """Resolve many new words, each a space and letters, in one call: the library parts them just there, so the ids fall apart
+        where the bytes of the words end."""
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            reached = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(w.encode()) for w in part])
+            cuts = np.searchsorted(reached, ends)
+            if not np.array_equal(reached[cuts], ends):
+                continue  # left to be resolved one by one
+            raw, start = ids.tobytes(), 0
+            for w, c in zip(part, (4 * (cuts + 1)).tolist(), strict=True):
+                self.memo[w] = raw[start:c]
+                start = c
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         memo = self.memo
-        return b"".join([memo[t] for t in self.split(text)])
+        split = [self.split(t) if t and not _NOT_PLAIN.search(t) else None for t in texts]
+        if len(memo) >= memo.entries:
+            memo.clear()
+        new = set().union(*filter(None, split)).difference(memo)
+        self._learn([w for w in new if w[0] == " " and 1 < len(w) <= 64 and w[1:].isalpha()])
+        return [b"".join([memo[w] for w in s]) if s else self._whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -71,7 +92,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY
         t = _tokens(path, pattern)
         end = np.uint32(END_ID).astype("<u4").tobytes()
         for batch in bounded_batches(batches, "text"):
-            ids = [t.ids(x) + end for x in batch.column("text").to_pylist()]
+            ids = [x + end for x in t.ids(batch.column("text").to_pylist())]
             crcs = [[zlib.crc32(x[4 * s : 4 * (s + n)]) for s, n in pieces_of(len(x) // 4, capacity)] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "row", "n_tokens", "crcs"])
 
