@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from labcurate.llm.common import bounded_batches
 
-#: Entries of a worker's memo; when full it is emptied and fills again.
+#: Entries of one generation of a worker's memo, which holds two.
 MEMO_ENTRIES = 400_000
 
 # Texts made only of these characters are split by the standard library's faster engine, with the pattern's classes written
@@ -121,17 +121,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memo(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes."""
+    """Pre-token -> its ids as little-endian 32-bit bytes.  A full generation becomes the older one and replaces that before it;
+    tokens met again move along, so frequent ones stay however many rare ones pass."""
 
     def __init__(self, resolve: Callable[[str], bytes], entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.resolve, self.entries = resolve, entries
+        self.resolve, self.entries, self.older = resolve, entries, {}
+
+    def make_room(self) -> None:
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, token: str) -> bytes:
-        out = self.resolve(token)
+        out = self.older.get(token)
+        if out is None:
+            out = self.resolve(token)
         if len(token) <= 64:
-            if len(self) >= self.entries:
-                self.clear()
+            self.make_room()
             self[token] = out
         return out
 

@@ -48,29 +48,31 @@ class _Tokens:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Resolve many new words, each a space and letters, in one call: the library parts them just there, so the ids fall apart
-        where the bytes of the words end."""
+    def _learn(self, words: list[str], between: str) -> None:
+        """Resolve many new pre-tokens in one call, where the library parts the joined text just at them (and at what stands
+        between), so the ids fall apart where their bytes end."""
+        gap = len(between)
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
             reached = np.cumsum(self.sizes[ids])
-            ends = np.cumsum([len(w.encode()) for w in part])
-            cuts = np.searchsorted(reached, ends)
-            if not np.array_equal(reached[cuts], ends):
+            ends = np.cumsum([len(w.encode()) + gap for w in part]) - gap
+            stops = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[stops - 1], ends):
                 continue  # left to be resolved one by one
             raw, start = ids.tobytes(), 0
-            for w, c in zip(part, (4 * (cuts + 1)).tolist(), strict=True):
-                self.memo[w] = raw[start:c]
-                start = c
+            for w, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.memo[w] = raw[start:stop]
+                start = stop + 4 * gap
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         memo = self.memo
         split = [self.split(t) if t and not _NOT_PLAIN.search(t) else None for t in texts]
-        if len(memo) >= memo.entries:
-            memo.clear()
-        new = set().union(*filter(None, split)).difference(memo)
-        self._learn([w for w in new if w[0] == " " and 1 < len(w) <= 64 and w[1:].isalpha()])
+        memo.make_room()
+        older = memo.older
+        new = [w for w in set().union(*filter(None, split)) if w not in memo and w not in older and len(w) <= 64 and not w.isspace()]
+        self._learn([w for w in new if w[0] == " "], "")
+        self._learn([w for w in new if w[0] != " "], "\n")  # one token
         return [b"".join([memo[w] for w in s]) if s else self._whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
 
 

@@ -1,5 +1,6 @@
 """Chat formatting, byte-level BPE, URL filter, HTML extraction and packing against plain Python."""
 
+import random
 import hashlib
 import zlib
 
@@ -144,3 +145,14 @@ def test_plan_slots_hold_their_pieces():
     assert fill.max() <= 1024
     _, new = packing.best_fit(np.bincount(length[at < 0], minlength=1025), np.bincount(1024 - fill[fill > 0].astype(int), minlength=1025))
     assert (fill > 0).sum() + new <= 1.02 * length.sum() / 1024
+
+
+def test_packing_ids_match_the_library_while_the_memo_turns_over():
+    rng = random.Random(3)
+    parts = ["it's", " '", "'", " ''s", "don't", " 12", "3a", " été", "Ünd", "!!", " ?!", "\n", " \n ", "   ", "\t", " x" * 40, "y" * 70, " " + "z" * 70, "a_b", " _", "€5", "'re", " 're", "漢字", " "]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.5 else " " + "".join(rng.choices("abcdeé", k=5)) for _ in range(60)) for _ in range(400)] + [None, "", " ", "\n\n", "'s"]
+    t = packing._Tokens(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    t.memo.entries = 50
+    got = [x for at in range(0, len(texts), 45) for x in t.ids(texts[at : at + 45])]
+    assert got == [np.array(t.library.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert len(t.memo) < 5000 and t.memo.older
