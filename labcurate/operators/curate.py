@@ -28,10 +28,10 @@ def best_of_each(df: DataFrame, keys: list[str], score: str, order: str) -> Data
     return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(best, F.min(order).alias("first_seen")).select("__best.*", "first_seen")
 
 
-def deduplicate(records: DataFrame, order: str = "seq", fix: bool = False) -> DataFrame:
+def deduplicate(records: DataFrame, order: str = "seq", fix: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
     """Sanitise the numbers, drop records without a usable coefficient and keep the most complete record of each fingerprint.
 
-    The result has ``first_seen``, the place of the fingerprint's first record; its order is the output order.
+    With ``within`` the same fingerprint in another group of these columns is another record.  The result has ``first_seen``, the place of the fingerprint's first record; its order is the output order.
     """
     clean = records.withColumns({
         "cof_clean": P.sanitize_cof(F.col("cof"), fix),
@@ -44,11 +44,11 @@ def deduplicate(records: DataFrame, order: str = "seq", fix: bool = False) -> Da
         "fp": F.concat_ws("|", P.fingerprint_text(F.col("material_name")), P.fingerprint_text(F.col("ionic_liquid")), F.expr("format_number(cof_clean, '0.000')"), P.fingerprint_text(F.col("potential"), fix)),
         "info": S.information(F.col("normal_load"), F.col("speed"), F.col("temperature"), F.col("potential"), F.col("ionic_liquid")),
     })
-    return best_of_each(clean, ["fp"], "info", order)
+    return best_of_each(clean, [*within, "fp"], "info", order)
 
 
-def curate(records: DataFrame, order: str = "seq", fix: bool = False) -> DataFrame:
-    """Gate, clean, normalise, deduplicate, type and score: one shuffle, for the deduplication."""
+def curate(records: DataFrame, order: str = "seq", fix: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """Gate, clean, normalise, deduplicate (``within`` groups), type and score: one shuffle, for the deduplication."""
     kept = records.where(has_measurement(F.col("cof"), F.col("friction_force")))
     cof_raw = F.col("cof")
     kept = kept.withColumns({
@@ -58,7 +58,7 @@ def curate(records: DataFrame, order: str = "seq", fix: bool = False) -> DataFra
         "material_name": F.coalesce(P.blank_to_null(terms.surface(F.col("material_name"))), F.lit("Unknown Material")),
         "ionic_liquid": F.coalesce(P.blank_to_null(terms.liquid(F.col("ionic_liquid"))), F.lit("Unknown IL")),
     })
-    best = deduplicate(kept, order, fix)
+    best = deduplicate(kept, order, fix, within)
     return best.withColumns({
         "load_n": P.force_newtons(F.coalesce(F.col("load"), F.col("normal_load"))),
         "speed_mps": P.speed_mps(F.col("speed")),

@@ -106,11 +106,11 @@ class Library:
         return {"synced": self.records().count() - kept.count(), "replaced": old.count() - kept.count()}
 
     def store_answers(self, answers: DataFrame, metadata: DataFrame | None = None) -> None:
-        """Extraction answers (file_hash, batch_idx, answer): curate their records and replace those of each file that brings at
-        least one; fill in metadata (file_hash and fields); every file that has answered is completed."""
+        """Extraction answers (file_hash, batch_idx, answer): curate their records, each file's for itself, and replace those of each file that
+        brings at least one; fill in metadata (file_hash and fields); every file that has answered is completed."""
         known, old = self.literature(), self.records()
         raw = C.records_of_answers(answers).withColumn("seq", F.col("batch_idx").cast("long") * 1_000_000 + F.col("pos"))
-        parts = C.curate(raw.drop("id").join(known.select("file_hash", F.col("id").alias("literature_id")), "file_hash"), "seq")
+        parts = C.curate(raw.drop("id").join(known.select("file_hash", F.col("id").alias("literature_id")), "file_hash"), "seq", within=("literature_id",))
         new = parts.select("literature_id", *[F.col("cof_raw").alias("cof") if c == "cof" else F.col("ionic_liquid").alias("lubricant") if c == "lubricant" else F.col(c) for c in _RAW])
         new = _filled_to(W.with_new_ids(typed(new), old, "id", ["literature_id"]), self.record_schema)
         answered = answers.select("file_hash").distinct().withColumn("__done", F.lit(True))

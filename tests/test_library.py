@@ -45,6 +45,16 @@ def test_life_of_a_collection(spark, tmp_path):
     assert lib.records_of(10**9).count() == 0 and lib.chat_context().count() == 1
 
 
+def test_files_with_the_same_record_keep_one_each(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.sync(payload(spark, (None, "h1", None, [{"cof": "2"}]), (None, "h2", None, [{"cof": "3"}])))
+    r = {"material_name": "sio2", "ionic_liquid": "bmim pf6", "cof": "0.1"}
+    answers = [("h1", 0, json.dumps({"data": [r, r]})), ("h1", 1, json.dumps({"data": [r | {"speed": "1 mm/s"}]})), ("h2", 0, json.dumps({"data": [r]}))]
+    lib.store_answers(spark.createDataFrame(answers, "file_hash string, batch_idx int, answer string"))
+    ids = {x.file_hash: x.id for x in lib.literature().collect()}
+    assert sorted((x.literature_id, x.cof_raw, x.speed_mps) for x in lib.records().collect()) == sorted([(ids["h1"], "0.1", 0.001), (ids["h2"], "0.1", None)])
+
+
 def test_files_and_connectors(spark, tmp_path):
     (tmp_path / "d").mkdir()
     for name, text in (("a.TXT", "one"), ("b.md", "two"), ("c.csv", "no"), ("d.txt", "one")):
