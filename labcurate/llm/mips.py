@@ -22,9 +22,10 @@ WORDS, PAIR = 16, 2
 #: Weight of the parallel part of the residual against the rest.
 PARALLEL = 4.0
 ROUNDS = 6
-#: Queries and candidates in one block, and candidates of a block that are reranked for each query.
+#: Queries and candidates in one block, and candidates of a block whose exact scores set the bar for the others of each query.
 QUERY_BLOCK, CANDIDATE_BLOCK, RERANKED = 2048, 8192, 192
 _SCAN = 256  # queries scanned at once
+_GATHERED = 1 << 23  # numbers gathered at once for exact scores
 
 
 class Quantiser:
@@ -87,6 +88,11 @@ class Quantiser:
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         return codes[:, ::2] << 4 | codes[:, 1::2]
 
+    def decoded(self, packed: np.ndarray) -> np.ndarray:
+        """(rows, subspaces, PAIR): the words that packed codes stand for."""
+        codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)[:, : len(self.books)]
+        return self.books[np.arange(len(self.books)), codes]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(bytes of a code, queries, 256): what each byte adds to each query's inner product."""
         t = np.einsum("qmp,mwp->mqw", self.shaped(queries), self.books)
@@ -104,6 +110,11 @@ def _first_copies(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return order[np.sort(by_set[nth < most])]
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row; equal rows give equal bits."""
+    return np.einsum("pd,pd->p", a, b)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each query (a row of ``queries``, with the same columns) its k nearest by inner product.
 
@@ -113,7 +124,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     one is searched; repeated candidates are found as often as they are there.  An empty table gives no rows.
 
     Queries and candidates are dealt to blocks of bounded size, and each pair of blocks is one group: table scan over the codes,
-    exact reranking of the best RERANKED, the best k go on.
+    exact reranking, the best k go on.  The k-th exact score of the best RERANKED is the bar; every other candidate is reranked too
+    unless its rough score and the most that its residual can add (the product of the norms) stay below the bar, so none is lost.
     """
     good = usable(vectors, id_col, vector_col).where(F.col("id").isNotNull())
     rows = good.orderBy(F.xxhash64("vector", "id")).limit(SAMPLE).select("vector").collect()
@@ -151,27 +163,46 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         out = {"query_id": [], "vec_id": [], "score": []}
         if is_query.any() and len(candidates):
             candidates = _first_copies(raw, candidates[np.argsort(ids[candidates], kind="stable")], k + 1)
+            x = raw[candidates]
             code = np.frombuffer(b"".join(group.column("code").take(pa.array(candidates)).to_pylist()), np.uint8).reshape(len(candidates), -1)
+            words = quantiser.decoded(code)
             code = np.ascontiguousarray(code.T).astype(np.intp)
-            most = min(RERANKED, len(candidates))
+            # The residual's norm, and what single precision in the tables and double precision in the products can be off by.
+            rounding = (len(code) + 4) * 2.0**-23
+            close = dim * 2.0**-51 * np.sqrt((x * x).sum(axis=1))
+            slack = np.sqrt(((quantiser.shaped(x) - words) ** 2).sum(axis=(1, 2))) + rounding * np.sqrt((words * words).sum(axis=(1, 2))) + close
+            most, step = min(RERANKED, len(candidates)), max(1, _GATHERED // (_SCAN * dim))
             at_query = np.flatnonzero(is_query)
             for at in range(0, len(at_query), _SCAN):
                 q = at_query[at : at + _SCAN]
+                norm = np.sqrt((raw[q] * raw[q]).sum(axis=1))
                 tables = quantiser.tables(raw[q])
                 rough = np.take(tables[0], code[0], axis=1)
                 for m in range(1, len(tables)):
                     rough += np.take(tables[m], code[m], axis=1)
                 best = np.argpartition(-rough, most - 1, axis=1)[:, :most] if most < len(candidates) else np.broadcast_to(np.arange(most), (len(q), most))
-                best = candidates[best]
-                exact = np.einsum("qd,qrd->qr", raw[q], raw[best])
-                exact = np.where(ids[best] == ids[q][:, None], -np.inf, exact)
-                order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
-                score = np.take_along_axis(exact, order, axis=1)
-                found = np.take_along_axis(ids[best], order, axis=1)
-                keep = score > -np.inf
-                out["query_id"].append(np.broadcast_to(ids[q][:, None], found.shape)[keep])
-                out["vec_id"].append(found[keep])
-                out["score"].append(score[keep])
+                exact = _products(np.repeat(raw[q], most, axis=0), x[best.ravel()]).reshape(best.shape)
+                exact = np.where(ids[candidates[best]] == ids[q][:, None], -np.inf, exact)
+                bar = np.partition(exact, most - k, axis=1)[:, most - k] if most >= k else np.full(len(q), -np.inf)
+                may = ~(rough + norm[:, None] * slack < bar[:, None])
+                np.put_along_axis(may, best, True, axis=1)
+                wanted = np.flatnonzero(may.any(axis=0))
+                parts = []
+                for start in range(0, len(wanted), step):
+                    some = wanted[start : start + step]
+                    near = raw[q] @ x[some].T + norm[:, None] * close[some]
+                    row, column = np.nonzero(may[:, some] & ~(near < bar[:, None]))
+                    column = some[column]
+                    other = ids[candidates[column]] != ids[q][row]
+                    row, column = row[other], column[other]
+                    parts.append((row, column, _products(raw[q[row]], x[column])))
+                row, column, score = (np.concatenate(p) for p in zip(*parts, strict=True))
+                order = np.lexsort((column, -score, row))  # candidates are in the order of their ids
+                nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                order = order[nth < k]
+                out["query_id"].append(ids[q][row[order]])
+                out["vec_id"].append(ids[candidates[column[order]]])
+                out["score"].append(score[order])
         return pa.table({c: pa.array(np.concatenate(v)) if v else pa.array([], group.column("id").type if c != "score" else pa.float64()) for c, v in out.items()})
 
     found = left.unionByName(right).groupBy("q", "c").applyInArrow(scan, out_schema)

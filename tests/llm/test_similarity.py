@@ -148,3 +148,19 @@ def test_search_recall_and_ties(spark, monkeypatch):
     assert mips.search(df.where("false"), df.where("false")).count() == 0
     few = df.where("vec_id < 5")
     assert mips.search(few, few.where("vec_id = 0")).count() == 4
+
+
+def test_search_finds_the_nearest_among_many_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] + 0.15 * rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = [*range(0, 2000, 100), *range(2000, 6000, 200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in mips.search(df, df.where(F.col("vec_id").isin(asked))).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [got[q][k] for k in range(1, 21)] == np.argsort(-s, kind="stable")[:20].tolist()
