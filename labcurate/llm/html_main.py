@@ -30,11 +30,12 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")  # findall reads name by name, each with its whole value
 # Names of blocks, of parts that are never the article, and words in classes and ids that say so.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _NESTED = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form head header html main menu nav ol section table td tr ul".split())
 _NEVER = frozenset("aside audio button canvas dialog footer form head label menu nav video".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = re.compile(
@@ -123,7 +124,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             close_to(0)  # a part left open does not swallow the article
         heading = heading or name in _HEADINGS
         unwanted = _unwanted(name, m["attributes"], articles > 0)
-        if (name in _NESTED or unwanted) and not m["attributes"].endswith("/"):
+        if (name in _NESTED or unwanted) and name not in _VOID and not m["attributes"].endswith("/"):
             open_tags.append((name, unwanted))
             skipping += unwanted
             if name in ("article", "main"):

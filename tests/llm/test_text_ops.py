@@ -101,6 +101,17 @@ def test_main_text(n):
     assert html_main.main_text(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("tag", ["<b title='A hidden valley'>two</b>", "<a href=\"/hidden-gems\">two</a>", "<a href=/x?class=ad>two</a>", "<p data-id=social data-role='menu'>two</p>", "<img class=social-icon src=x>two", "<img alt='A hidden valley'>two", "<br id=share>two", "<hr class=banner>two", "<input role=search hidden>two"])
+def test_main_text_keeps_what_only_looks_unwanted(tag):
+    got = html_main.main_text(f"<article><p>one</p><div>{tag}<div>three</div></div><p>four</p></article>")
+    assert got.split() == ["one", "two", "three", "four"]
+
+
+def test_main_text_reads_attributes_after_others():
+    page = "<article><p>one</p><div title='a=b' CLASS = \"x share\">two</div><p alt='' hidden>three</p><div data-x=1 aria-hidden=true>four</div></article>"
+    assert html_main.main_text(page) == "one"
+
+
 def test_html_extract_rows(spark):
     page = "<article><p>x</p></article>"
     df = spark.createDataFrame([(1, "u", page, 3), (1, "u", page, 3), (2, None, None, 1), (3, "u", "<b>" * 20000 + "deep", 0)], "page_id long, url string, html string, n_chars int")
