@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block.  Text lengths are summed over sliding windows of lines; the text kept lies between
-the point where the sums surge and the point where they dive.  Lines inside menus, adverts and the like weigh nothing, and where a
-page marks its article the lines outside weigh nothing, so the surge and the dive fall on the article's own ends.
+the point where the sums surge and the point where they dive.  Lines inside menus, adverts and the like are left out.  Where a page
+marks its article the mark decides alone: all marked lines are the text, and sums are not looked at.
 """
 
 from __future__ import annotations
@@ -157,14 +157,13 @@ def main_text(page: str | None) -> str:
         return ""
     lines, marked = lines_of(page)
     if marked:
-        weights = np.array([float(max(SURGE, len(x.text))) if x.inside else 0.0 for x in lines])
-    else:
-        weights = np.array([float(len(x.text) - x.linked) if 2 * x.linked <= len(x.text) else 0.0 for x in lines])
+        return "\n".join(x.text for x in lines if x.inside)
+    weights = np.array([float(len(x.text) - x.linked) if 2 * x.linked <= len(x.text) else 0.0 for x in lines])
     first, last = between_surge_and_dive(weights)
-    if first < last and not marked:
+    if first < last:
         while first and lines[first - 1].heading:
             first -= 1
-    return "\n".join(x.text for x in lines[first:last] if not marked or x.inside)
+    return "\n".join(x.text for x in lines[first:last])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

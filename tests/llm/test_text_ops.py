@@ -107,6 +107,10 @@ def test_main_text_keeps_what_only_looks_unwanted(tag):
     assert got.split() == ["one", "two", "three", "four"]
 
 
+def test_main_text_joins_all_marked_articles():
+    assert html_main.main_text("<article><p>one</p></article><p>x</p><p>y</p><p>z</p><article><p>two</p><p>three</p></article>") == "one\ntwo\nthree"
+
+
 def test_main_text_reads_attributes_after_others():
     page = "<article><p>one</p><div title='a=b' CLASS = \"x share\">two</div><p alt='' hidden>three</p><div data-x=1 aria-hidden=true>four</div></article>"
     assert html_main.main_text(page) == "one"
