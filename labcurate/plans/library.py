@@ -91,13 +91,15 @@ class Library:
         known, old = self.literature(), self.records()
         rows = payloads.withColumn("doi", P.blank_to_null(P.normalize_doi(F.col("doi"))))
         key = F.coalesce("doi", F.concat(F.lit("hash:"), "file_hash"))
-        given = rows.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.first("doi", True).alias("doi"), F.first("file_hash", True).alias("file_hash"), *[F.first(m, True).alias(m) for m in _METADATA], F.flatten(F.collect_list("records")).alias("records"))
+        rows = rows.withColumn("key", key).where(F.col("key").isNotNull())
+        given = rows.groupBy("key").agg(F.first("doi", True).alias("doi"), F.first("file_hash", True).alias("file_hash"), *[F.first(m, True).alias(m) for m in _METADATA])
         found = W.get_or_create(known.withColumn("key", key), given, "key", "id")
         created = W.with_new_ids(found.where("is_new").drop("id").withColumns({"title": F.coalesce("title", F.lit("Untitled")), "authors": F.coalesce("authors", F.lit("")), "journal": F.coalesce("journal", F.lit("")), "status": F.lit("completed"), "created_at": F.current_timestamp()}), known, "id", ["key"])
         written = self._literature.write(known.unionByName(_filled_to(created, self.literature_schema)))  # not visible before the commit
         entries = self._literature.read(written)
-        ids = W.get_or_create(entries.withColumn("key", key), given, "key", "id").select(F.col("id").alias("literature_id"), F.inline("records"))
-        new = W.with_new_ids(typed(ids), old, "id", ["literature_id"])
+        ids = W.get_or_create(entries.withColumn("key", key), given, "key", "id").select("key", F.col("id").alias("literature_id"))
+        given_records = rows.select("key", F.inline("records")).join(ids, "key").drop("key")
+        new = W.with_new_ids(typed(given_records), old, "id", ["literature_id"])
         new = _filled_to(new, self.record_schema)
         touched = found.where(~F.col("is_new")).select(F.col("id").alias("literature_id"))
         kept = old if append else old.join(touched, "literature_id", "left_anti").select(self.record_schema.fieldNames())

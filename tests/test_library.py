@@ -55,6 +55,17 @@ def test_files_with_the_same_record_keep_one_each(spark, tmp_path):
     assert sorted((x.literature_id, x.cof_raw, x.speed_mps) for x in lib.records().collect()) == sorted([(ids["h1"], "0.1", 0.001), (ids["h2"], "0.1", None)])
 
 
+def test_sync_gathers_no_identifiers_records(spark, tmp_path, monkeypatch):
+    def gathered(*a):
+        raise AssertionError("an identifier's records in one row")
+
+    monkeypatch.setattr(F, "collect_list", gathered)
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.sync(payload(spark, ("10.1/a", None, "A", [{"cof": "1"}]), ("doi:10.1/a", None, None, [{"cof": "2"}, {"cof": "3"}]), (None, "h1", None, [{"cof": "4"}]), (None, None, None, [{"cof": "5"}])))
+    ids = {x.doi or x.file_hash: x.id for x in lib.literature().collect()}
+    assert sorted((x.cof_raw, x.literature_id) for x in lib.records().collect()) == [(c, ids[k]) for c, k in (("1", "10.1/a"), ("2", "10.1/a"), ("3", "10.1/a"), ("4", "h1"))]
+
+
 def test_files_and_connectors(spark, tmp_path):
     (tmp_path / "d").mkdir()
     for name, text in (("a.TXT", "one"), ("b.md", "two"), ("c.csv", "no"), ("d.txt", "one")):
