@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A batch handed to Python code holds at most about this many bytes of text (one longer text stands alone).
 BATCH_BYTES = 4 << 20
+#: A key is hot above a HOT_KEYS-th of all rows, and above HOT_LEAST rows.
+HOT_KEYS, HOT_LEAST = 1000, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset a folder of our own, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labcurate-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -35,7 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/labcurate-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written, once nothing that is still to run reads them."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_unique(rows: DataFrame, names: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``names``, which has each ``key`` once and in ``n`` how many rows hold it; inner join.
+
+    Keys that hold more than a thousandth of all rows (so fewer than HOT_KEYS of them, however large the tables) are joined where the
+    rows are; the others are shuffled, and none of those is large.
+    """
+    total = names.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    bound = max(HOT_LEAST, total // HOT_KEYS)
+    hot, cold = names.where(F.col(n) > bound), names.where(F.col(n) <= bound)
+    there = rows.join(F.broadcast(hot), key)
+    return there.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import cut
+from labcurate.llm.common import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large.where(F.col("a") != F.col("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         below = large.join(least, F.col("a") == F.col("u")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(below.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        old, edges = edges, cut(below.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        discard(old, large)
         after = _state(edges)
         if after == before:
             break

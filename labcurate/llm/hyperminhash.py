@@ -2,7 +2,8 @@
 
 A register keeps, of the smallest hash in its bucket, the count of leading zeros and the bits after the first one.  Documents with
 equal sets are one class from the start; classes that share a band are compared by their registers, and only pairs that the
-estimate lets through are tested on their shingles.
+estimate lets through are tested on their shingles.  Between the steps only numbers of classes move; the texts of classes with a
+candidate are fetched when they are tested.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import bounded_batches, cut
+from labcurate.llm.common import bounded_batches, cut, discard, join_unique
 from labcurate.llm.components import components
 
 SHINGLE = 3
@@ -27,6 +28,8 @@ BANDS, ROWS = 36, 7
 #: Standard deviations below the threshold at which the estimate still lets a pair through.
 MARGIN = 3.5
 TILE = 256
+#: Shingles of the members that one group tests against their pivot, about.
+GROUP_SHINGLES = 1 << 19
 
 _PROBES = np.random.default_rng(5).integers(0, REGISTERS, (256, REGISTERS)).astype(np.int16)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -94,62 +97,64 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 _LET = SHARE[0] / SHARE[1] - MARGIN * float(np.sqrt(SHARE[0] / SHARE[1] * (1 - SHARE[0] / SHARE[1]) / REGISTERS))
 
 
+def _text_hash() -> Column:
+    """With the id it tells a row from any other with another text."""
+    return F.xxhash64("text")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit digest of the set, null if empty), sketch (registers) for each row; no shuffle."""
+    """doc_id, text_hash, n_shingles, set_id (128-bit digest of the set, null if empty), sketch (registers) for each row; no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id binary, sketch binary")
+    return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, set_id binary, sketch binary")
 
 
 def _let_through(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of set ids those whose registers' estimate is near the threshold or above."""
-    side = lambda k: classes.select(F.col("set_id").alias(k), F.col("sketch").alias("s" + k))
+    """Of pairs (a, b) of classes those whose registers' estimate is near the threshold or above, with the estimate and b's size."""
+    a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("size"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y) >= _LET))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+                e = estimate(x, y)
+                out = pa.RecordBatch.from_arrays([*batch.select(["a", "b", "size"]).columns, pa.array(e)], ["a", "b", "size", "estimate"])
+                yield out.filter(pa.array(e >= _LET))
 
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "size", "sa", "sb").mapInArrow(run, "a long, b long, size long, estimate double")
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those linked by the exact test; the sets are made anew from one document of each class."""
-    texts = cut(_texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")), classes, docs))
-    side = lambda k: texts.select(F.col("set_id").alias(k), F.col("text").alias("t" + k))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}  # few: rows come sorted by one side of the join
 
-        def of(key: bytes, text: str) -> np.ndarray:
-            if key not in held:
-                if len(held) >= 16:
-                    held.clear()
-                s = shingle_set(text)
-                # A repeated doc_id may have brought the text of another row.
-                held[key] = s if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key else s[:0]
-                if not len(held[key]):
-                    return held.pop(key)
-            return held[key]
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of one document of each class in nodes (node).  Ids are joined with the texts once; where they are few, they go to
+    the texts and not the texts to them."""
+    one = classes.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    found = docs.select("doc_id", _text_hash().alias("text_hash"), "text").join(one, ["doc_id", "text_hash"]).select("node", "text")
+    return found.groupBy("node").agg(F.first("text").alias("text"))  # a row that is repeated brings the same text again
 
-        for whole in batches:
-            for batch in bounded_batches([whole], "ta"):
-                rows = zip(*(batch.column(k).to_pylist() for k in ("a", "b", "ta", "tb")), strict=True)
-                yield batch.select(["a", "b"]).filter(pa.array([linked(of(a, x), of(b, y)) for a, b, x, y in rows], pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary").distinct()
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those linked by the exact test.  A pivot a meets its members in groups of bounded size, its text once in each."""
+    per = pairs.groupBy("a").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
+    dealt = join_unique(pairs.select("a", "b"), per, "a", "n").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("sizes") / GROUP_SHINGLES)))
+    dealt = cut(dealt.select("a", "chunk", F.col("b").alias("node")))
+    members = dealt.unionByName(dealt.select("a", "chunk", F.col("a").alias("node")).distinct())
 
+    def test(group: pa.Table) -> pa.Table:
+        nodes, pivot = group.column("node").to_pylist(), group.column("a")[0].as_py()
+        texts = group.column("text")
+        at = nodes.index(pivot)
+        one = shingle_set(texts[at].as_py())
+        out = [n for i, n in enumerate(nodes) if i != at and linked(one, shingle_set(texts[i].as_py()))]
+        return pa.table({"a": pa.array([pivot] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set_id, text) of one document of each class in ids (set_id)."""
-    one = classes.join(ids.distinct(), "set_id", "left_semi").select("set_id", "doc_id")
-    return docs.select("doc_id", "text").join(one, "doc_id").select("set_id", "text")
+    texts = _texts(dealt.select(F.explode(F.array("a", "node")).alias("node")), classes, docs)
+    return members.join(texts, "node").groupBy("a", "chunk").applyInArrow(test, "a long, b long")
 
 
 def _candidates(regs: np.ndarray, part: np.ndarray, own: np.ndarray, key: tuple) -> Iterator[tuple[int, np.ndarray]]:
@@ -168,24 +173,41 @@ def _candidates(regs: np.ndarray, part: np.ndarray, own: np.ndarray, key: tuple)
             yield x, near
 
 
+def _tiled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of bands that lie in more than one component, dealt to tiles of about TILE: band, i, j, own, node, component.
+
+    A component with more members than TILE in a band has tiles of its own there, and two tiles of one component do not meet: a
+    component that fills a band costs its size times the few tiles of the others, not its square.
+    """
+    m = members.select("band", "node", "n").join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    per = m.groupBy("band", "component").agg(F.count("*").alias("c"))
+    large = F.when(F.col("c") > TILE, F.struct("component", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")))
+    info = per.groupBy("band").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.ceil(F.coalesce(F.sum(F.when(F.col("c") <= TILE, F.col("c"))), F.lit(0)) / TILE).cast("int").alias("mixed"), F.array_sort(F.collect_list(large)).alias("large")).where(F.col("parts") > 1)
+    m = join_unique(m.drop("n"), info, "band", "n")
+    place = F.array_position(F.transform("large", lambda x: x.component), F.col("component")).cast("int")
+    tiles_of = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x.tiles)
+    m = m.withColumn("place", place).withColumn("first", F.when(F.col("place") > 0, F.col("mixed") + tiles_of(F.slice("large", F.lit(1), F.col("place") - 1))))
+    mine = F.when(F.col("place") > 0, F.get("large", F.col("place") - 1)["tiles"])
+    m = m.withColumn("mine", mine).withColumn("tiles", F.col("mixed") + tiles_of(F.col("large")))
+    own = F.when(F.col("place") > 0, F.col("first") + F.pmod(F.xxhash64("node"), F.col("mine"))).otherwise(F.pmod(F.xxhash64("component"), F.greatest("mixed", F.lit(1))))
+    other = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.col("first").isNull() | (t < F.col("first")) | (t >= F.col("first") + F.col("mine")))
+    m = m.withColumn("own", own.cast("int")).withColumn("other", F.explode(other))
+    return m.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+
+
 def _links_left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between members of a band that lie in different components, other than those with the band's pivot.
+    """Links between members of a band that lie in different components.
 
-    The members are dealt to tiles of about TILE, and each pair of tiles is a group of bounded size.  The registers show which
-    members have a candidate in a group at all; those meet again with their texts, and the exact test runs inside the group, so
-    that pairs are never rows.  Every candidate is tested unless links found in the group have joined its components by then.
+    Each pair of tiles is a group of bounded size.  The registers show which members have a candidate in a group at all; those meet
+    again with their texts, and the exact test runs inside the group, so that pairs are never rows.  Every candidate is tested
+    unless links found in the group have joined its components by then.
     """
-    m = members.where(F.col("n") > 2).join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
-    m = m.withColumn("component", F.coalesce("component", "set_id"))
-    mixed = m.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-    m = m.join(mixed, "band", "left_semi").where(F.col("set_id") != F.col("pivot")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    m = m.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    m = m.select("band", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "component")
-    names = ["band", "at", "i", "j", "own", "set_id", "component"]
+    m = _tiled(members, labels)
+    names = ["band", "i", "j", "own", "node", "component"]
 
     def columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
-        _, part = np.unique(np.array(group.column("component").to_pylist(), object), return_inverse=True)
-        return part, group.column("own").to_numpy(), tuple(group.column(k)[0].as_py() for k in ("at", "i", "j"))
+        band, i, j = (group.column(k)[0].as_py() for k in ("band", "i", "j"))
+        return group.column("component").to_numpy().copy(), group.column("own").to_numpy(), (band & 63, i, j)
 
     def flag(group: pa.Table) -> pa.Table:
         regs = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -195,28 +217,53 @@ def _links_left_over(members: DataFrame, labels: DataFrame, classes: DataFrame,
         return group.select(names).filter(pa.array(some))
 
     def confirm(group: pa.Table) -> pa.Table:
-        ids = group.column("set_id").to_pylist()
-        sets = [shingle_set(t) for t in group.column("text").to_pylist()]
-        good = np.array([len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, ids, strict=True)])
-        if not good.all():  # a repeated doc_id has brought the text of another row
-            group, sets = group.filter(pa.array(good)), [s for s, g in zip(sets, good, strict=True) if g]
-        out: list[tuple[bytes, bytes]] = []
-        if group.num_rows:
-            ids = group.column("set_id").to_pylist()
-            part, own, key = columns(group)
-            for x, near in _candidates(np.stack([registers(s) for s in sets]), part, own, key):
-                for y in near:
-                    if part[x] != part[y] and linked(sets[x], sets[y]):
-                        out.append((ids[x], ids[y]))
-                        part[part == part[y]] = part[x]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
-
-    schema = "band long, at int, i int, j int, own int, set_id binary, component binary"
-    flagged = cut(m.join(classes.select("set_id", "sketch"), "set_id").groupBy("band", "i", "j").applyInArrow(flag, schema))
-    if flagged.isEmpty():
-        return flagged.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
-    texts = _texts(flagged.select("set_id"), classes, docs)
-    return flagged.join(texts, "set_id").groupBy("band", "i", "j").applyInArrow(confirm, "a binary, b binary")
+        ids = group.column("node").to_numpy()
+        sets = [shingle_set(t.as_py()) for t in group.column("text")]
+        out: list[tuple[int, int]] = []
+        part, own, key = columns(group)
+        for x, near in _candidates(np.stack([registers(s) for s in sets]), part, own, key):
+            for y in near:
+                if part[x] != part[y] and linked(sets[x], sets[y]):
+                    out.append((int(ids[x]), int(ids[y])))
+                    part[part == part[y]] = part[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    flagged = cut(m.join(classes.select("node", "sketch"), "node").groupBy("band", "i", "j").applyInArrow(flag, "band long, i int, j int, own int, node long, component long"))
+    texts = _texts(flagged.select("node"), classes, docs)
+    found = cut(flagged.join(texts, "node").groupBy("band", "i", "j").applyInArrow(confirm, "a long, b long"))
+    discard(flagged)
+    return found
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows: what sketch() returns but the registers; names: set_id, n, component_id, kept_hash for each class).
+
+    component_id is the smallest doc_id of the class's component and kept_hash the text of the one row with it that stays.
+    """
+    rows = cut(sketch(docs))
+    real = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+    classes = real.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    classes = cut(classes.select("set_id", "n", "n_shingles", "sketch", "f.*", F.monotonically_increasing_id().alias("node")))
+    # The lowest six bits of a band's key are its number.
+    band = lambda i: F.shiftleft(F.shiftright(F.xxhash64(i, F.col("sketch").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))), 6), 6).bitwiseOR(i.cast("long"))
+    bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
+    shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
+    members = cut(bands.join(shared, "band"))
+    pairs = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # Each class is tested against its likeliest pivot first; what that leaves in different components comes next.
+    likeliest = _let_through(pairs, classes).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"), F.first("size").alias("size"))
+    links = cut(_confirmed(likeliest, classes, docs))
+    labels = cut(components(links))
+    more = _links_left_over(members, labels, classes, docs)
+    discard(labels, members)
+    labels = components(links.unionByName(more))
+    best = classes.select("set_id", "n", "node", F.struct("doc_id", "text_hash").alias("f")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = cut(best)
+    least = best.groupBy("component").agg(F.min("f").alias("least"), F.count("*").alias("c"))
+    names = join_unique(best, least, "component", "c").select("set_id", "n", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("kept_hash"))
+    names = cut(names)
+    discard(links, more, classes, best)
+    return rows.drop("sketch"), names
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -224,34 +271,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents link where SHARE of the union of their shingles is common; component_id is the smallest doc_id reachable by links.
     Null and empty texts, and texts without words, have 0 shingles and link with nothing.  Repeated rows are copies like any other
-    and get the same answer.  A row with a null doc_id gets a null component_id and links nothing.  Very long texts are compared
-    whole.  An empty table gives no rows.
+    and get the same answer.  A row with a null doc_id links nothing, has a null component_id and is kept.  Very long texts are
+    compared whole.  An empty table gives no rows.
     """
-    rows = cut(sketch(docs))
+    rows, names = _grouped(docs)
     real = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(real.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("sketch").alias("sketch")))
-    band = lambda i: F.xxhash64(i, F.col("sketch").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    bands = classes.select("set_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("at", "band"))
-    shared = bands.groupBy("band").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
-    members = cut(bands.join(shared, "band"))
-    pairs = members.where(F.col("set_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = cut(_confirmed(cut(_let_through(pairs, classes)), classes, docs))
-    labels = cut(components(links))
-    more = cut(_links_left_over(members, labels, classes, docs))
-    if not more.isEmpty():
-        labels = cut(components(links.unionByName(more)))
-    ids = classes.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id")
-    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked_ids = ids.join(least, "component").select("set_id", "component_id")
-    named = classes.select("set_id", "doc_id").join(linked_ids, "set_id", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = rows.where(F.col("set_id").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = real.join(named, "set_id").select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = join_unique(real, names, "set_id", "n").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group.  Rows with a null id stay."""
-    found = cut(near_duplicates(docs))
-    out = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1")
-    return out if again.isEmpty() else out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that stay: exactly one row of each group of near-duplicates, one of those with its smallest doc_id.
+
+    Rows decide, not ids: of rows that share an id but belong to different groups each group keeps its own.  Rows with a null id or
+    without words stay.  ``docs`` is read once more for the result, joined by id and a hash of the text with the rows that go.
+    """
+    rows, names = _grouped(docs)
+    real = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+    keys = join_unique(real, names, "set_id", "n").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).alias("__stays"))
+    keys = keys.groupBy("__id", "__hash").agg(F.max("__stays").alias("__stays"), F.count("*").alias("__n"))
+    keys = cut(keys.where(~F.col("__stays") | (F.col("__n") > 1)).select("__id", "__hash", "__stays"))
+    met = docs.join(keys, (F.col("doc_id") == F.col("__id")) & (_text_hash() == F.col("__hash")), "left")
+    repeated = met.where("__stays").dropDuplicates(["__id", "__hash"])
+    return met.where(F.col("__stays").isNull()).unionByName(repeated).select(docs.columns)

@@ -63,6 +63,24 @@ def test_near_duplicate_stage_keeps_one_of_each(spark):
     assert sorted(str(r.doc_id) for r in hyperminhash.drop_near_duplicates(df).collect()) == ["3", "8", "9", "None"]
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "q r s")], "doc_id long, text string")
     assert sorted(r.doc_id for r in hyperminhash.drop_near_duplicates(twice).collect()) == [1, 2]
+    shared = [(5, "a b c d"), (5, "other text entirely here"), (3, "a b c d"), (7, "p q r s"), (7, "l m n o"), (7, "P q r  s")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in shared], "doc_id long, text string, text_hash int, component_id int")
+    got = sorted((r.doc_id, r.text.lower().split()[0]) for r in hyperminhash.drop_near_duplicates(df).collect())
+    assert got == [(3, "a"), (5, "other"), (7, "l"), (7, "p")]
+    assert hyperminhash.drop_near_duplicates(df.where("false")).count() == 0
+
+
+def test_a_component_that_fills_a_band_meets_the_others_only(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "TILE", 4)
+    members = spark.createDataFrame([(64, k, 30) for k in range(20)] + [(64, 100 + k, 30) for k in range(10)] + [(65, 1, 2), (65, 2, 2)], "band long, node long, n long")
+    labels = spark.createDataFrame([(k, 0) for k in range(20)], "node long, component long")
+    rows = hyperminhash._tiled(members, labels).collect()
+    meet = {}
+    for r in rows:
+        meet.setdefault((r.i, r.j), []).append((r.own, r.node))
+    pairs = {(min(x, y), max(x, y)) for (i, j), v in meet.items() for a, x in v for b, y in v if a == i and b == j and x != y}
+    assert {p for p in pairs if p[1] < 100} == set()
+    assert {p for p in pairs if p[1] >= 100} == {(x, y) for x in [*range(20), *range(100, 110)] for y in range(100, 110) if x < y}
 
 
 def test_links_without_the_pivot_are_found(spark, monkeypatch):
