@@ -1,14 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block.  Text lengths are summed over sliding windows of lines; the text kept lies between
-the point where the sums surge and the point where they dive.  Lines inside menus, adverts and the like are left out.  Where a page
-marks its article the mark decides alone: all marked lines are the text, and sums are not looked at.
+Markup is stripped to lines, one for each block.  Text lengths are summed over sliding windows of lines; where the sums surge text
+begins, where they dive it ends.  Lines inside menus, adverts and the like are left out before.  The sums say which elements hold
+text; an element that does is kept from its first line to its last, so that short lines at its ends are not lost.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,19 +24,21 @@ from labcurate.llm.common import bounded_batches
 WINDOW = 3
 SURGE = 80
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|svg|math|iframe|object|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: An element with less than this share of the heaviest element's surging text is not text.
+SHARE = 0.1
+
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_TAG_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")  # findall reads name by name, each with its whole value
 # Names of blocks, of parts that are never the article, and words in classes and ids that say so.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _NESTED = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form head header html main menu nav ol section table td tr ul".split())
 _NEVER = frozenset("aside audio button canvas dialog footer form head label menu nav video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_RAW = frozenset("iframe math noscript object script select style svg template textarea title".split())
+_HOLDERS = frozenset("article div main section".split())
+_MARKS = frozenset("article main".split())
+_AROUND = frozenset("html head body div section p".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = re.compile(
@@ -49,7 +52,8 @@ class Line:
     text: str
     linked: int  # characters inside links
     heading: bool
-    inside: bool  # of a marked article
+    block: int  # number of the element that holds it, 0 for the page itself
+    marked: bool  # that element is an article or the main part
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
@@ -66,111 +70,155 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[Line], bool]:
-    """The blocks that are not part of a menu, advert or the like, in page order; whether the page marks an article."""
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(text before, tag name, attributes, closing) tag after tag; the last has no name.  Comments and raw elements are passed over.
+
+    Time is linear in the page: a quote or tag that never ends is met once, and from then on tags end at the next ``>``.
+    """
+    start = at = 0
+    quotes = True
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            yield page[start:lt], "", "", False
+            start = at = len(page) if end < 0 else end + 3
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            end = page.find(">", lt)
+            if end < 0:
+                break
+            yield page[start:lt], "", "", False
+            start = at = end + 1
+            continue
+        closing = page.startswith("/", lt + 1)
+        name = _NAME.match(page, lt + 1 + closing)
+        if not name:
+            at = lt + 1
+            continue
+        end = name.end()
+        while quotes:
+            stop = _TAG_STOP.search(page, end)
+            end = stop.start() if stop else -1
+            if end < 0 or page[end] == ">":
+                break
+            end = page.find(page[end], end + 1) + 1
+            if not end:
+                end = -1
+                break
+        if not quotes or end < 0:
+            quotes = False
+            end = page.find(">", name.end())
+        if end < 0:
+            break
+        attributes, low = page[name.end() : end], name[0].lower()
+        yield page[start:lt], low, attributes, closing
+        start = at = end + 1
+        if low in _RAW and not closing and not attributes.endswith("/"):
+            shut = re.compile(rf"</{low}\s*>", re.IGNORECASE).search(page, at)
+            start = at = shut.end() if shut else len(page)
+    yield page[start:], "", "", False
+
+
+def lines_of(page: str) -> list[Line]:
+    """The blocks that are not part of a menu, advert or the like, in page order."""
     out: list[Line] = []
     text: list[str] = []
-    linked, links, heading, marked = 0, 0, False, False
+    linked, links, heading = 0, 0, False
     open_tags: list[tuple[str, bool]] = []  # nested elements that are open, and whether each begins an unwanted part
-    skipping, articles = 0, 0
+    count: Counter[str] = Counter()  # of their names
+    holders: list[tuple[int, bool]] = []  # of those, the ones that hold text: number, marked
+    skipping, around, numbers = 0, 0, 0
 
     def end_line() -> None:
         nonlocal text, linked, heading
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Line(joined, linked, heading, articles > 0))
+            mark = next((n for n, m in holders if m), None) if count["article"] + count["main"] else None
+            block = mark if mark is not None else holders[-1][0] if holders else 0
+            out.append(Line(joined, linked, heading, block, mark is not None))
         text, linked, heading = [], 0, False
 
     def close_to(at: int) -> None:
-        nonlocal skipping, articles
+        nonlocal skipping, around
         for name, unwanted in open_tags[at:]:
             skipping -= unwanted
-            articles -= name in ("article", "main")
+            around -= name in _AROUND
+            count[name] -= 1
+            if name in _HOLDERS:
+                holders.pop()
         del open_tags[at:]
 
-    def add(piece: str) -> None:
-        nonlocal linked
-        if not skipping:
-            text.append(piece)
+    for before, name, attributes, closing in tokens(page):
+        if before and not skipping:
+            text.append(before)
             if links:
-                linked += len(piece.strip())
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if not name:
+                linked += len(before.strip())
+        if not name or name in _RAW:
             continue
-        name = name.lower()
         if name in _BLOCKS:
             end_line()
-        elif name in ("br", "img", "wbr", "td", "th"):
-            add(" ")
+        elif name in ("br", "img", "wbr", "td", "th") and not skipping:
+            text.append(" ")
         if name == "a":
-            links = 0 if m["close"] else 1
-        if m["close"]:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    close_to(k)
-                    break
+            links = not closing
+        if closing:
+            if count[name]:
+                close_to(next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name))
             continue
         if name in _BLOCKS and open_tags and open_tags[-1][0] in ("p", *_HEADINGS):
             close_to(len(open_tags) - 1)  # a paragraph ends where the next block begins
-        if name == "body" and any(t == "head" for t, _ in open_tags):
-            close_to([t for t, _ in open_tags].index("head"))
-        if name in ("article", "main") and not articles and skipping and all(t in ("html", "head", "body", "div", "section", "p") for t, _ in open_tags):
+        while name == "body" and count["head"]:
+            close_to(next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == "head"))
+        inside = count["article"] + count["main"] > 0
+        if name in _MARKS and not inside and skipping and around == len(open_tags):
             close_to(0)  # a part left open does not swallow the article
         heading = heading or name in _HEADINGS
-        unwanted = _unwanted(name, m["attributes"], articles > 0)
-        if (name in _NESTED or unwanted) and name not in _VOID and not m["attributes"].endswith("/"):
+        unwanted = _unwanted(name, attributes, inside)
+        if (name in _NESTED or unwanted) and name not in _VOID and not attributes.endswith("/"):
             open_tags.append((name, unwanted))
+            count[name] += 1
             skipping += unwanted
-            if name in ("article", "main"):
-                articles += 1
-                marked = marked or not skipping
-    add(page[at:])
+            around += name in _AROUND
+            if name in _HOLDERS:
+                numbers += 1
+                holders.append((numbers, name in _MARKS))
     end_line()
-    return out, marked
+    return out
 
 
-def between_surge_and_dive(weights: np.ndarray) -> tuple[int, int]:
-    """First and last line (exclusive) of the stretch with most weight whose window sums stay at SURGE or above."""
-    if not len(weights):
-        return 0, 0
+def surging(weights: np.ndarray) -> np.ndarray:
+    """Which lines lie between a surge and a dive: some window over them sums to SURGE, or to half the page's best window if that is less."""
     sums = np.convolve(weights, np.ones(WINDOW))  # of every window that touches a line
-    best = np.array([sums[i : i + WINDOW].max() for i in range(len(weights))])
-    high = (best >= SURGE) & (weights > 0)
-    high[1:-1] |= high[:-2] & high[2:]  # a single line that weighs nothing does not part a text
-    high = np.concatenate([[False], high, [False]])
-    edges = np.flatnonzero(high[1:] != high[:-1]).reshape(-1, 2)
-    if not len(edges):
-        return 0, 0
-    total = np.concatenate([[0], np.cumsum(weights)])
-    return tuple(edges[int(np.argmax(total[edges[:, 1]] - total[edges[:, 0]]))].tolist())
+    best = np.lib.stride_tricks.sliding_window_view(sums, WINDOW).max(axis=1)
+    return (best >= min(SURGE, best.max() / 2)) & (weights > 0)
 
 
 def main_text(page: str | None) -> str:
-    """Empty for a null or empty page and where no article is found."""
-    if not page:
-        return ""
-    lines, marked = lines_of(page)
-    if marked:
-        return "\n".join(x.text for x in lines if x.inside)
+    """Empty for a null or empty page and where no text stands outside menus and links."""
+    lines = lines_of(page) if page else []
     weights = np.array([float(len(x.text) - x.linked) if 2 * x.linked <= len(x.text) else 0.0 for x in lines])
-    first, last = between_surge_and_dive(weights)
-    if first < last:
-        while first and lines[first - 1].heading:
-            first -= 1
-    return "\n".join(x.text for x in lines[first:last])
+    if not weights.any():
+        return ""
+    high = surging(weights)
+    blocks = np.array([x.block for x in lines])
+    marked = np.array([x.marked for x in lines])
+    held = np.bincount(blocks, weights=weights * high)
+    heaviest = int(held.argmax())
+    if marked[blocks == heaviest].any():  # the text is an article; a page may have several
+        return "\n".join(x.text for x in lines if x.marked)
+    texts = np.isin(blocks, np.flatnonzero(held >= SHARE * held[heaviest]))
+    at = np.flatnonzero(texts & (high | (blocks > 0)))
+    first, last = int(at[0]), int(at[-1])
+    while first and lines[first - 1].heading:
+        first -= 1
+    return "\n".join(x.text for x in lines[first : last + 1])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` but the markup, and text, n_chars (replaced where they exist).
 
     Row by row, no shuffle.  A null or empty page gives an empty text of 0 characters, as does one without main text; pages of any
-    length are read whole; repeated rows get the same answer; an empty table gives none.
+    length are read whole, in time linear in their length; repeated rows get the same answer; an empty table gives none.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     base = pages.select(*keep, F.col(html_col).alias("__html"))

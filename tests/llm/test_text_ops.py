@@ -1,11 +1,15 @@
 """Chat formatting, byte-level BPE, URL filter, HTML extraction and packing against plain Python."""
 
-import random
 import hashlib
+import random
+import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -48,8 +52,6 @@ def test_perfect_hash_is_minimal_and_finds_every_key():
 
 
 def test_chat_query_matches_plain_python(spark):
-    import pyarrow.parquet as pq
-
     rows = pq.read_table(f"{SF}/conversations.parquet").to_pylist() + [{"conv_id": -7, "turn": k, "role": r, "text": queries.CONTROL_TEXT} for k, r in enumerate(("user", "assistant"))]
     want = {}
     for c in {r["conv_id"] for r in rows}:
@@ -91,7 +93,8 @@ PAGES = {
     "<div class=ad>unclosed <article><p>kept</p></article>": "kept",
     "<p>a < b " + "text " * 30: "a < b " + ("text " * 30).strip(),
     "": "",
-    "<p>tiny</p>": "",
+    "<p>tiny</p>": "tiny",
+    "<a href=x>only a link</a>": "",
 }
 
 
@@ -109,6 +112,54 @@ def test_main_text_keeps_what_only_looks_unwanted(tag):
 
 def test_main_text_joins_all_marked_articles():
     assert html_main.main_text("<article><p>one</p></article><p>x</p><p>y</p><p>z</p><article><p>two</p><p>three</p></article>") == "one\ntwo\nthree"
+    a, b = ("a " * 60).strip(), ("b " * 90).strip()
+    assert html_main.main_text(f"<article><p>{a}</p></article><p>x</p><p>y</p><article><p>{b}</p></article>") == f"{a}\n{b}"
+
+
+def test_main_text_keeps_short_lines_between_and_beside_long_ones():
+    a, b = ("a " * 60).strip(), ("b " * 90).strip()
+    assert html_main.main_text(f"<p>{a}</p>" + "<p>s</p>" * 6 + f"<p>{b}</p>") == "\n".join([a, *"ssssss", b])
+    assert html_main.main_text("<body><div>Home</div><div><p>one</p><p>two</p>" + f"<p>{a}</p>" + "<p>s</p>" * 6 + "</div><div>c</div>") == "\n".join(["one", "two", a, *"ssssss"])
+
+
+@pytest.mark.parametrize("page", ["<a " * 340_000, "<div>" * 90_000 + "</p>" * 90_000, '<a ">" ' * 150_000, "<div>" * 60_000 + "<nav>" + "<article></article>" * 25_000, "<body><head>" * 80_000, "<p x='\">" * 110_000])
+def test_main_text_takes_linear_time(page):
+    began = time.process_time()
+    html_main.main_text(page)
+    assert time.process_time() - began < 8
+
+
+class Article(HTMLParser):
+    """The article of a test page by the tag, block by block."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.open = [[]], False
+
+    def handle_starttag(self, tag, attrs):
+        self.open = self.open or tag == "article"
+        if tag in ("p", "h1"):
+            self.blocks.append([])
+        elif tag == "br":
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.open = False
+
+    def handle_data(self, data):
+        if self.open:
+            self.blocks[-1].append(data)
+
+
+def test_main_text_of_all_pages_with_and_without_the_mark():
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist():
+        a = Article()
+        a.feed(r["html"])
+        a.close()
+        want = "\n".join(t for b in a.blocks if (t := " ".join("".join(b).split())))
+        assert html_main.main_text(r["html"]) == want
+        assert html_main.main_text(re.sub(r"<(/?)article\b", r"<\1div", r["html"])) == want
 
 
 def test_main_text_reads_attributes_after_others():
@@ -120,7 +171,7 @@ def test_html_extract_rows(spark):
     page = "<article><p>x</p></article>"
     df = spark.createDataFrame([(1, "u", page, 3), (1, "u", page, 3), (2, None, None, 1), (3, "u", "<b>" * 20000 + "deep", 0)], "page_id long, url string, html string, n_chars int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_main.extract(df).collect())
-    assert got == [(1, "x", 1), (1, "x", 1), (2, "", 0), (3, "", 0)]
+    assert got == [(1, "x", 1), (1, "x", 1), (2, "", 0), (3, "deep", 4)]
     assert html_main.extract(df.where("false")).count() == 0
 
 
