@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A text is read as words; a word's input joins a word vector and the mean of its character n-grams' vectors.  All overlapping
-windows of a text are scored, and the worst window is the text's score.  A label says that some window of its document is
-toxic, so training follows the window that scores highest.
+A text is read as words; a word's input joins a word vector and the mean of its character n-grams' vectors.  Attention pools the
+network's states over windows; every window of a text is scored, one beginning at each word, and the worst is the text's score.
+A label says that some window of its document is toxic, so training follows the window that scores highest.
 """
 
 from __future__ import annotations
@@ -24,23 +24,25 @@ SAMPLE_PER_LABEL = 1024
 SAMPLE_CHARS = 20_000
 #: A document is predicted toxic from this score on.
 TOXIC_FROM = 0.3
-WINDOW, STRIDE = 32, 24
+WINDOW = 32  # words; a power of two
+SPAN, MARGIN = 96, 12  # words scored in one run of the network, and read before and after them
+GAP = max(WINDOW, MARGIN)
 UNITS = 8
-WORD_DIM, CHAR_DIM = 4, 8
+WORD_DIM, CHAR_DIM = 8, 8
 VOCABULARY = 20_000
 LEAST_DOCS = 3  # a word of the vocabulary is in so many documents of the sample
 CHAR_BUCKETS = 4096
-STEPS = 240
-FOLDS = 4
-CHANCE = 3.0  # so large a root comes about by chance among thousands of words
+STEPS, WARM, HALF = 400, 150, 16
+RATE = 0.01
+WORD_RATE, CHAR_RATE = 16.0, 4.0
+DECAY = 0.001  # of the word and n-gram vectors in each step
+CLIP = 8.0  # of the logarithm of a word's weight in the pooling
 CLEAN_WEIGHT = 4  # a clean document flagged counts as so many toxic ones missed when the cut is set
-SLOW_RATE = 0.0005
-DECAY = 0.02  # of the word and n-gram vectors in each step, so that words seen rarely learn little
-ROWS = 1024  # windows in one pass
+ROWS = 512  # spans in one pass
 MEMO_ENTRIES = 200_000
 
 _WORD = re.compile(r"\w+")
-_DIM = WORD_DIM + 1 + CHAR_DIM
+_DIM = WORD_DIM + CHAR_DIM
 
 
 def words_of(text: str | None) -> list[str]:
@@ -58,22 +60,38 @@ def char_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h[at] % np.uint64(CHAR_BUCKETS)).astype(np.intp), first
 
 
-def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts laid end to end: each window's text, first word and length.  Every word is in a window; texts without words have none."""
-    n = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
-    doc = np.repeat(np.arange(len(counts)), n)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    return doc, np.repeat(np.cumsum(counts) - counts, n) + k * STRIDE, np.minimum(WINDOW, counts[doc] - k * STRIDE)
+class Layout:
+    """Texts laid end to end with room between them, each filled up to whole spans.
+
+    at: first place of each text; spans: first place of every span; windows(): for each text the places where its windows of WINDOW
+    words begin, all of them (one for a shorter text).
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        whole = -(-counts // SPAN) * SPAN
+        self.at = GAP + np.cumsum(whole + GAP) - (whole + GAP)
+        self.size = int((whole + GAP).sum()) + GAP
+        n = whole // SPAN
+        self.spans = np.repeat(self.at, n) + SPAN * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+
+    def places(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of the first n places of each text."""
+        doc = np.repeat(np.arange(len(n)), n)
+        return doc, self.at[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.places(np.where(self.counts > 0, np.maximum(self.counts - WINDOW, 0) + 1, 0))
 
 
 class Model:
     """Weights and vocabulary; small enough to travel with the tasks."""
 
-    def __init__(self, params: gru.Params, vocabulary: dict[str, int], prior: np.ndarray):
-        self.params, self.vocabulary, self.prior = params, vocabulary, prior
+    def __init__(self, params: gru.Params, vocabulary: dict[str, int]):
+        self.params, self.vocabulary = params, vocabulary
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("params", "vocabulary", "prior")}
+        return {k: self.__dict__[k] for k in ("params", "vocabulary")}
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """(words, _DIM)"""
@@ -82,57 +100,77 @@ class Model:
         flat, first = char_ids(words)
         sizes = np.diff(np.append(first, len(flat)))
         chars = np.add.reduceat(p["char"][flat], first) / sizes[:, None]
-        return np.concatenate([p["word"][at], self.prior[at][:, None], chars], axis=1).astype(np.float32)
-
-    def logits(self, pre: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Of windows: ids and mask (windows, WINDOW); pre: for each direction and id the input to the gates, (2, ids, 3 * UNITS)."""
-        p, out = self.params, np.empty(len(ids), np.float32)
-        for at in range(0, len(ids), ROWS):
-            i, m = np.ascontiguousarray(ids[at : at + ROWS].T), mask[at : at + ROWS].T
-            rows = np.empty((i.shape[1], 3 * UNITS), np.float32)
-
-            def fill(t: int, o: np.ndarray, table: np.ndarray, i: np.ndarray = i, rows: np.ndarray = rows) -> None:
-                np.take(table, i[t], axis=0, out=rows, mode="clip")
-                np.copyto(o, rows.T)
-
-            states = [gru.run(lambda t, o, k=k: fill(t, o, pre[k]), WINDOW, i.shape[1], p["u" + d], d == "b") for k, d in enumerate("fb")]
-            h = np.concatenate(states).reshape(2 * UNITS, -1)
-            both = np.stack([p["attend"], p["out"]]) @ h
-            e = both[0].reshape(i.shape) + np.where(m, 0, np.float32(-1e9))
-            e = np.exp(e - e.max(axis=0))
-            e /= e.sum(axis=0)
-            out[at : at + ROWS] = (e * both[1].reshape(i.shape)).sum(axis=0) + p["bias"][0]
-        return out
+        return np.concatenate([p["word"][at], chars], axis=1).astype(np.float32)
 
     def pre(self, x: np.ndarray) -> np.ndarray:
-        """What inputs add to the gates, scaled as gru.run() wants it."""
+        """What inputs add to the gates, (2, inputs, 3 * UNITS), scaled as gru.run() wants it."""
         p = self.params
         both = np.stack([x @ p["w" + d].T + p["c" + d] for d in "fb"])
         both[:, :, : 2 * UNITS] *= 0.25
         return both
 
+    def places(self, pre: np.ndarray, flat: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+        """For each place its weight in the pooling (0 where no word stands) and weight times evidence.  flat: rows of ``pre``.
+
+        The network reads each span with MARGIN words of what stands before and after it.
+        """
+        p = self.params
+        weight, evidence = np.zeros(layout.size, np.float32), np.zeros(layout.size, np.float32)
+        steps = SPAN + 2 * MARGIN
+        for at in range(0, len(layout.spans), ROWS):
+            begin = layout.spans[at : at + ROWS]
+            i = np.ascontiguousarray(flat[begin - MARGIN + np.arange(steps)[:, None]])
+            rows = np.empty((len(begin), 3 * UNITS), np.float32)
+
+            def fill(t: int, o: np.ndarray, table: np.ndarray, i: np.ndarray = i, rows: np.ndarray = rows) -> None:
+                np.take(table, i[t], axis=0, out=rows, mode="clip")
+                np.copyto(o, rows.T)
+
+            states = [gru.run(lambda t, o, k=k: fill(t, o, pre[k]), steps, len(begin), p["u" + d], d == "b") for k, d in enumerate("fb")]
+            h = np.concatenate([s[:, MARGIN : MARGIN + SPAN] for s in states]).reshape(2 * UNITS, -1)
+            both = (np.stack([p["attend"], p["out"]]) @ h).reshape(2, SPAN, -1)
+            e = np.exp(np.clip(both[0], -CLIP, CLIP))
+            where = begin + np.arange(SPAN)[:, None]
+            weight[where], evidence[where] = e, e * both[1]
+        _, held = layout.places(layout.counts)
+        words = np.zeros(layout.size, bool)
+        words[held] = True
+        weight[~words] = 0
+        evidence[~words] = 0
+        return weight, evidence
+
+    def logits(self, weight: np.ndarray, evidence: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Attention pooling over the windows that begin at the places given."""
+        for k in range(WINDOW.bit_length() - 1):  # sums of 2, 4, 8 ... places
+            weight, evidence = (x + np.append(x[1 << k :], np.zeros(1 << k, x.dtype)) for x in (weight, evidence))
+        return evidence[begin] / weight[begin] + self.params["bias"][0]
+
     def score(self, texts: list[str | None]) -> list[float]:
-        """Of whole texts; one without words scores 0."""
+        """Of whole texts: the worst of all windows; one without words scores 0."""
         memo: dict[str, int] = self.__dict__.setdefault("memo", {})
         if len(memo) > MEMO_ENTRIES or "table" not in self.__dict__:
             memo.clear()
-            self.table = np.zeros((2, 0, 3 * UNITS), np.float32)
+            self.table = np.empty((2, 1 << 14, 3 * UNITS), np.float32)
+            self.table[:, 0] = self.pre(np.zeros((1, _DIM), np.float32))[:, 0]  # no word
         split = [words_of(t) for t in texts]
         new = list(set().union(*split).difference(memo)) if split else []
         if new:
-            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.pre(self.inputs(new))], axis=1)
-        counts = np.array([len(w) for w in split], np.intp)
-        flat = np.zeros(int(counts.sum()) + WINDOW, np.intp)
-        flat[: len(flat) - WINDOW] = np.fromiter((memo[w] for words in split for w in words), np.intp, len(flat) - WINDOW)
-        doc, start, length = windows_of(counts)
+            n = 1 + len(memo)
+            memo.update(zip(new, range(n, n + len(new)), strict=True))
+            while n + len(new) > self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.empty_like(self.table)], axis=1)
+            self.table[:, n : n + len(new)] = self.pre(self.inputs(new))
+        layout = Layout(np.array([len(w) for w in split], np.intp))
+        flat = np.zeros(layout.size, np.intp)
+        _, held = layout.places(layout.counts)
+        flat[held] = np.fromiter((memo[w] for words in split for w in words), np.intp, len(held))
+        doc, begin = layout.windows()
         best = np.full(len(texts), -np.inf)
-        for at in range(0, len(doc), 16 * ROWS):
-            part = slice(at, at + 16 * ROWS)
-            ids = flat[start[part, None] + np.arange(WINDOW)]
-            z = self.logits(self.table, ids, np.arange(WINDOW) < length[part, None])
-            np.maximum.at(best, doc[part], z)
-        return np.where(counts > 0, 1 / (1 + np.exp(-np.maximum(best, -60))), 0.0).tolist()
+        if len(doc):
+            z = self.logits(*self.places(self.table, flat, layout), begin)
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            best[doc[first]] = np.maximum.reduceat(z, first)
+        return np.where(layout.counts > 0, 1 / (1 + np.exp(-np.clip(best, -60, 30))), 0.0).tolist()
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
@@ -151,88 +189,71 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
     return sorted({(toxic[r.doc_id], r.text) for r in picked})
 
 
-def _prior(with_toxic: int, with_clean: int, toxic: int, clean: int) -> float:
-    """How surely a word stands with one label, -2 to 2: the signed root of the likelihood ratio against the labels' shares, 0 up to CHANCE."""
-    n, share = with_toxic + with_clean, toxic / (toxic + clean)
-    g = sum(2 * o * np.log(o / e) for o, e in ((with_toxic, n * share), (with_clean, n * (1 - share))) if o)
-    root = np.sqrt(max(0.0, g)) - CHANCE
-    return float(min(2.0, max(0.0, root / 3)) * (1 if with_toxic > n * share else -1))
-
-
 def train(docs: list[tuple[int, str]], seed: int = 11) -> Model:
+    """Backpropagation through time over one window of each document drawn: at random in the first WARM steps, then the window that
+    scores highest."""
     rng = np.random.default_rng(seed)
     split = [(y, w) for y, t in docs if (w := words_of(t))]
     n = [sum(1 for y, _ in split if y == k) for k in (0, 1)]
-    seen = [Counter(w for y, words in split if y == k for w in set(words)) for k in (0, 1)]
-    common = [w for w, c in (seen[0] + seen[1]).most_common(VOCABULARY) if c >= LEAST_DOCS]
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(common))}
-    part = rng.integers(0, FOLDS, len(split))
-    seen_in = [[Counter(w for f, (y, words) in zip(part, split, strict=True) if y == k and f == fold for w in set(words)) for k in (0, 1)] for fold in range(FOLDS)]
-    size_in = [[sum(1 for f, (y, _) in zip(part, split, strict=True) if y == k and f == fold) for k in (0, 1)] for fold in range(FOLDS)]
-    # A document meets priors learnt without its own part of the sample, as documents to be scored will; the last row is from all.
-    priors = np.zeros((FOLDS + 1, len(vocabulary) + 1), np.float32)
-    for fold in range(FOLDS + 1):
-        less, fewer = (seen_in[fold], size_in[fold]) if fold < FOLDS else ((Counter(), Counter()), (0, 0))
-        if all(n[k] > fewer[k] for k in (0, 1)):
-            for w, i in vocabulary.items():
-                a, b = seen[1][w] - less[1][w], seen[0][w] - less[0][w]
-                priors[fold, i] = _prior(a, b, n[1] - fewer[1], n[0] - fewer[0]) if a + b else 0
-    prior = priors[FOLDS]
-    p: gru.Params = {"word": gru.init(rng, len(vocabulary) + 1, WORD_DIM, scale=0.02), "char": gru.init(rng, CHAR_BUCKETS, CHAR_DIM, scale=0.02), "attend": gru.init(rng, 2 * UNITS), "out": gru.init(rng, 2 * UNITS), "bias": np.full(1, -2, np.float32)}
+    common = Counter(w for _, words in split for w in set(words)).most_common(VOCABULARY)
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, c in common if c >= LEAST_DOCS))}
+    p: gru.Params = {"word": np.zeros((len(vocabulary) + 1, WORD_DIM), np.float32), "char": gru.init(rng, CHAR_BUCKETS, CHAR_DIM, scale=0.02), "attend": gru.init(rng, 2 * UNITS, scale=0.1), "out": gru.init(rng, 2 * UNITS), "bias": np.full(1, -1, np.float32)}
     for d in "fb":
         p |= {"w" + d: gru.init(rng, 3 * UNITS, _DIM), "u" + d: gru.init(rng, 3 * UNITS, UNITS), "c" + d: np.zeros(3 * UNITS, np.float32)}
-    model = Model(p, vocabulary, prior)
+    model = Model(p, vocabulary)
     if not all(n):
         return model
-    names = sorted({w for _, words in split for w in words})
+    names = ["", *sorted({w for _, words in split for w in words})]  # the first stands for no word
     number = {w: i for i, w in enumerate(names)}
     at = np.array([vocabulary.get(w, 0) for w in names], np.intp)
-    flat_grams, first_gram = char_ids(names)
-    gram_ends = np.append(first_gram, len(flat_grams))
-    ids = [np.array([number[w] for w in words], np.intp) * FOLDS + f for f, (_, words) in zip(part, split, strict=True)]
-    groups = [[i for i, (y, _) in enumerate(split) if y == k] for k in (0, 1)]
-    slow = gru.Adam({k: p[k] for k in ("word", "char")}, SLOW_RATE)  # the many vectors learn late, when the few weights have found the words that count
-    adam, half = gru.Adam({k: v for k, v in p.items() if k not in slow.params}, 0.01), 16
-    most = 40  # windows looked at of one document in one step, drawn anew each time
-
-    def looked_up(win: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """The distinct words of windows as inputs, the windows as places among them, and what their gradients need."""
-        pairs, inverse = np.unique(win, return_inverse=True)
-        used, fold = pairs // FOLDS, pairs % FOLDS
-        sizes = gram_ends[used + 1] - gram_ends[used]
+    flat_grams, first_gram = char_ids(names[1:])
+    gram_begin = np.concatenate([[0], first_gram, [len(flat_grams)]])  # none for the first
+    ids = [np.array([number[w] for w in words], np.intp) for _, words in split]
+    labels = np.array([y for y, _ in split])
+    groups = [np.flatnonzero(labels == k) for k in (0, 1)]
+    adam = gru.Adam({k: v for k, v in p.items() if k not in ("word", "char")}, RATE)
+    rows = np.arange(-MARGIN, WINDOW + MARGIN)
+
+    def looked_up(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """The distinct words of places as inputs, the places as rows of those, and what their gradients need."""
+        used, inverse = np.unique(places, return_inverse=True)
+        sizes = gram_begin[used + 1] - gram_begin[used] if used[0] else np.concatenate([[0], gram_begin[used[1:] + 1] - gram_begin[used[1:]]])
         first = np.cumsum(sizes) - sizes
-        grams = flat_grams[np.arange(int(sizes.sum())) + np.repeat(gram_ends[used] - first, sizes)]
-        chars = np.add.reduceat(p["char"][grams], first) / sizes[:, None]
-        x = np.concatenate([p["word"][at[used]], priors[fold, at[used]][:, None], chars], axis=1).astype(np.float32)
-        return x, inverse.reshape(win.shape), (used, grams, sizes)
-
-    for _ in range(STEPS):
-        chosen = [*rng.choice(groups[0], half), *rng.choice(groups[1], half)]
-        counts = np.array([len(ids[i]) for i in chosen])
-        doc, start, length = windows_of(counts)
-        keep = rng.permutation(len(doc))
-        order = np.concatenate([keep[doc[keep] == k][:most] for k in range(len(chosen))])
-        doc, start, length = doc[order], start[order], length[order]
-        flat = np.concatenate([*[ids[i] for i in chosen], np.zeros(WINDOW, np.intp)])
-        win, mask = flat[start[:, None] + np.arange(WINDOW)], np.arange(WINDOW) < length[:, None]
-        x, win, _ = looked_up(win)
-        z = model.logits(model.pre(x), win, mask)
-        best = np.array([np.flatnonzero(doc == k)[z[doc == k].argmax()] for k in range(len(chosen))])
-        x, win, (used, grams, sizes) = looked_up(flat[start[best][:, None] + np.arange(WINDOW)])
-        win, mask = win.T, mask[best].T  # (T, B)
+        grams = flat_grams[np.arange(int(sizes.sum())) + np.repeat(gram_begin[used] - first, sizes)]
+        chars = np.zeros((len(used), CHAR_DIM), np.float32)
+        np.add.at(chars, np.repeat(np.arange(len(used)), sizes), p["char"][grams])
+        x = np.concatenate([np.where(used[:, None] > 0, p["word"][at[used]], 0), chars / np.maximum(sizes, 1)[:, None]], axis=1).astype(np.float32)
+        return x, inverse.reshape(places.shape), (used, grams, sizes)
+
+    for step in range(STEPS):
+        chosen = np.concatenate([rng.choice(groups[0], HALF), rng.choice(groups[1], HALF)])
+        y = labels[chosen]
+        layout = Layout(np.array([len(ids[i]) for i in chosen]))
+        flat = np.zeros(layout.size, np.intp)
+        _, held = layout.places(layout.counts)
+        flat[held] = np.concatenate([ids[i] for i in chosen])
+        doc, begin = layout.windows()
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        if step < WARM:
+            best = begin[first + (rng.random(len(first)) * np.diff(np.append(first, len(doc)))).astype(np.intp)]
+        else:
+            x, where, _ = looked_up(flat)
+            z = model.logits(*model.places(model.pre(x), where, layout), begin)
+            best = np.array([begin[f + z[f:e].argmax()] for f, e in zip(first, np.append(first[1:], len(z)), strict=True)])
+        x, win, (used, grams, sizes) = looked_up(flat[best + rows[:, None]])  # (T, B)
+        mask = (rows[:, None] >= 0) & (rows[:, None] < WINDOW) & (best + rows[:, None] < (layout.at + layout.counts))
         xs = x[win].transpose(0, 2, 1)  # (T, D, B)
         states, caches = [], []
         for d in "fb":
-            s, c = gru.forward(np.matmul(p["w" + d], xs) + p["c" + d][:, None], p["u" + d], d == "b")
-            states.append(s)
+            h, c = gru.forward(np.matmul(p["w" + d], xs) + p["c" + d][:, None], p["u" + d], d == "b")
+            states.append(h)
             caches.append(c)
         h = np.concatenate(states, axis=1)  # (T, 2H, B)
-        e = np.einsum("h,thb->tb", p["attend"], h) + np.where(mask, 0, -1e9)
-        e = np.exp(e - e.max(axis=0))
+        e = np.where(mask, np.exp(np.clip(np.einsum("h,thb->tb", p["attend"], h), -CLIP, CLIP)), 0)
         e /= e.sum(axis=0)
         v = np.einsum("h,thb->tb", p["out"], h)
         pooled = (e * v).sum(axis=0)
-        g = (1 / (1 + np.exp(-(pooled + p["bias"][0]))) - np.array([split[i][0] for i in chosen])) / len(chosen)
+        g = (1 / (1 + np.exp(-(pooled + p["bias"][0]))) - y) / len(chosen)
         d_e = e * (v - pooled) * g
         grads: gru.Params = {"bias": np.array([g.sum()], np.float32), "out": np.einsum("tb,thb->h", e * g, h), "attend": np.einsum("tb,thb->h", d_e, h)}
         d_h = (p["out"][:, None] * (e * g)[:, None, :] + p["attend"][:, None] * d_e[:, None, :]).astype(np.float32)
@@ -244,24 +265,22 @@ def train(docs: list[tuple[int, str]], seed: int = 11) -> Model:
             d_x += np.matmul(p["w" + d].T, d_pre)
         by_word = np.zeros((len(used), _DIM), np.float32)
         np.add.at(by_word, win.ravel(), d_x.transpose(0, 2, 1).reshape(-1, _DIM))
-        grads["word"], grads["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(grads["word"], at[used], by_word[:, :WORD_DIM])
-        np.add.at(grads["char"], grams, np.repeat(by_word[:, WORD_DIM + 1 :] / sizes[:, None], sizes, axis=0))
-        slow.step({k: grads.pop(k) for k in slow.params})
-        adam.step(grads)
+        # Plain steps for the tables: a word seen once moves little, one that keeps to a label moves far.
+        known = at[used] > 0
+        np.add.at(p["word"], at[used][known], -WORD_RATE * by_word[known, :WORD_DIM])
+        np.add.at(p["char"], grams, -CHAR_RATE * np.repeat(by_word[:, WORD_DIM:] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
         p["word"] *= 1 - DECAY
         p["char"] *= 1 - DECAY
+        adam.step(grads)
     # The cut that parts the sample best is moved to TOXIC_FROM.
-    s = np.array(model.score([" ".join(words) for _, words in split]))
-    z, y = np.log(s / (1 - s)), np.array([k for k, _ in split])
-    order = np.argsort(z)
-    z, y = z[order], y[order]
+    s = np.clip(np.array(model.score([" ".join(words) for _, words in split])), 1e-12, 1 - 1e-12)
+    z, order = np.log(s / (1 - s)), np.argsort(s)
+    z, y = z[order], labels[order]
     wrong = np.concatenate([[0], np.cumsum(y == 1)]) / n[1] + CLEAN_WEIGHT * np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]]) / n[0]
     least = np.flatnonzero(wrong <= wrong.min() + 1e-9)
     edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     gap = np.concatenate([[0], np.diff(z), [0]])
-    cut = edges[least[gap[least].argmax()]]
-    p["bias"] += np.float32(np.log(TOXIC_FROM / (1 - TOXIC_FROM)) - cut)
+    p["bias"] += np.float32(np.log(TOXIC_FROM / (1 - TOXIC_FROM)) - edges[least[gap[least].argmax()]])
     model.__dict__.pop("table", None)
     return model
 

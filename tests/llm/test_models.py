@@ -59,10 +59,18 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.detect(docs.where("false"), labels).count() == 0
 
 
-def test_every_word_is_in_a_window():
-    counts = np.array([0, 1, 32, 33, 56, 57, 1000])
-    doc, start, length = toxicity.windows_of(counts)
-    for k, n in enumerate(counts):
-        base = counts[:k].sum()
-        seen = {base + 0 for _ in ()} | {w for d, s, m in zip(doc, start, length, strict=True) if d == k for w in range(s, s + m)}
-        assert seen == set(range(base, base + n))
+def test_every_window_is_scored_and_batches_do_not_matter():
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(60)]
+    model = toxicity.train([(k % 2, " ".join(rng.choice(words[30 * (k % 2) :], 50))) for k in range(8)])
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 31, 32, 33, 96, 97, 500)]
+    alone = [model.score([t])[0] for t in texts]
+    assert np.allclose(model.score(texts[::-1])[::-1], alone, rtol=1e-6)
+    for t, s in zip(texts, alone, strict=True):
+        split = t.split()
+        layout = toxicity.Layout(np.array([len(split)]))
+        flat = np.zeros(layout.size, np.intp)
+        flat[layout.at[0] : layout.at[0] + len(split)] = [model.memo[w] for w in split]
+        weight, evidence = (x[layout.at[0] :][: len(split)] for x in model.places(model.table, flat, layout))
+        z = [evidence[i : i + 32].sum() / weight[i : i + 32].sum() for i in range(max(1, len(split) - 31))]
+        assert np.isclose(s, 1 / (1 + np.exp(-(max(z) + model.params["bias"][0]))), rtol=1e-4)
