@@ -9,6 +9,7 @@ pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -28,8 +29,8 @@ END_ID = 2
 #: Pieces up to this length, a quarter of the capacity, are small: they fill gaps.
 SMALL = CAPACITY // 4
 GROUPS = 256
-#: Rows of one key that one task ranks.
-RANK_ROWS = 1 << 18
+#: Keys with many rows are ranked in shares; there are at most so many of all keys together, beside one for each key.
+SHARES, LEAST_SHARE = 8192, 1024
 
 
 class _Tokens:
@@ -37,9 +38,10 @@ class _Tokens:
 
     def __init__(self, path: str, pattern: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.split = splitter(pattern)
         self.memo = Memo(self._whole)
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)")  # the library finds these anywhere in a text, before all else
         # Byte-level tokens have one character for each byte.
         self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
@@ -67,7 +69,7 @@ class _Tokens:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         memo = self.memo
-        split = [self.split(t) if t and not _NOT_PLAIN.search(t) else None for t in texts]
+        split = [self.split(t) if t and not _NOT_PLAIN.search(t) and not self.special.search(t) else None for t in texts]
         memo.make_room()
         older = memo.older
         new = [w for w in set().union(*filter(None, split)) if w not in memo and w not in older and len(w) <= 64 and not w.isspace()]
@@ -111,9 +113,10 @@ def ranked(df: DataFrame, key: str, counts: np.ndarray, size: str | None = None)
     """Adds ``rank``, from 0, among the rows with the same ``key`` (0 to CAPACITY), in no order that matters.  With ``size`` the sum of
     ``size`` over the rows before instead.  counts: rows of each key.
 
-    Keys with many rows are cut into shares of about RANK_ROWS by a hash, so no task ranks a whole hot key.
+    Keys with many rows are cut into shares by a hash, so no task ranks a whole hot key.  However many rows there are, there are at
+    most SHARES + CAPACITY + 1 shares; so many sums reach the driver and are broadcast.
     """
-    shares = np.maximum(1, -(-counts // RANK_ROWS))
+    shares = np.maximum(1, -(-counts // max(LEAST_SHARE, int(counts.sum()) // SHARES)))
     df = df.withColumn("share", F.pmod(F.xxhash64("row"), F.get(_lookup(shares), F.col(key).cast("int"))))
     amount = F.col(size) if size else F.lit(1)
     sums = df.groupBy(key, "share").agg(F.sum(amount).alias("amount")).collect()  # one for each share
