@@ -1,6 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network labels every byte of a text; the labels' probabilities at letters are averaged over the document.
+The network labels every byte of a text, reading what stands before and after it; the labels' probabilities at letters are averaged
+over the document.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from labcurate.llm import gru
 from labcurate.llm.common import bounded_batches, held_out
 
 UNKNOWN = "und"
-#: Bounds of the labelled sample that the network is fitted on: so many documents of each language, so many characters of each.
+#: Bounds of the labelled sample that the network is fitted on: so many documents of each language (of so many languages, the most
+#: frequent), so many characters of each.
+LANGUAGES = 256
 SAMPLE_PER_LANG = 256
 SAMPLE_CHARS = 512
 UNITS = 8
 STEPS = 300
-CHUNK = 128  # bytes the network sees at once
-ROWS = 1024  # chunks in one pass
+SPAN, MARGIN = 96, 16  # bytes labelled in one run of the network, and read before and after them
+ROWS = 1024  # spans in one pass
 
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that may belong to a letter.
@@ -37,20 +40,20 @@ class Model:
         self.params, self.labels = params, labels
 
     def position_probabilities(self, chunks: np.ndarray) -> np.ndarray:
-        """chunks: (N, T) bytes -> (labels, T, N)."""
+        """chunks: (N, MARGIN + T + MARGIN) bytes -> (labels, T, N)."""
         p = self.params
         ids = np.ascontiguousarray(chunks.T).astype(np.intp)
         steps, batch = ids.shape
-        logits = np.repeat(p["bias"][:, None], steps * batch, axis=1)
+        logits = np.repeat(p["bias"][:, None], (steps - 2 * MARGIN) * batch, axis=1)
         for d in "fb":
             scaled = p["e" + d].copy()
             scaled[: 2 * UNITS] *= 0.25
             states = gru.run(lambda t, out, e=scaled: np.take(e, ids[t], axis=1, out=out, mode="clip"), steps, batch, p["u" + d], d == "b")
-            logits += p["w" + d] @ states.reshape(UNITS, -1)
+            logits += p["w" + d] @ states[:, MARGIN : steps - MARGIN].reshape(UNITS, -1)
         logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=0)
-        return logits.reshape(-1, steps, batch)
+        return logits.reshape(len(logits), -1, batch)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         known = [t is not None and _LETTER.search(t) is not None for t in texts]
@@ -59,12 +62,14 @@ class Model:
         if not rows or not self.labels:
             return names, scores
         raw = [texts[i].encode() for i in rows]
-        counts = np.array([-(-len(b) // CHUNK) for b in raw])
-        flat = np.frombuffer(b"".join(b.ljust(n * CHUNK, b"\0") for b, n in zip(raw, counts.tolist(), strict=True)), np.uint8).reshape(-1, CHUNK)
-        sums, weight = np.zeros((len(flat), len(self.labels))), np.zeros(len(flat))
-        for at in range(0, len(flat), ROWS):
-            part = flat[at : at + ROWS]
-            mask = _LETTER_BYTE[part.T].astype(np.float32)
+        counts = np.array([-(-len(b) // SPAN) for b in raw])
+        gap = b"\0" * MARGIN
+        flat = np.frombuffer(gap + b"".join(b.ljust(n * SPAN, b"\0") + gap for b, n in zip(raw, counts.tolist(), strict=True)), np.uint8)
+        begin = SPAN * np.arange(int(counts.sum())) + MARGIN * np.repeat(np.arange(len(raw)), counts)  # of each span's margin
+        sums, weight = np.zeros((len(begin), len(self.labels))), np.zeros(len(begin))
+        for at in range(0, len(begin), ROWS):
+            part = flat[begin[at : at + ROWS, None] + np.arange(SPAN + 2 * MARGIN)]
+            mask = _LETTER_BYTE[part[:, MARGIN : MARGIN + SPAN].T].astype(np.float32)
             sums[at : at + ROWS] = (self.position_probabilities(part) * mask).sum(axis=1).T
             weight[at : at + ROWS] = mask.sum(axis=0)
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -80,7 +85,8 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     hashed = F.xxhash64(F.col("doc_id"))
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", "text", hashed.alias("h"), F.pmod(hashed, F.lit(SAMPLE_PER_LANG)).alias("slot"))
-    chosen = rows.groupBy("lang", "slot").agg(F.min("h").alias("h")).collect()  # at most SAMPLE_PER_LANG for each language
+    frequent = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang")
+    chosen = rows.groupBy("lang", "slot").agg(F.min("h").alias("h")).join(F.broadcast(frequent), "lang").collect()  # at most LANGUAGES * SAMPLE_PER_LANG
     if not chosen:
         return []
     wanted = {(r.lang, r.h) for r in chosen}

@@ -86,6 +86,47 @@ def test_url_parts_rules_and_model(spark):
     assert url_filter.judge(df.where("false"), queries.URL_RULES, url_filter.train(spark)).count() == 0
 
 
+def test_url_features_are_the_hashed_ngrams(spark):
+    f = spark.createDataFrame([("a-b12.org", "/x")], "host string, path string").select(url_filter.features(F.col("host"), F.col("path")).alias("f")).first().f
+    grams = {t[i : i + n] for t in ("^a-b00.org|",) for n in url_filter.SIZES for i in range(len(t) - n + 1)}
+    hashed = spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(url_filter.BUCKETS)).alias("b"))
+    assert set(f.h) == {r.b for r in hashed.collect()} and len(f.p) == 1
+
+
+def test_url_model_matches_a_plain_regression(spark):
+    rows = spark.createDataFrame(url_filter.labelled_urls(), "host string, path string, y int")
+    known = rows.select("y", url_filter.features(F.col("host"), F.col("path")).alias("f")).collect()
+    x = np.zeros((len(known), 2 * url_filter.BUCKETS + 1))
+    for i, r in enumerate(known):
+        x[i, r.f.h] = 1 / np.sqrt(len(r.f.h))
+        x[i, r.f.p] = url_filter.PATH_WEIGHT / np.sqrt(len(r.f.p))
+    x[:, -1] = url_filter.BIAS
+    y, w = np.array([r.y for r in known], float), np.zeros(x.shape[1])
+    for _ in range(url_filter.EPOCHS):
+        w = w * (1 - url_filter.DECAY) + url_filter.RATE * ((y - 1 / (1 + np.exp(-x @ w))) @ x)
+    got = {r.bucket: r.weight for r in url_filter.train(spark).collect()}
+    assert abs(got.pop(-1) - w[-1]) < 1e-6
+    assert all(abs(got.get(i, 0.0) - w[i]) < 1e-6 for i in range(2 * url_filter.BUCKETS))
+    with pytest.raises(ValueError):
+        url_filter.train(spark, spark.range(url_filter.LABELLED + 1).select(F.col("id").cast("string").alias("host"), F.lit("").alias("path"), F.lit(0).alias("y")))
+
+
+def test_url_model_blocks_sites_it_has_not_seen(spark):
+    df = queries.op10_url_filter(spark, SF.replace("0.001", "0.01")).where("rule is null")
+    spam = F.col("host").rlike("cheap-pills|casino-win|adult-x|free-bets|spam-farm|ads-track")
+    n = df.select(F.count_if(spam).alias("spam"), F.count_if(spam & (F.col("verdict") == "block")).alias("hit"), F.count_if(F.col("verdict") == "block").alias("blocked")).first()
+    hosts = {h for h, _, _ in url_filter.labelled_urls()}
+    assert n.spam and n.hit > 0.9 * n.spam and n.hit > 0.9 * n.blocked
+    assert not any(r.host in hosts for r in df.select("host").distinct().collect())
+
+
+def test_url_odd_rows(spark):
+    long = "http://" + "a" * 30000 + ".net/" + "b/" * 30000
+    df = spark.createDataFrame([(1, long, 1), (1, long, 1), (None, "http://x.org", 1)], "page_id long, url string, score int")
+    got = url_filter.judge(df, queries.URL_RULES, url_filter.train(spark)).collect()
+    assert [r.rule for r in got] == ["net/", "net/", None] and len(got[0].path) == 60001
+
+
 PAGES = {
     "<html><body><nav><a href=x>menu</a></nav><article><h1>T &amp; U</h1><p>one  two<p>three<br>four<aside>no</aside></article><footer>&copy;</footer>": "T & U\none two\nthree four",
     "<div class='sidebar'>" + "s " * 200 + "</div><div><h2>Head</h2><p>" + "w " * 100 + "</p></div><div id=comments><p>" + "c " * 300 + "</p></div>": "Head\n" + ("w " * 100).strip(),
@@ -177,8 +218,7 @@ def test_html_extract_rows(spark):
 
 def test_packing_keeps_every_token_once(spark):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    texts = [*TEXTS, *[("lorem ipsum %d " % i) * (1 + i * 7 % 150) for i in range(150)]]
+    texts = [*TEXTS, "x<|endoftext|>y <s>", "<|endoftext|>", *[("lorem ipsum %d " % i) * (1 + i * 7 % 150) for i in range(150)]]
     want = {}
     for i, x in enumerate(texts):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
@@ -217,8 +257,10 @@ def test_packing_ids_match_the_library_while_the_memo_turns_over():
     rng = random.Random(3)
     parts = ["it's", " '", "'", " ''s", "don't", " 12", "3a", " été", "Ünd", "!!", " ?!", "\n", " \n ", "   ", "\t", " x" * 40, "y" * 70, " " + "z" * 70, "a_b", " _", "€5", "'re", " 're", "漢字", " "]
     texts = ["".join(rng.choice(parts) if rng.random() < 0.5 else " " + "".join(rng.choices("abcdeé", k=5)) for _ in range(60)) for _ in range(400)] + [None, "", " ", "\n\n", "'s"]
+    library = Tokenizer.from_file(JSON)
+    texts += ["a<|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext"]
     t = packing._Tokens(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     t.memo.entries = 50
     got = [x for at in range(0, len(texts), 45) for x in t.ids(texts[at : at + 45])]
-    assert got == [np.array(t.library.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert got == [np.array(library.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
     assert len(t.memo) < 5000 and t.memo.older
