@@ -73,12 +73,14 @@ def features(host: Column, path: Column) -> Column:
     A path's buckets follow the host's."""
 
     def grams(text: Column, first: int) -> Column:
-        text = F.regexp_replace(text, "[0-9]", "0")
-        def of(n: int) -> Column:
-            bucket = lambda i: (F.pmod(F.xxhash64(text.substr(i, F.lit(n))), F.lit(BUCKETS)) + first).cast("int")  # noqa: E731  (of one argument: a second would be the place)
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), bucket)
+        bucket = lambda chars, i, n: (F.pmod(F.xxhash64(F.array_join(F.slice(chars, i, n), "")), F.lit(BUCKETS)) + first).cast("int")
+        at = lambda chars, n: F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
 
-        return F.array_distinct(F.concat(*[of(n) for n in SIZES]))
+        def all_of(chars: Column) -> Column:  # bound once, and each n-gram taken in constant time
+            return F.concat(*[F.transform(at(chars, n), (lambda n: lambda i: bucket(chars, i, n))(n)) for n in SIZES])
+
+        characters = F.filter(F.split(F.regexp_replace(text, "[0-9]", "0"), ""), lambda c: c != "")
+        return F.array_distinct(F.flatten(F.transform(F.array(characters), all_of)))
 
     return F.struct(grams(F.concat(F.lit("^"), host, F.lit("|")), 0).alias("h"), grams(path, BUCKETS).alias("p"))
 
