@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labcurate.llm.common import cut
-from labcurate.llm.vectors import matrix, usable
+from labcurate.llm.vectors import matrix, stored_type, usable
 
 #: Vectors that the codebooks are fitted on.
 SAMPLE = 20_000
@@ -22,8 +22,9 @@ WORDS, PAIR = 16, 2
 #: Weight of the parallel part of the residual against the rest.
 PARALLEL = 4.0
 ROUNDS = 6
-#: Queries and candidates in one block, and candidates of a block whose exact scores set the bar for the others of each query.
-QUERY_BLOCK, CANDIDATE_BLOCK, RERANKED = 2048, 8192, 192
+#: Queries and candidates in one block (of candidates up to four times as many in large tables), and candidates of a block whose exact
+#: scores set the bar for the others of each query; k + 1 where that is more.
+QUERY_BLOCK, CANDIDATE_BLOCK, RERANKED = 16_384, 4096, 192
 _SCAN = 256  # queries scanned at once
 _GATHERED = 1 << 23  # numbers gathered at once for exact scores
 
@@ -119,20 +120,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """query_id, rank, vec_id, score: of each query (a row of ``queries``, with the same columns) its k nearest by inner product.
 
     Candidates are all rows of ``vectors`` but those with the query's own id; fewer than k give all of them.  Scores are inner
-    products of the original vectors in double precision, ties go to the smaller id.  Vectors that are null, zero, hold null or non-finite
-    components, or have another number of components than most, take no part, nor do null ids.  Of repeated queries with one id
-    one is searched; repeated candidates are found as often as they are there.  An empty table gives no rows.
+    products of the original vectors in double precision, ties go to the smaller id.  Vectors that are null, zero or hold null or non-finite
+    components take no part, nor do null ids; a query meets vectors of its own dimension.  Of repeated queries with one id one is
+    searched; repeated candidates are found as often as they are there.  An empty table gives no rows.
 
     Queries and candidates are dealt to blocks of bounded size, and each pair of blocks is one group: table scan over the codes,
     exact reranking, the best k go on.  The k-th exact score of the best RERANKED is the bar; every other candidate is reranked too
     unless its rough score and the most that its residual can add (the product of the norms) stay below the bar, so none is lost.
     """
-    good = usable(vectors, id_col, vector_col).where(F.col("id").isNotNull())
-    rows = good.orderBy(F.xxhash64("vector", "id")).limit(SAMPLE).select("vector").collect()
     kind = vectors.schema[id_col].dataType.simpleString()
+    stored = stored_type(vectors, vector_col)
+    good = usable(vectors, id_col, vector_col)
+    asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("v")).select("id", "v.*")
+    found = vectors.sparkSession.createDataFrame([], f"query_id {kind}, vec_id {kind}, score double")
+    for r in sorted(asked.groupBy("dim").count().collect()):  # mostly one
+        found = found.unionByName(_found(good.where(F.col("dim") == r.dim), asked.where(F.col("dim") == r.dim), r["count"], k, kind, stored))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(good: DataFrame, asked: DataFrame, n_asked: int, k: int, kind: str, stored: np.dtype) -> DataFrame:
+    """query_id, vec_id, score: of each query the k best of every block of candidates; all vectors have one dimension."""
     out_schema = f"query_id {kind}, vec_id {kind}, score double"
+    rows = good.orderBy(F.xxhash64("vector", "id")).limit(SAMPLE).select("vector").collect()
     if not rows:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+        return good.sparkSession.createDataFrame([], out_schema)
     sample = np.array([r.vector for r in rows], float)
     dim = sample.shape[1]
     quantiser = Quantiser.fit(sample)
@@ -142,14 +154,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             if batch.num_rows:
                 x = matrix(batch.column("vector"))
                 codes = [c.tobytes() for c in quantiser.packed(quantiser.encode(x))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(codes, pa.binary())], ["id", "raw", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x.astype(stored)], pa.binary()), pa.array(codes, pa.binary())], ["id", "raw", "code"])
 
     index = cut(good.select("id", "vector").mapInArrow(encode, f"id {kind}, raw binary, code binary"))
-    asked = usable(queries, id_col, vector_col).where(F.col("id").isNotNull() & (F.col("dim") == dim)).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = cut(asked.select("id", "vector").mapInArrow(encode, f"id {kind}, raw binary, code binary").drop("code"))
-    query_blocks, blocks = math.ceil(asked.count() / QUERY_BLOCK), math.ceil(index.count() / CANDIDATE_BLOCK)
-    if not query_blocks:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    total = index.count()
+    query_blocks = math.ceil(n_asked / QUERY_BLOCK)
+    blocks = math.ceil(total / min(4 * CANDIDATE_BLOCK, max(CANDIDATE_BLOCK, total // 12)))
     deal = lambda n: F.pmod(F.xxhash64("id", "raw"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("q", deal(query_blocks)).withColumn("c", each(blocks)).select("q", "c", "id", "raw", F.lit(None).cast("binary").alias("code"))
@@ -158,7 +169,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     def scan(key: tuple, group: pa.Table) -> pa.Table:
         is_query = group.column("code").is_null().to_numpy()
         ids = group.column("id").to_numpy()
-        raw = np.frombuffer(b"".join(group.column("raw").to_pylist()), np.float64).reshape(-1, dim)
+        raw = np.frombuffer(b"".join(group.column("raw").to_pylist()), stored).reshape(-1, dim).astype(float)
         candidates = np.flatnonzero(~is_query)
         out = {"query_id": [], "vec_id": [], "score": []}
         if is_query.any() and len(candidates):
@@ -171,7 +182,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             rounding = (len(code) + 4) * 2.0**-23
             close = dim * 2.0**-51 * np.sqrt((x * x).sum(axis=1))
             slack = np.sqrt(((quantiser.shaped(x) - words) ** 2).sum(axis=(1, 2))) + rounding * np.sqrt((words * words).sum(axis=(1, 2))) + close
-            most, step = min(RERANKED, len(candidates)), max(1, _GATHERED // (_SCAN * dim))
+            most, step = min(max(RERANKED, k + 1), len(candidates)), max(1, _GATHERED // (_SCAN * dim))
             at_query = np.flatnonzero(is_query)
             for at in range(0, len(at_query), _SCAN):
                 q = at_query[at : at + _SCAN]
@@ -205,6 +216,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 out["score"].append(score[order])
         return pa.table({c: pa.array(np.concatenate(v)) if v else pa.array([], group.column("id").type if c != "score" else pa.float64()) for c, v in out.items()})
 
-    found = left.unionByName(right).groupBy("q", "c").applyInArrow(scan, out_schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.unionByName(right).groupBy("q", "c").applyInArrow(scan, out_schema)

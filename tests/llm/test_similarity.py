@@ -136,7 +136,11 @@ def test_vector_links_match_brute_force(spark, monkeypatch, tile):
             break
         root = new
     df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(i, v, 1) for i, v in ODD], "vec_id long, embedding array<double>, n int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(df).collect()}
+    short = spark.createDataFrame([(9100, [1.0, 2.0, 3.0], 1), (9101, [2.0, 4.0, 6.0], 1), (9102, [-1.0, 2.0, 3.0], 1), (None, [1.0, 2.0, 3.0], 1), (None, [1.0] * 16, 1)], df.schema)
+    got = vector_dedup.near_duplicates(df.unionByName(short)).collect()
+    assert [tuple(r) for r in got if r.vec_id is None] == [(None, 0, None, True)] * 2
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None}
+    assert [got.pop(i) for i in (9100, 9101, 9102)] == [(1, 9100, True), (1, 9100, False), (0, 9102, True)]
     want = {i: (int(link[i].sum()), int(root[i]), bool(root[i] == i)) for i in range(len(x))} | {i: (0, i, True) for i, _ in ODD}
     assert got == want
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
@@ -166,6 +170,10 @@ def test_search_recall_and_ties(spark, monkeypatch):
     assert mips.search(df.where("false"), df.where("false")).count() == 0
     few = df.where("vec_id < 5")
     assert mips.search(few, few.where("vec_id = 0")).count() == 4
+    assert mips.search(df, df.where("vec_id = 40"), k=300).count() == 300
+    odd = spark.createDataFrame([(1, [1.0, 2.0], 3), (1, [1.0, 2.0], 3), (2, [3.0, 4.0], 1), (3, [1.0] * 16, 2), (None, [9.0, 9.0], 1)], "vec_id long, embedding array<float>, id int")
+    found = mips.search(odd, odd).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(1, 1, 2, 11.0), (2, 1, 1, 11.0), (2, 2, 1, 11.0)]
 
 
 def test_search_finds_the_nearest_among_many_near_copies(spark):
