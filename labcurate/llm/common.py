@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: A key is hot above a HOT_KEYS-th of all rows, and above HOT_LEAST rows.
 HOT_KEYS, HOT_LEAST = 1000, 1024
+#: Most rows of a few numbers each that are broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,16 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def only(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the keys of ``ids``, which are distinct, and the other columns of ``ids``; inner join.
+
+    ``ids`` are written and counted first: up to BROADCAST_ROWS of them go to where the rows are, so that the rows (texts, registers)
+    do not move; more of them meet the rows by a shuffle.
+    """
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, keys)
+
+
 def join_unique(rows: DataFrame, names: DataFrame, key: str, n: str) -> DataFrame:
     """``rows`` with the columns of ``names``, which has each ``key`` once and in ``n`` how many rows hold it; inner join.
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import bounded_batches, cut, discard, join_unique
+from labcurate.llm.common import BROADCAST_ROWS, bounded_batches, cut, discard, join_unique, only
 from labcurate.llm.components import components
 
 SHINGLE = 3
@@ -106,7 +106,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_id (128-bit digest of the set, null if empty), sketch (registers) for each row; no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, "text"):
+        for batch in bounded_batches(batches, "text", 1 << 20):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "sketch"])
@@ -116,8 +116,9 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def _let_through(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes those whose registers' estimate is near the threshold or above, with the estimate and b's size."""
-    a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("size"))
+    some = cut(only(classes.select("node", "sketch", "n_shingles"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), ["node"]))
+    a = some.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    b = some.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("size"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,10 +132,9 @@ def _let_through(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of one document of each class in nodes (node).  Ids are joined with the texts once; where they are few, they go to
-    the texts and not the texts to them."""
-    one = classes.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
-    found = docs.select("doc_id", _text_hash().alias("text_hash"), "text").join(one, ["doc_id", "text_hash"]).select("node", "text")
+    """(node, text) of one document of each class in nodes (node)."""
+    one = only(classes.select("node", "doc_id", "text_hash"), nodes.distinct(), ["node"])
+    found = only(docs.select("doc_id", _text_hash().alias("text_hash"), "text"), one, ["doc_id", "text_hash"]).select("node", "text")
     return found.groupBy("node").agg(F.first("text").alias("text"))  # a row that is repeated brings the same text again
 
 
@@ -202,7 +202,7 @@ def _links_left_over(members: DataFrame, labels: DataFrame, classes: DataFrame,
     again with their texts, and the exact test runs inside the group, so that pairs are never rows.  Every candidate is tested
     unless links found in the group have joined its components by then.
     """
-    m = _tiled(members, labels)
+    m = cut(_tiled(members, labels))
     names = ["band", "i", "j", "own", "node", "component"]
 
     def columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -228,10 +228,11 @@ def _links_left_over(members: DataFrame, labels: DataFrame, classes: DataFrame,
                     part[part == part[y]] = part[x]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    flagged = cut(m.join(classes.select("node", "sketch"), "node").groupBy("band", "i", "j").applyInArrow(flag, "band long, i int, j int, own int, node long, component long"))
+    some = only(classes.select("node", "sketch"), m.select("node").distinct(), ["node"])
+    flagged = cut(m.join(some, "node").groupBy("band", "i", "j").applyInArrow(flag, "band long, i int, j int, own int, node long, component long"))
     texts = _texts(flagged.select("node"), classes, docs)
     found = cut(flagged.join(texts, "node").groupBy("band", "i", "j").applyInArrow(confirm, "a long, b long"))
-    discard(flagged)
+    discard(flagged, m)
     return found
 
 
@@ -249,7 +250,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1)
     members = cut(bands.join(shared, "band"))
-    pairs = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = cut(members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     # Each class is tested against its likeliest pivot first; what that leaves in different components comes next.
     likeliest = _let_through(pairs, classes).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"), F.first("size").alias("size"))
     links = cut(_confirmed(likeliest, classes, docs))
@@ -262,7 +263,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = best.groupBy("component").agg(F.min("f").alias("least"), F.count("*").alias("c"))
     names = join_unique(best, least, "component", "c").select("set_id", "n", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("kept_hash"))
     names = cut(names)
-    discard(links, more, classes, best)
+    discard(links, more, classes, best, pairs)
     return rows.drop("sketch"), names
 
 
@@ -292,6 +293,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keys = join_unique(real, names, "set_id", "n").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).alias("__stays"))
     keys = keys.groupBy("__id", "__hash").agg(F.max("__stays").alias("__stays"), F.count("*").alias("__n"))
     keys = cut(keys.where(~F.col("__stays") | (F.col("__n") > 1)).select("__id", "__hash", "__stays"))
-    met = docs.join(keys, (F.col("doc_id") == F.col("__id")) & (_text_hash() == F.col("__hash")), "left")
+    few = keys.count() <= BROADCAST_ROWS  # else documents and keys meet by a shuffle
+    met = docs.join(F.broadcast(keys) if few else keys, (F.col("doc_id") == F.col("__id")) & (_text_hash() == F.col("__hash")), "left")
     repeated = met.where("__stays").dropDuplicates(["__id", "__hash"])
     return met.where(F.col("__stays").isNull()).unionByName(repeated).select(docs.columns)

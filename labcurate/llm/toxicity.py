@@ -298,7 +298,7 @@ def detect(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", score double, predicted int"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, "text"):
+        for batch in bounded_batches(batches, "text", 1 << 20):
             scores = model.score(batch.column("text").to_pylist())
             marks = pa.array([int(s >= TOXIC_FROM) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), marks], [*batch.schema.names, "score", "predicted"])
