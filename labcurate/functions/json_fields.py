@@ -17,9 +17,18 @@ def _whole_json(text: Column) -> Column:
     return F.when(F.try_variant_get(one, "$[1]", "variant").isNull(), F.try_variant_get(one, "$[0]", "variant"))
 
 
+def answer_json(answer: Column) -> Column:
+    """The variant of the JSON inside a model's answer."""
+    return _whole_json(json_body(answer))
+
+
 def records(answer: Column) -> Column:
     """array<variant>: the list itself, or under data or records, or the one object; empty for text that is not JSON."""
-    v = _whole_json(json_body(answer))
+    return listed_records(answer_json(answer))
+
+
+def listed_records(v: Column) -> Column:
+    """records() of what answer_json() gives: as a column of its own it is parsed once."""
     listed = lambda path: F.try_variant_get(v, path, "array<variant>")
     kind = F.schema_of_variant(v)
     return (

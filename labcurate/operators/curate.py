@@ -13,8 +13,9 @@ from labcurate.operators import terms
 
 def records_of_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """One row for each record in the answers, in order: the answers' columns, ``pos`` and the record's text fields."""
-    rows = answers.select("*", F.posexplode(J.records(F.col(answer))).alias("pos", "__v")).withColumn("__r", J.record_struct(F.col("__v")))
-    return rows.drop(answer, "__v").select("*", "__r.*").drop("__r")
+    parsed = answers.withColumn("__j", J.answer_json(F.col(answer)))
+    rows = parsed.select("*", F.posexplode(J.listed_records(F.col("__j"))).alias("pos", "__v")).withColumn("__r", J.record_struct(F.col("__v")))
+    return rows.drop(answer, "__v", "__j").select("*", "__r.*").drop("__r")
 
 
 def has_measurement(cof: Column, friction: Column) -> Column:
@@ -48,15 +49,18 @@ def deduplicate(records: DataFrame, order: str = "seq", fix: bool = False, withi
 
 
 def curate(records: DataFrame, order: str = "seq", fix: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
-    """Gate, clean, normalise, deduplicate (``within`` groups), type and score: one shuffle, for the deduplication."""
+    """Gate, clean, normalise, deduplicate (``within`` groups), type and score: one shuffle of the records, for the deduplication."""
     kept = records.where(has_measurement(F.col("cof"), F.col("friction_force")))
     cof_raw = F.col("cof")
+    # Names are few and records many: each name goes through the dictionaries once, and the long chains stay out of the records' stage.
+    kept = terms.with_normalized(kept, "material_name", terms.surface(F.col("material_name")))
+    kept = terms.with_normalized(kept, "ionic_liquid", terms.liquid(F.col("ionic_liquid")))
     kept = kept.withColumns({
         "cof_raw": cof_raw,
         "cof_operator": P.cof(cof_raw)["operator"],
         "temperature": P.temperature_text(P.default_temperature(F.col("temperature"))),
-        "material_name": F.coalesce(P.blank_to_null(terms.surface(F.col("material_name"))), F.lit("Unknown Material")),
-        "ionic_liquid": F.coalesce(P.blank_to_null(terms.liquid(F.col("ionic_liquid"))), F.lit("Unknown IL")),
+        "material_name": F.coalesce(P.blank_to_null(F.col("material_name")), F.lit("Unknown Material")),
+        "ionic_liquid": F.coalesce(P.blank_to_null(F.col("ionic_liquid")), F.lit("Unknown IL")),
     })
     best = deduplicate(kept, order, fix, within)
     return best.withColumns({

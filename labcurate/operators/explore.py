@@ -39,9 +39,9 @@ def search(records: DataFrame, parents: DataFrame, key: str, wanted: Filter, ord
 
 
 def options(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(facet, value): the distinct values of each column, without null and empty; one scan."""
+    """(facet, value): the distinct values of each column, without null and empty, in code-point order; one scan."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
-    return df.select(pairs).select("p.*").where(F.col("value") != "").distinct()
+    return df.select(pairs).select("p.*").where(F.col("value") != "").distinct().orderBy("facet", "value")
 
 
 def summary(records: DataFrame, parents: DataFrame, value: str) -> DataFrame:

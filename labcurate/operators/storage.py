@@ -1,36 +1,75 @@
-"""Keyed replacement, upsert and cascading deletion over versioned Parquet snapshots.
+"""Keyed replacement, upsert and cascading deletion over versioned Parquet tables.
 
-A write makes a new version directory; readers take the greatest version whose job has committed, so a failed write changes nothing.
+A version is a short list of data directories.  A write adds a directory and then a version that names it, so a failed write changes
+nothing, and appending rows does not copy those that are there.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 class SnapshotTable:
-    """A table of versions ``version=N`` below one path, which any file system of Spark's may hold."""
+    """A table below one path, which any file system of Spark's may hold: rows in ``data``, lists in ``version=N``.
+
+    ``unique`` columns hold no value twice, null and empty text apart; a write that would is refused.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, unique: tuple[str, ...] = ()):
+        self.spark, self.path, self.schema, self.unique = spark, path.rstrip("/"), schema, unique
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def _found(self, pattern: str) -> list:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        return [f.getPath() for f in where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []]
 
     def version(self) -> int:
         """0 before the first write.  A version counts once its success mark is there."""
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/_SUCCESS")
-        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
-        return max([int(f.getPath().getParent().getName().split("=")[1]) for f in found or []], default=0)
+        return max([int(p.getParent().getName().split("=")[1]) for p in self._found("version=*/_SUCCESS")], default=0)
+
+    def _directories(self, version: int) -> list[str]:
+        return sorted(r.directory for r in self.spark.read.schema("directory string").parquet(f"{self.path}/version={version}").collect()) if version else []
 
     def read(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={v}") if v else self.spark.createDataFrame([], self.schema)
+        parts = self._directories(self.version() if version is None else version)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{p}" for p in parts]) if parts else self.spark.createDataFrame([], self.schema)
+
+    def _publish(self, df: DataFrame, parts: list[str], check: bool) -> int:
+        version = 1 + max([int(p.getName().split("=")[1]) for p in self._found("version=*")], default=0)
+        new = f"{version:09d}-{uuid.uuid4().hex}"
+        df.select(self.schema.fieldNames()).write.parquet(f"{self.path}/data/{new}")
+        if check and self.unique:
+            self._refuse_repeated([*parts, new])
+        # Of two writers that take the same number, one fails here and has changed nothing.
+        self.spark.createDataFrame([(p,) for p in [*parts, new]], "directory string").coalesce(1).write.mode("error").parquet(f"{self.path}/version={version}")
+        return version
+
+    def _refuse_repeated(self, parts: list[str]) -> None:
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{p}" for p in parts])
+        for c in self.unique:
+            again = rows.where(F.col(c).cast("string") != "").groupBy(c).count().where("count > 1").first()
+            if again:
+                raise ValueError(f"{c} is not unique: {again[0]}")
 
     def write(self, df: DataFrame) -> int:
-        v = self.version() + 1
-        df.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/version={v}")
-        return v
+        """The table holds the rows of ``df`` and no others."""
+        return self._publish(df, [], True)
+
+    def append(self, df: DataFrame) -> int:
+        """The rows of ``df`` are added; those that are there are not copied."""
+        return self._publish(df, self._directories(self.version()), True)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete all but the last ``keep`` versions, and data that no version left names.  Not while others write or read old ones."""
+        versions = sorted(int(p.getParent().getName().split("=")[1]) for p in self._found("version=*/_SUCCESS"))
+        held = {d for v in versions[-keep:] for d in self._directories(v)}
+        for p in [*self._found("version=*"), *self._found("data/*")]:
+            name = p.getName()
+            if name not in held and name not in {f"version={v}" for v in versions[-keep:]}:
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def keyed_replace(target: DataFrame, new: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -75,9 +114,9 @@ def get_or_create(parents: DataFrame, incoming: DataFrame, key: str, id_col: str
 
 
 def new_by_hash(incoming: DataFrame, known: DataFrame, hash_col: str, order: str) -> DataFrame:
-    """The first of the incoming rows with each hash that is not known yet."""
+    """The first of the incoming rows with each hash that is not known yet.  A row without hash has no content to store and is left out."""
     first = Window.partitionBy(hash_col).orderBy(order)
-    fresh = incoming.join(known.select(hash_col).distinct(), hash_col, "left_anti")
+    fresh = incoming.where(F.col(hash_col).isNotNull()).join(known.select(hash_col).distinct(), hash_col, "left_anti")
     return fresh.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n").select(incoming.columns)
 
 
@@ -94,5 +133,5 @@ def update_row(df: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """One JSON object a line; as many files as the data have partitions."""
-    df.write.mode("overwrite").json(path)
+    """One JSON object a line, nulls included; as many files as the data have partitions."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

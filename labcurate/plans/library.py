@@ -6,6 +6,8 @@ Each method takes and returns DataFrames; many documents are handled in one call
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,7 +16,9 @@ from labcurate.functions import parsing as P
 from labcurate.functions import scoring as S
 from labcurate.operators import curate as C
 from labcurate.operators import explore as X
+from labcurate.operators import review as R
 from labcurate.operators import storage as W
+from labcurate.sources import connectors as N
 
 _LITERATURE = "id long, doi string, title string, authors string, journal string, issn string, year int, volume string, issue string, pages string, content string, file_path string, file_hash string, status string, error_message string, created_at timestamp"
 _RECORDS = "id long, literature_id long, material_name string, lubricant string, cof_value double, cof_operator string, cof_raw string, load_raw string, load_n double, speed_raw string, speed_mps double, temperature_raw string, temperature_k double, potential string, water_content string, surface_roughness string, film_thickness string, mol_ratio string, cation string, extracted_at timestamp, confidence double, evidence string"
@@ -52,7 +56,8 @@ class Library:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.literature_schema, self.record_schema, self._commit_schema = map(StructType.fromDDL, (_LITERATURE, _RECORDS, _COMMITS))
-        self._literature = W.SnapshotTable(spark, f"{path}/literature", self.literature_schema)
+        self._path = path.rstrip("/")
+        self._literature = W.SnapshotTable(spark, f"{path}/literature", self.literature_schema, unique=("doi", "file_hash"))
         self._records = W.SnapshotTable(spark, f"{path}/records", self.record_schema)
         self._commits = W.SnapshotTable(spark, f"{path}/commits", self._commit_schema)
 
@@ -66,6 +71,16 @@ class Library:
     def records(self) -> DataFrame:
         return self._records.read(self._now()[1])
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written aside: what is numbered next reads the same each time."""
+        path = f"{self._path}/staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _clear(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/staged")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def _commit(self, literature: DataFrame | None = None, records: DataFrame | None = None) -> None:
         a, b = self._now()
         a = self._literature.write(literature) if literature is not None else a
@@ -77,8 +92,10 @@ class Library:
         known = self.literature()
         fresh = W.new_by_hash(files.select("file_hash", F.col("path").alias("file_path"), F.col("text").alias("content")), known, "file_hash", "file_path")
         title = F.element_at(F.split("file_path", "/"), -1)
-        fresh = W.with_new_ids(fresh.withColumns({"title": title, "authors": F.lit(""), "journal": F.lit(""), "status": F.lit("processing"), "created_at": F.current_timestamp()}), known, "id", ["file_hash"])
-        self._commit(literature=known.unionByName(_filled_to(fresh, self.literature_schema)))
+        fresh = self._staged(fresh.withColumns({"title": title, "authors": F.lit(""), "journal": F.lit(""), "status": F.lit("processing"), "created_at": F.current_timestamp()}))
+        written = self._literature.append(_filled_to(W.with_new_ids(fresh, known, "id", ["file_hash"]), self.literature_schema))
+        self._commits.write(self.spark.createDataFrame([(written, self._now()[1])], self._commit_schema))
+        self._clear()
         return self.literature().join(files.select("file_hash").distinct(), "file_hash", "left_semi")
 
     def needs_extraction(self, force: bool = False) -> DataFrame:
@@ -91,21 +108,26 @@ class Library:
         known, old = self.literature(), self.records()
         rows = payloads.withColumn("doi", P.blank_to_null(P.normalize_doi(F.col("doi"))))
         key = F.coalesce("doi", F.concat(F.lit("hash:"), "file_hash"))
-        rows = rows.withColumn("key", key).where(F.col("key").isNotNull())
-        given = rows.groupBy("key").agg(F.first("doi", True).alias("doi"), F.first("file_hash", True).alias("file_hash"), *[F.first(m, True).alias(m) for m in _METADATA])
+        rows = self._staged(rows.withColumn("key", key).where(F.col("key").isNotNull()).withColumn("place", F.monotonically_increasing_id()))
+        first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
+        given = rows.groupBy("key").agg(*[first(c) for c in ("doi", "file_hash", *_METADATA)])
         found = W.get_or_create(known.withColumn("key", key), given, "key", "id")
-        created = W.with_new_ids(found.where("is_new").drop("id").withColumns({"title": F.coalesce("title", F.lit("Untitled")), "authors": F.coalesce("authors", F.lit("")), "journal": F.coalesce("journal", F.lit("")), "status": F.lit("completed"), "created_at": F.current_timestamp()}), known, "id", ["key"])
-        written = self._literature.write(known.unionByName(_filled_to(created, self.literature_schema)))  # not visible before the commit
+        created = self._staged(found.where("is_new").drop("id").withColumns({"title": F.coalesce("title", F.lit("Untitled")), "authors": F.coalesce("authors", F.lit("")), "journal": F.coalesce("journal", F.lit("")), "status": F.lit("completed"), "created_at": F.current_timestamp()}))
+        written = self._literature.append(_filled_to(W.with_new_ids(created, known, "id", ["key"]), self.literature_schema))  # not visible before the commit
         entries = self._literature.read(written)
         ids = W.get_or_create(entries.withColumn("key", key), given, "key", "id").select("key", F.col("id").alias("literature_id"))
-        given_records = rows.select("key", F.inline("records")).join(ids, "key").drop("key")
-        new = W.with_new_ids(typed(given_records), old, "id", ["literature_id"])
-        new = _filled_to(new, self.record_schema)
-        touched = found.where(~F.col("is_new")).select(F.col("id").alias("literature_id"))
-        kept = old if append else old.join(touched, "literature_id", "left_anti").select(self.record_schema.fieldNames())
-        after = self._records.write(kept.unionByName(new))
+        given_records = self._staged(typed(rows.select("key", F.inline("records")).join(ids, "key").drop("key")))
+        new, added = R.observed(_filled_to(W.with_new_ids(given_records, old, "id", ["literature_id"]), self.record_schema), "added")
+        if append:
+            after, lost = self._records.append(new), 0
+        else:
+            touched = found.where(~F.col("is_new")).select(F.col("id").alias("literature_id"))
+            kept, stayed = R.observed(old.join(touched, "literature_id", "left_anti").select(self.record_schema.fieldNames()), "stayed")
+            after = self._records.write(kept.unionByName(new))
+            lost = old.count() - stayed.get["rows"]
         self._commits.write(self.spark.createDataFrame([(written, after)], self._commit_schema))
-        return {"synced": self.records().count() - kept.count(), "replaced": old.count() - kept.count()}
+        self._clear()
+        return {"synced": added.get["rows"], "replaced": lost}
 
     def store_answers(self, answers: DataFrame, metadata: DataFrame | None = None) -> None:
         """Extraction answers (file_hash, batch_idx, answer): curate their records, each file's for itself, and replace those of each file that
@@ -114,12 +136,31 @@ class Library:
         raw = C.records_of_answers(answers).withColumn("seq", F.col("batch_idx").cast("long") * 1_000_000 + F.col("pos"))
         parts = C.curate(raw.drop("id").join(known.select("file_hash", F.col("id").alias("literature_id")), "file_hash"), "seq", within=("literature_id",))
         new = parts.select("literature_id", *[F.col("cof_raw").alias("cof") if c == "cof" else F.col("ionic_liquid").alias("lubricant") if c == "lubricant" else F.col(c) for c in _RAW])
-        new = _filled_to(W.with_new_ids(typed(new), old, "id", ["literature_id"]), self.record_schema)
+        new = _filled_to(W.with_new_ids(self._staged(typed(new)), old, "id", ["literature_id"]), self.record_schema)
         answered = answers.select("file_hash").distinct().withColumn("__done", F.lit(True))
         after = known.join(answered, "file_hash", "left").withColumn("status", F.when(F.col("__done"), "completed").otherwise(F.col("status")))
         if metadata is not None:
             after = W.merge_filled(after, metadata, "file_hash", [m for m in _METADATA if m in metadata.columns])
         self._commit(_filled_to(after, self.literature_schema), W.replace_where_any(old, new, "literature_id"))
+        self._clear()
+
+    def extract(self, pages: DataFrame, ask_metadata: DataFrame, ask: N.Ask, models: N.Models, registry: DataFrame | None = None, prompt: str = "") -> None:
+        """Both passes over the entries that wait: bibliographic data from ask_metadata (file_hash, answer), completed field by field from
+        ``registry`` (doi and fields), then the measurements of the pages (file_hash, page_no, text, image) batch by batch."""
+        waiting = self.needs_extraction().select("file_hash")
+        found = N.metadata_answers(ask_metadata.join(waiting, "file_hash", "left_semi"))
+        found = found.withColumn("doi", P.blank_to_null(P.normalize_doi(F.col("doi"))))
+        metadata = C.merge_metadata(found, registry, fields=tuple(m for m in _METADATA if m in registry.columns)) if registry is not None else found
+        batches = C.batches(pages.join(waiting, "file_hash", "left_semi"), "file_hash", "page_no")
+        batches = batches.groupBy("file_hash", "batch_idx").agg(F.array_sort(F.collect_list(F.struct("page_no", "text", "image"))).alias("p"))  # three pages
+        text, images = F.array_join(F.transform("p", lambda x: x.text), "\n\n"), F.transform("p", lambda x: x.image)
+        answers = N.extracted(batches.select("file_hash", "batch_idx", N.extraction_messages(prompt, images, text, models).alias("request")), ask, models)
+        self.store_answers(self._staged(answers), metadata)
+
+    def vacuum(self) -> None:
+        """Only the present versions stay."""
+        for t in (self._literature, self._records, self._commits):
+            t.vacuum()
 
     def delete(self, ids: DataFrame) -> None:
         """Entries (id) go with their records; unknown ids change nothing."""

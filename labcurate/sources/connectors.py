@@ -4,15 +4,41 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labcurate.functions import json_fields as J
 from labcurate.functions import parsing as P
 
 Fetch = Callable[[str], str | None]
+#: (model, request as JSON text) -> answer
+Ask = Callable[[str, str], str]
+
+
+@dataclass(frozen=True)
+class Models:
+    """What an extractor calls.  The fallback is asked where the first model is not there or refuses the request as such."""
+
+    first: str
+    fallback: str | None = None
+    temperature: float = 0.0
+
+
+def with_fallback(ask: Ask, models: Models) -> Fetch:
+    """One request to the first model, and to the fallback where the error says so; other errors go on."""
+
+    def run(request: str) -> str | None:
+        try:
+            return ask(models.first, request)
+        except Exception as e:  # a client library's own kinds of error
+            if models.fallback is None or not any(w in str(e) for w in ("model_not_found", "404", "400")):
+                raise
+            return ask(models.fallback, request)
+
+    return run
 
 
 def with_retries(fetch: Fetch, attempts: int = 3, first_wait: float = 1.0) -> Fetch:
@@ -34,12 +60,45 @@ def with_retries(fetch: Fetch, attempts: int = 3, first_wait: float = 1.0) -> Fe
 
 def called(keys: DataFrame, key: str, fetch: Fetch, answer: str = "answer") -> DataFrame:
     """(key, answer) for each distinct key that is not null or empty."""
+    return answered(keys.select(key).where(F.col(key) != "").distinct(), key, fetch, answer).drop("error")
+
+
+def answered(requests: DataFrame, request: str, fetch: Fetch, answer: str = "answer") -> DataFrame:
+    """All columns of ``requests``, the answer to each row's request, and error: what went wrong with a row stays with it."""
+    at = requests.columns.index(request)
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return fetch(text), None
+        except Exception as e:  # whatever a client library raises concerns this row only
+            return None, str(e) or type(e).__name__
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], answer: frame[key].map(fetch)})
+            made = [one(x) for x in frame.iloc[:, at]]
+            yield frame.assign(**{answer: pd.Series([a for a, _ in made], frame.index, object), "error": pd.Series([e for _, e in made], frame.index, object)})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return requests.mapInPandas(run, f"{schema}, `{answer}` string, error string")
+
+
+def extraction_messages(prompt: str, images: Column, text: Column, models: Models) -> Column:
+    """The request for one batch as JSON text: instructions and text, then its images; images that could not be read are left out."""
+    kept = F.filter(images, lambda x: x.isNotNull())
+    return F.to_json(F.struct(F.lit(models.first).alias("model"), F.lit(models.temperature).alias("temperature"), F.concat(F.lit(prompt), F.coalesce(text, F.lit(""))).alias("text"), kept.alias("images")))
+
+
+def extracted(requests: DataFrame, ask: Ask, models: Models) -> DataFrame:
+    """file_hash, batch_idx, answer, error: each batch's request (column request) is answered for itself; an error leaves an empty list."""
+    out = answered(requests.select("file_hash", "batch_idx", "request"), "request", with_fallback(ask, models))
+    return out.select("file_hash", "batch_idx", F.coalesce("answer", F.lit("[]")).alias("answer"), "error")
+
 
-    return keys.select(key).where(F.col(key) != "").distinct().mapInPandas(run, f"`{key}` string, `{answer}` string")
+def chat_answers(questions: DataFrame, context: DataFrame, ask: Ask, models: Models, key: str = "conv_id") -> DataFrame:
+    """key, answer, error: each question (key, message) with its context (key, context), which may be missing."""
+    request = F.to_json(F.struct(F.col("message"), F.coalesce("context", F.lit("")).alias("context")))
+    asked = questions.select(key, "message").join(context.select(key, "context"), key, "left").select(key, request.alias("request"))
+    return answered(asked, "request", with_fallback(ask, models)).select(key, "answer", "error")
 
 
 def replayed(keys: DataFrame, key: str, recorded: DataFrame, answer: str = "answer") -> DataFrame:

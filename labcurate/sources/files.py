@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,8 @@ from labcurate.functions import parsing as P
 from labcurate.operators.curate import page_selected
 
 ACCEPTED = (".pdf", ".txt", ".md")
+#: Rendering: enlargement, JPEG quality, and the least side and size of a page worth looking at.
+ZOOM, QUALITY, LEAST_SIDE, LEAST_BYTES = 3.0, 85, 200, 5 * 1024
 MIME_TYPES = ("application/pdf", "text/plain", "text/markdown")
 
 
@@ -32,18 +34,30 @@ def plain_text(files: DataFrame) -> DataFrame:
     return files.where(F.col("extension").isin(".txt", ".md")).select("file_hash", F.decode("content", "UTF-8").alias("text"))
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """file_hash, page_no, text of each page; a file that cannot be read gives no rows.  Needs a PDF library on the executors."""
+def _pdf_texts(content: bytes) -> list[str]:
+    import fitz  # on the executors only
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        return [page.get_text() for page in doc]
+
+
+def _pdf_image(content: bytes, page_no: int) -> tuple[int, int, bytes]:
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        pixels = doc[page_no].get_pixmap(matrix=fitz.Matrix(ZOOM, ZOOM))
+        return pixels.width, pixels.height, pixels.tobytes("jpeg", jpg_quality=QUALITY)
+
+
+def pdf_pages(files: DataFrame, read: Callable[[bytes], list[str]] = _pdf_texts) -> DataFrame:
+    """file_hash, page_no, text of each page; a file that ``read`` cannot make out gives no rows.  ``read`` runs on the executors."""
 
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for h, content in zip(frame["file_hash"], frame["content"], strict=True):
                 try:
-                    with fitz.open(stream=bytes(content), filetype="pdf") as doc:
-                        rows += [(h, n, page.get_text()) for n, page in enumerate(doc)]
+                    rows += [(h, n, text) for n, text in enumerate(read(bytes(content)))]
                 except (RuntimeError, ValueError):
                     continue
             yield pd.DataFrame(rows, columns=["file_hash", "page_no", "text"])
@@ -51,9 +65,31 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.where(F.col("extension") == ".pdf").select("file_hash", "content").mapInPandas(run, "file_hash string, page_no int, text string")
 
 
-def document_text(pages: DataFrame) -> DataFrame:
-    """file_hash, text: the pages in order, joined by an empty line."""
+def page_images(files: DataFrame, pages: DataFrame, render: Callable[[bytes, int], tuple[int, int, bytes]] = _pdf_image) -> DataFrame:
+    """file_hash, page_no, image (a JPEG data URI) of the pages (file_hash, page_no) wanted.
+
+    Pages narrower or lower than LEAST_SIDE or with fewer bytes than LEAST_BYTES hold nothing to read; a file with a page that cannot
+    be rendered gives none.
+    """
+    wanted = pages.groupBy("file_hash").agg(F.array_sort(F.collect_set("page_no")).alias("wanted"))  # of one file, so bounded
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for h, content, numbers in zip(frame["file_hash"], frame["content"], frame["wanted"], strict=True):
+                try:
+                    made = [(h, int(n), *render(bytes(content), int(n))) for n in numbers]
+                except (RuntimeError, ValueError):
+                    continue
+                yield pd.DataFrame([(h, n, jpeg) for h, n, width, height, jpeg in made if min(width, height) >= LEAST_SIDE and len(jpeg) >= LEAST_BYTES], columns=["file_hash", "page_no", "image"])
+
+    found = files.select("file_hash", "content").join(wanted, "file_hash").mapInPandas(run, "file_hash string, page_no int, image binary")
+    return found.withColumn("image", data_uri(F.col("image")))
+
+
+def document_text(pages: DataFrame, drop_empty: bool = False) -> DataFrame:
+    """file_hash, text: the pages in order, joined by an empty line; with ``drop_empty`` pages without text do not count."""
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    pages = pages.where(P.strip(F.col("text")) != "") if drop_empty else pages
     return pages.groupBy("file_hash").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("text"))
 
 
@@ -61,26 +97,30 @@ def selected_pages(pages: DataFrame) -> DataFrame:
     return pages.where(page_selected(F.col("page_no"), F.col("text")))
 
 
-def small_images(images: DataFrame, column: str = "image", side: int = 1024, quality: int = 70) -> DataFrame:
-    """Images fitted into a square and stored as JPEG; null where one cannot be read.  Needs an image library on the executors."""
+def _fitted(content: bytes) -> bytes:
+    from PIL import Image  # on the executors only
+
+    image = Image.open(io.BytesIO(content)).convert("RGB")
+    image.thumbnail((1024, 1024))
+    out = io.BytesIO()
+    image.save(out, "JPEG", quality=70)
+    return out.getvalue()
 
-    @F.pandas_udf("binary")
-    def shrink(content: pd.Series) -> pd.Series:
-        from PIL import Image
 
+def small_images(images: DataFrame, column: str = "image", shrink: Callable[[bytes], bytes] = _fitted) -> DataFrame:
+    """Images fitted into a square and stored as JPEG; null where one cannot be read.  ``shrink`` runs on the executors."""
+
+    @F.pandas_udf("binary")
+    def run(content: pd.Series) -> pd.Series:
         def one(b: bytes | None) -> bytes | None:
             try:
-                image = Image.open(io.BytesIO(b)).convert("RGB")
-            except (OSError, TypeError):
+                return shrink(b) if b is not None else None
+            except (OSError, ValueError):
                 return None
-            image.thumbnail((side, side))
-            out = io.BytesIO()
-            image.save(out, "JPEG", quality=quality)
-            return out.getvalue()
 
         return content.map(one)
 
-    return images.withColumn(column, shrink(column))
+    return images.withColumn(column, run(column))
 
 
 def data_uri(content: Column, mime: str = "image/jpeg") -> Column:

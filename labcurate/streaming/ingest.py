@@ -13,14 +13,10 @@ STATES = ("pending", "processing", "extracting", "completed", "failed")
 
 
 def store_new(stream: DataFrame, table: SnapshotTable, hash_col: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Write the rows whose hash the table does not hold yet, a version for each micro-batch; a batch run again adds nothing."""
+    """Add the rows whose hash the table does not hold yet, a version for each micro-batch; a batch run again adds nothing."""
 
     def upsert(batch: DataFrame, _: int) -> None:
-        known = table.read()
-        fresh = new_by_hash(batch, known, hash_col, order).persist()
-        if not fresh.isEmpty():
-            table.write(known.unionByName(fresh))
-        fresh.unpersist()
+        table.append(new_by_hash(batch, table.read(), hash_col, order))
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
