@@ -74,4 +74,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_linear_grouping": op9_linear_grouping,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({}, '([<\[]/?)(\\*)(s>|INST\])', '\1\\\2\3', 'g')"
+_OP1 = f"""
+WITH turns AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}')) v(conv_id, turn, role, text)
+), filled AS (SELECT conv_id, turn, role AS given, text AS said, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns),
+whole AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, given NULLS FIRST, said NULLS FIRST) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, given NULLS FIRST, said NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
+        sum(length('{chat_format.TURN}{chat_format.HEADER}{chat_format.END}') + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+    FROM filled GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole"""
+#: (a, b): links both ways -> the smallest node that each can reach.
+_REACHED = "reached(node, least) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.least)"
+_OP6 = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+    WHERE list_inner_product(x.e, y.e) / sqrt(list_inner_product(x.e, x.e)) / sqrt(list_inner_product(y.e, y.e)) >= {vector_dedup.COSINE}::DOUBLE
+), {_REACHED}, n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), c AS (SELECT node, min(least) AS least FROM reached GROUP BY node)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(least(vec_id, c.least), vec_id) AS component_id, vec_id = coalesce(least(vec_id, c.least), vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id"""
+_OP7 = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), content AS (SELECT md5(list_sort(s)::VARCHAR) AS c, any_value(s) AS s, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1),
+shingles AS (SELECT c, n, unnest(s) AS x FROM content),
+common AS (SELECT l.c AS a, r.c AS b, l.n AS na, r.n AS nb, count(*) AS n FROM shingles l JOIN shingles r ON l.x = r.x AND l.c <> r.c AND 100 * least(l.n, r.n) >= 85 * greatest(l.n, r.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * n >= 85 * (na + nb - n)), {_REACHED},
+named AS (SELECT doc_id, md5(list_sort(s)::VARCHAR) AS c FROM sets WHERE len(s) > 0),
+pairs AS (SELECT node, least FROM reached UNION SELECT c, c FROM content),
+ids AS (SELECT p.node AS c, min(n.doc_id) AS component_id FROM pairs p JOIN named n ON n.c = p.least GROUP BY 1)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(i.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(i.component_id, s.doc_id) AS kept
+FROM sets s LEFT JOIN named n ON n.doc_id = s.doc_id LEFT JOIN ids i ON i.c = n.c"""
+#: The others' models, tokenizers and plans cannot be stated in SQL; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op6_vector_dedup": _OP6, "op7_hyperminhash": _OP7}
