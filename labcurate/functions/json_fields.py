@@ -47,8 +47,10 @@ def record_struct(v: Column) -> Column:
 
 
 def _first(v: Column, path: str) -> Column:
-    """A text, or the first of a list of texts."""
-    return blank_to_null(F.coalesce(F.try_variant_get(v, f"{path}[0]", "string"), F.try_variant_get(v, path, "string")))
+    """A text, or the first of a list of texts; null for an empty list."""
+    value = F.try_variant_get(v, path, "variant")
+    listed = F.schema_of_variant(value).startswith("ARRAY")
+    return blank_to_null(F.when(listed, F.try_variant_get(v, f"{path}[0]", "string")).otherwise(F.try_variant_get(value, "$", "string")))
 
 
 def authors(v: Column) -> Column:

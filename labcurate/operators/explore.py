@@ -44,6 +44,11 @@ def options(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).select("p.*").where(F.col("value") != "").distinct().orderBy("facet", "value")
 
 
+def option_lists(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(facet, options): the values of options() of each column as one array in code-point order."""
+    return options(df, columns).groupBy("facet").agg(F.array_sort(F.collect_list("value")).alias("options"))
+
+
 def summary(records: DataFrame, parents: DataFrame, value: str) -> DataFrame:
     """Totals, and least, greatest and mean of a value; a mean of 0 is reported as null."""
     a = records.agg(F.count("*").alias("total_records"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.nullif(F.avg(value), F.lit(0.0)).alias("avg_value"), F.lit(1).alias("__one"))

@@ -7,6 +7,7 @@ nothing, and appending rows does not copy those that are there.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,6 +133,11 @@ def update_row(df: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(changed.select(*keys).distinct(), keys, "left_anti").select(df.columns).unionByName(changed.select(df.columns))
 
 
+def merged(*stores: DataFrame) -> DataFrame:
+    """The rows of all stores; columns that one lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stores)
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, nulls included; as many files as the data have partitions."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

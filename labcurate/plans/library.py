@@ -98,6 +98,16 @@ class Library:
         self._clear()
         return self.literature().join(files.select("file_hash").distinct(), "file_hash", "left_semi")
 
+    def cached(self, files: DataFrame) -> DataFrame:
+        """What is stored of the files (file_hash) that are completed: their records with id (file hash, underscore, place from 0),
+        ionic_liquid and the entry's metadata, as an extraction would answer."""
+        done = self.literature().where("status = 'completed'").drop("content").join(files.select("file_hash").distinct(), "file_hash", "left_semi")
+        rows = self.records().withColumnRenamed("id", "record_id").join(done.withColumnRenamed("id", "literature_id"), "literature_id")
+        return C.position_ids(rows, "file_hash", "record_id").withColumn("ionic_liquid", F.col("lubricant"))
+
+    def options(self) -> DataFrame:
+        return X.option_lists(self.records(), ["material_name", "lubricant"])
+
     def needs_extraction(self, force: bool = False) -> DataFrame:
         """Entries that are not completed; with ``force`` all."""
         return self.literature() if force else self.literature().where("status <> 'completed'")
@@ -135,8 +145,8 @@ class Library:
         known, old = self.literature(), self.records()
         raw = C.records_of_answers(answers).withColumn("seq", F.col("batch_idx").cast("long") * 1_000_000 + F.col("pos"))
         parts = C.curate(raw.drop("id").join(known.select("file_hash", F.col("id").alias("literature_id")), "file_hash"), "seq", within=("literature_id",))
-        new = parts.select("literature_id", *[F.col("cof_raw").alias("cof") if c == "cof" else F.col("ionic_liquid").alias("lubricant") if c == "lubricant" else F.col(c) for c in _RAW])
-        new = _filled_to(W.with_new_ids(self._staged(typed(new)), old, "id", ["literature_id"]), self.record_schema)
+        new = parts.select("literature_id", *[F.col("cof_raw").alias("cof") if c == "cof" else F.col("ionic_liquid").alias("lubricant") if c == "lubricant" else F.col(c) for c in _RAW], "first_seen")
+        new = _filled_to(W.with_new_ids(self._staged(typed(new)), old, "id", ["literature_id", "first_seen"]), self.record_schema)
         answered = answers.select("file_hash").distinct().withColumn("__done", F.lit(True))
         after = known.join(answered, "file_hash", "left").withColumn("status", F.when(F.col("__done"), "completed").otherwise(F.col("status")))
         if metadata is not None:
@@ -182,9 +192,6 @@ class Library:
         parents = self.literature().withColumnRenamed("id", "literature_id")
         return X.search(self.records(), parents, "literature_id", wanted, ["id"], ["doi", "title", "authors", "journal", "year"])
 
-    def options(self) -> DataFrame:
-        return X.options(self.records(), ["material_name", "lubricant"])
-
     def stats(self) -> DataFrame:
         return X.summary(self.records(), self.literature(), "cof_value")
 

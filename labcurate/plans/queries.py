@@ -249,7 +249,11 @@ query("file_states", "SELECT user_id, CASE max(CASE event_type WHEN 'view' THEN
 
 
 def _shared(s: SparkSession) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="labcurate-")
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="labcurate-")
     return f"{root}/labcurate-{uuid.uuid4().hex}"
 
 

@@ -124,7 +124,8 @@ def small_images(images: DataFrame, column: str = "image", shrink: Callable[[byt
 
 
 def data_uri(content: Column, mime: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    """On one line."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def of_data_uri(uri: Column) -> Column:
