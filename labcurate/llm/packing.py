@@ -26,6 +26,8 @@ from labcurate.llm.common import bounded_batches, cut
 
 CAPACITY = 1024
 END_ID = 2
+#: Pre-tokens that a worker remembers, in each of two generations: about 100 bytes each beside the text.
+MEMO_ENTRIES = 200_000
 #: Pieces up to this length, a quarter of the capacity, are small: they fill gaps.
 SMALL = CAPACITY // 4
 GROUPS = 256
@@ -39,7 +41,7 @@ class _Tokens:
     def __init__(self, path: str, pattern: str):
         self.library = Tokenizer.from_file(path)
         self.split = splitter(pattern)
-        self.memo = Memo(self._whole)
+        self.memo = Memo(self._whole, MEMO_ENTRIES)
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"(?!)")  # the library finds these anywhere in a text, before all else
         # Byte-level tokens have one character for each byte.
@@ -95,7 +97,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokens(path, pattern)
         end = np.uint32(END_ID).astype("<u4").tobytes()
-        for batch in bounded_batches(batches, "text"):
+        for batch in bounded_batches(batches, "text", 2 << 20):
             ids = [x + end for x in t.ids(batch.column("text").to_pylist())]
             crcs = [[zlib.crc32(x[4 * s : 4 * (s + n)]) for s, n in pieces_of(len(x) // 4, capacity)] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "row", "n_tokens", "crcs"])

@@ -39,7 +39,7 @@ DECAY = 0.001  # of the word and n-gram vectors in each step
 CLIP = 8.0  # of the logarithm of a word's weight in the pooling
 CLEAN_WEIGHT = 4  # a clean document flagged counts as so many toxic ones missed when the cut is set
 ROWS = 512  # spans in one pass
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 
 _WORD = re.compile(r"\w+")
 _DIM = WORD_DIM + CHAR_DIM
