@@ -118,14 +118,24 @@ _VL = f"CASE WHEN coalesce(load, '') = '' THEN NULL WHEN {_UNITED('load', 1)} IS
 query("validate_records", _sql(f"CASE WHEN coalesce({_VC}, {_VL}) IS NULL THEN 'unverified' ELSE 'warning' END AS status, coalesce({_VC}, {_VL}) AS message, (({_VC} IS NOT NULL)::INT + ({_VL} IS NOT NULL)::INT) AS n_issues"))(
     lambda s, d: raw(s, d).select("k1", "k2", "k3", S.validation(F.col("cof"), F.col("load"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("v")).select("k1", "k2", "k3", "v.status", "v.message", F.size("v.issues").alias("n_issues"))
 )
-_EXPECTED = {
-    "material": {"' mica '": "Mica", "'SiO2'": "Silica", "'steel'": "Stainless steel", "'Au(111) surface'": "Au(111)", "'gold'": "Au(111)", "'silicon'": "Silica", "'sus304 plate'": "Stainless steel", "'muscovite'": "Mica"},
-    "liquid": {"'bmim pf6'": "[BMIM][PF6]", "'[EMIM][NTf2]'": "[EMIM][TFSI]", "'[PIP14][NTf2]'": "[P14][TFSI]", "'P66614 BOB'": "[P6,6,6,14][BOB]", "'[PIP14][TFSI]'": "[PIP14][TFSI]", "'N-butylpyridinium tetrafluoroborate'": "[BuPy][BF4]"},
-}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def _terms_sql(column: str) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN {a} THEN '{b}'" for a, b in _EXPECTED[column].items()) + f" ELSE {column} END"
+    """The lookup chain in SQL: alias, then the first pattern found, then the fuzzy or the bracket-free comparison, else the text."""
+    terms = SURFACES if column == "material" else LIQUIDS
+    text, low = f"trim({column})", f"lower(trim({column}))"
+    alias = f"CASE {low} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in T.alias_index(terms).items()) + " END"
+    pattern = "CASE " + " ".join(f"WHEN regexp_matches({text}, {_quoted('(?i)' + x)}) THEN {_quoted(t.term)}" for t in terms for x in t.patterns) + " END"
+    if column == "material":
+        characters = lambda c: f"list_distinct(string_split({c}, ''))"
+        near = lambda a: f"(contains({low}, {a}) OR contains({a}, {low})) AND length({low}) >= 3 AND len(list_intersect({characters(low)}, {characters(a)})) >= 0.7 * least(length({low}), length({a}))"
+        last = "CASE " + " ".join(f"WHEN {near(_quoted(a.lower()))} THEN {_quoted(t.term)}" for t in terms for a in t.aliases if len(a) >= 3) + " END"
+    else:
+        bare = lambda c: f"translate({c}, ' []', '')"
+        last = "CASE " + " ".join(f"WHEN {bare(low)} = {bare(_quoted(t.term.lower()))} THEN {_quoted(t.term)}" for t in terms) + " END"
+    return f"CASE WHEN {text} = '' THEN {column} ELSE coalesce({alias}, {pattern}, {last}, {column}) END"
 
 
 query("normalize_surface", _sql(f"{_terms_sql('material')} AS standard"))(lambda s, d: T.with_normalized(raw(s, d), "material", T.surface(F.col("material")), "standard").select("k1", "k2", "k3", "standard"))
@@ -146,8 +156,13 @@ _FP = lambda c: f"coalesce(regexp_replace(lower({c}), '[\\[\\]()\\s_\\-]', '', '
 _CLEAN = f"clean AS (SELECT k1 * 1000000000 + k2 * 100000000 + k3 AS seq, material, liquid, {_SANCOF} AS cof_clean, {_SAN('temperature')} AS temperature, {_SAN('normal_load')} AS normal_load, {_SAN('speed')} AS speed, {_POT} AS potential FROM raw)"
 _SCORED = f"scored AS (SELECT *, concat_ws('|', {_FP('material')}, {_FP('liquid')}, printf('%.3f', cof_clean), {_FP('potential')}) AS fp, ((normal_load IS NOT NULL)::INT + (speed IS NOT NULL)::INT + (temperature IS NOT NULL)::INT + (potential IS NOT NULL)::INT + CASE WHEN length(liquid) > 3 THEN 0.5 ELSE 0 END)::DOUBLE AS info FROM clean WHERE cof_clean IS NOT NULL)"
 query("dedup_best", f"WITH {_RAW_SQL}, {_CLEAN}, {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY info DESC, seq) AS rn, min(seq) OVER (PARTITION BY fp) AS first_seen FROM scored) SELECT fp, info, first_seen FROM ranked WHERE rn = 1")(lambda s, d: C.deduplicate(_sequenced(s, d)).select("fp", "info", "first_seen"))
-query("curate_records", f"WITH {_RAW_SQL}, gated AS (SELECT * FROM raw WHERE {_GATE('cof')} OR {_GATE('friction_force')}) SELECT coalesce(nullif({_terms_sql('material')}, ''), 'Unknown Material') AS material_name, coalesce(nullif({_terms_sql('liquid')}, ''), 'Unknown IL') AS ionic_liquid, min({_SANCOF}) AS least_cof, max({_SANCOF}) AS greatest_cof FROM gated WHERE {_SANCOF} IS NOT NULL GROUP BY 1, 2")(
-    lambda s, d: C.curate(_sequenced(s, d)).groupBy("material_name", "ionic_liquid").agg(F.min("cof_clean").alias("least_cof"), F.max("cof_clean").alias("greatest_cof"))
+_NAMED = (
+    f"named AS (SELECT k1 * 1000000000 + k2 * 100000000 + k3 AS seq, cof, normal_load, speed, potential, load, coalesce(nullif({_terms_sql('material')}, ''), 'Unknown Material') AS material, coalesce(nullif({_terms_sql('liquid')}, ''), 'Unknown IL') AS liquid, "
+    f"(SELECT {_TEMPERATURE} FROM (SELECT CASE WHEN raw.temperature IS NULL OR raw.temperature IN ('', '-') THEN '298.15 K' ELSE raw.temperature END AS temperature)) AS temperature FROM raw WHERE {_GATE('cof')} OR {_GATE('friction_force')})"
+)
+_CHOSEN = f"clean AS (SELECT seq, material, liquid, {_SANCOF} AS cof_clean, cof, load, {_SAN('temperature')} AS temperature, {_SAN('normal_load')} AS normal_load, {_SAN('speed')} AS speed, {_POT} AS potential FROM named)"
+query("curate_records", f"WITH {_RAW_SQL}, {_NAMED}, {_CHOSEN}, {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY info DESC, seq) AS rn, min(seq) OVER (PARTITION BY fp) AS first_seen FROM scored) SELECT seq, first_seen, material AS material_name, liquid AS ionic_liquid, cof_clean, potential, temperature, {_quantity_sql('coalesce(load, normal_load)', P.FORCE_FACTORS)} AS load_n FROM ranked WHERE rn = 1")(
+    lambda s, d: C.curate(_sequenced(s, d)).select("seq", "first_seen", "material_name", "ionic_liquid", "cof_clean", "potential", "temperature", "load_n")
 )
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 _COLUMNS = ", ".join(_ORDER)
