@@ -156,13 +156,20 @@ _FP = lambda c: f"coalesce(regexp_replace(lower({c}), '[\\[\\]()\\s_\\-]', '', '
 _CLEAN = f"clean AS (SELECT k1 * 1000000000 + k2 * 100000000 + k3 AS seq, material, liquid, {_SANCOF} AS cof_clean, {_SAN('temperature')} AS temperature, {_SAN('normal_load')} AS normal_load, {_SAN('speed')} AS speed, {_POT} AS potential FROM raw)"
 _SCORED = f"scored AS (SELECT *, concat_ws('|', {_FP('material')}, {_FP('liquid')}, printf('%.3f', cof_clean), {_FP('potential')}) AS fp, ((normal_load IS NOT NULL)::INT + (speed IS NOT NULL)::INT + (temperature IS NOT NULL)::INT + (potential IS NOT NULL)::INT + CASE WHEN length(liquid) > 3 THEN 0.5 ELSE 0 END)::DOUBLE AS info FROM clean WHERE cof_clean IS NOT NULL)"
 query("dedup_best", f"WITH {_RAW_SQL}, {_CLEAN}, {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY info DESC, seq) AS rn, min(seq) OVER (PARTITION BY fp) AS first_seen FROM scored) SELECT fp, info, first_seen FROM ranked WHERE rn = 1")(lambda s, d: C.deduplicate(_sequenced(s, d)).select("fp", "info", "first_seen"))
+def _stored(s: SparkSession, df: DataFrame) -> DataFrame:
+    """Raw records as the collection holds them: a table of texts, not the expressions that spell them out here."""
+    at = _shared(s)
+    df.write.parquet(at)
+    return s.read.schema(df.schema).parquet(at)
+
+
 _NAMED = (
     f"named AS (SELECT k1 * 1000000000 + k2 * 100000000 + k3 AS seq, cof, normal_load, speed, potential, load, coalesce(nullif({_terms_sql('material')}, ''), 'Unknown Material') AS material, coalesce(nullif({_terms_sql('liquid')}, ''), 'Unknown IL') AS liquid, "
     f"(SELECT {_TEMPERATURE} FROM (SELECT CASE WHEN raw.temperature IS NULL OR raw.temperature IN ('', '-') THEN '298.15 K' ELSE raw.temperature END AS temperature)) AS temperature FROM raw WHERE {_GATE('cof')} OR {_GATE('friction_force')})"
 )
 _CHOSEN = f"clean AS (SELECT seq, material, liquid, {_SANCOF} AS cof_clean, cof, load, {_SAN('temperature')} AS temperature, {_SAN('normal_load')} AS normal_load, {_SAN('speed')} AS speed, {_POT} AS potential FROM named)"
 query("curate_records", f"WITH {_RAW_SQL}, {_NAMED}, {_CHOSEN}, {_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY info DESC, seq) AS rn, min(seq) OVER (PARTITION BY fp) AS first_seen FROM scored) SELECT seq, first_seen, material AS material_name, liquid AS ionic_liquid, cof_clean, potential, temperature, {_quantity_sql('coalesce(load, normal_load)', P.FORCE_FACTORS)} AS load_n FROM ranked WHERE rn = 1")(
-    lambda s, d: C.curate(_sequenced(s, d)).select("seq", "first_seen", "material_name", "ionic_liquid", "cof_clean", "potential", "temperature", "load_n")
+    lambda s, d: C.curate(_stored(s, _sequenced(s, d))).select("seq", "first_seen", "material_name", "ionic_liquid", "cof_clean", "potential", "temperature", "load_n")
 )
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 _COLUMNS = ", ".join(_ORDER)

@@ -77,6 +77,22 @@ def test_snapshots_and_replacement(spark, tmp_path):
     assert sorted(ids) == list(range(8, 58))
 
 
+def test_tables_append_refuse_and_vacuum(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "")], "k long, v string")
+    table = W.SnapshotTable(spark, str(tmp_path / "t"), rows.schema, unique=("v",))
+    table.write(rows)
+    table.append(spark.createDataFrame([(5, "b"), (6, "")], rows.schema))
+    assert table.read().count() == 6 and table.read(1).count() == 4
+    with pytest.raises(ValueError):
+        table.append(spark.createDataFrame([(7, "a")], rows.schema))
+    assert table.version() == 2 and table.read().count() == 6
+    (tmp_path / "t" / "version=3").mkdir()  # another writer's, not finished
+    assert table.append(rows.where("v = 'none'")) == 4 and table.read().count() == 6
+    table.vacuum()
+    assert table.read().count() == 6 and len(list((tmp_path / "t").glob("version=*"))) == 1
+    assert W.new_by_hash(spark.createDataFrame([(None, 1), (None, 2), ("x", 3)], "h string, o int"), spark.createDataFrame([], "h string"), "h", "o").count() == 1
+
+
 def test_bibliography(spark):
     text = '{"title":["T"],"container-title":"J","author":[{"family":"A","given":"B"},{"given":"x"}],"published":{"date-parts":[[]]},"issued":{"date-parts":[[2020]]},"link":[{"content-type":"application/pdf","URL":"u"}]}'
     b = spark.createDataFrame([(text,)], "x string").select(J.bibliography(F.col("x"), F.lit("d")).alias("b")).first().b

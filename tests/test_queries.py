@@ -38,3 +38,11 @@ def test_filters_reach_the_scan(spark):
     plan = registry.QUERIES["search_records"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(l_returnflag" in plan or "In(l_returnflag, [A,R])" in plan
     assert "BatchEvalPython" not in plan and "ArrowEval" not in plan
+
+
+def test_the_flagship_runs_as_generated_code(spark):
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # code that cannot be compiled is an error then
+    try:
+        assert registry.QUERIES[registry.FLAGSHIP](spark, SF).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
