@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, toxicity, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  The first three return the columns of
-documents; the last returns the packed pieces.
+documents; the last returns the packed pieces.  An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
+    """One row of each group of near-duplicates stays, one with its smallest id; repeated rows are such a group, and rows that share an
+    id without being alike are not."""
     return hyperminhash.drop_near_duplicates(docs)
 
 
@@ -41,7 +42,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("language_id", language_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
 
-#: The models and the registers cannot be expressed in SQL; tests hold the stages against brute force.
+#: The models and the packing cannot be expressed in SQL; tests hold each stage's operator against brute force or held-out accuracy.
 ORACLE_SQL = None
 
 
