@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labcurate.llm import bpe, chat_format, html_main, hyperminhash, langid, mips, packing, toxicity, url_filter, vector_dedup
+from labcurate.llm import bpe, chat_format, fill_middle, html_main, hyperminhash, langid, mips, packing, toxicity, url_filter, vector_dedup
 from labcurate.llm.common import held_out, table
 
 #: The rules of query op10.
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.train(spark))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_anisotropic_mips": op8_anisotropic_mips,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_middle": op11_fill_middle,
 }
 _ESCAPED = r"regexp_replace({}, '([<\[]/?)(\\*)(s>|INST\])', '\1\\\2\3', 'g')"
 _OP1 = f"""
@@ -113,5 +118,18 @@ pairs AS (SELECT node, least FROM reached UNION SELECT c, c FROM content),
 ids AS (SELECT p.node AS c, min(n.doc_id) AS component_id FROM pairs p JOIN named n ON n.c = p.least GROUP BY 1)
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(i.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(i.component_id, s.doc_id) AS kept
 FROM sets s LEFT JOIN named n ON n.doc_id = s.doc_id LEFT JOIN ids i ON i.c = n.c"""
+_OP11 = """
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), h AS (
+    SELECT doc_id, text, u, len(u) AS n, ('0x' || x[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || x[9:16])::BIGINT % (len(u) + 1) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || x[17:24])::BIGINT % 100 >= 90 THEN 'plain' WHEN ('0x' || x[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM t
+), c AS (
+    SELECT doc_id, text, n, form, array_to_string(u[:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM h
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c"""
 #: The others' models, tokenizers and plans cannot be stated in SQL; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op6_vector_dedup": _OP6, "op7_hyperminhash": _OP7}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op6_vector_dedup": _OP6, "op7_hyperminhash": _OP7, "op11_fill_middle": _OP11}
