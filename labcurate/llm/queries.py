@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labcurate.llm import bpe, chat_format, fill_middle, html_main, hyperminhash, langid, mips, packing, toxicity, url_filter, vector_dedup
+from labcurate.llm import bpe, chat_format, fill_middle, html_main, hyperminhash, langid, mips, packing, prefix_trie, toxicity, url_filter, vector_dedup
 from labcurate.llm.common import held_out, table
 
 #: The rules of query op10.
@@ -66,6 +66,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_linear_grouping": op9_linear_grouping,
     "op10_url_filter": op10_url_filter,
     "op11_fill_middle": op11_fill_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _ESCAPED = r"regexp_replace({}, '([<\[]/?)(\\*)(s>|INST\])', '\1\\\2\3', 'g')"
 _OP1 = f"""
@@ -131,5 +136,21 @@ WITH t AS (
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
 FROM c"""
+#: One step of CRC-32 by bits, over the bytes of a decimal number.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, d: list_reduce(list_concat([xor(c, d)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"
+_OP13 = f"""
+WITH own AS (
+    SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (SELECT conv_id, t, {_CRC} % 6 AS h FROM own),
+whole AS (SELECT h.conv_id, list_concat(coalesce(b.t[:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+steps AS (SELECT conv_id, len(t) AS m, d, sha256(t[:d]::VARCHAR) AS k, sha256(t[:d - 1]::VARCHAR) AS up, CASE WHEN d > 0 THEN length(t[d].t) ELSE 0 END AS chars FROM whole, unnest(range(len(t) + 1)) r(d)),
+nodes AS (
+    SELECT d, k, any_value(CASE WHEN d > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE m = d), '') AS ends FROM steps GROUP BY d, k
+), kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids c ON c.d = n.d AND c.k = n.k),
+inside AS (SELECT DISTINCT a.d AS top_d, a.k AS top_k, b.d, b.k FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (SELECT top_d AS d, top_k AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens FROM inside JOIN full_nodes USING (d, k) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.d = n.d AND s.k = n.k LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.up"""
 #: The others' models, tokenizers and plans cannot be stated in SQL; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op6_vector_dedup": _OP6, "op7_hyperminhash": _OP7, "op11_fill_middle": _OP11}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1, "op6_vector_dedup": _OP6, "op7_hyperminhash": _OP7, "op11_fill_middle": _OP11, "op13_prefix_trie": _OP13}
