@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labcurate.llm import bpe, chat_format, fill_middle, html_main, hyperminhash, langid, mips, packing, prefix_trie, toxicity, url_filter, vector_dedup
+from labcurate.llm import bpe, chat_format, fill_middle, html_main, hyperminhash, langid, mips, packing, pii, prefix_trie, toxicity, url_filter, vector_dedup
 from labcurate.llm.common import held_out, table
 
 #: The rules of query op10.
@@ -66,6 +66,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_linear_grouping": op9_linear_grouping,
     "op10_url_filter": op10_url_filter,
     "op11_fill_middle": op11_fill_middle,
+    "op12_pii": op12_pii,
     "op13_prefix_trie": op13_prefix_trie,
 }
 _ESCAPED = r"regexp_replace({}, '([<\[]/?)(\\*)(s>|INST\])', '\1\\\2\3', 'g')"
