@@ -76,31 +76,48 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """(conv, depth, chars, length, name): ``name`` is the same for equal prefixes and follows their lexicographic order, from 1.
+def _doubled(found: DataFrame, longest: int) -> DataFrame:
+    """(conv, depth, length, name) of (conv, depth, length, name of the turn's stretch of its block): names of whole stretches from depth 1.
 
     Every round doubles the blocks: a turn in the second half of one is named by the first half's last name and its own.
     """
-    block = F.floor((F.col("depth") - 1) / BLOCK)
-    parts = rows.groupBy("conv", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("depth", "item", "chars", "length"))).alias("r"))  # at most BLOCK
-    joined = lambda i: F.aggregate(F.slice("r", 1, i + 1), F.lit(b""), lambda a, x: F.concat(a, x["item"]))
-    each = F.transform("r", lambda x, i: F.struct(x.depth.alias("depth"), x.chars.alias("chars"), x.length.alias("length"), joined(i).alias("key")))
-    found = _named(parts.select("conv", F.inline(each)), ["key"])
-    longest = found.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
     size = BLOCK
     while size < longest:
         place = (F.col("depth") - 1) % (2 * size)
         ends = found.where((F.col("depth") % (2 * size) == size) & (F.col("length") > F.col("depth")))
         ends = ends.select("conv", F.col("depth").alias("at"), F.col("name").alias("a"), F.least(F.col("length") - F.col("depth"), F.lit(size)).alias("__n"))
         second = found.where(place >= size).withColumn("at", F.col("depth") - 1 - place + size)
-        second = join_unique(second, ends, ["conv", "at"], "__n").select("conv", "depth", "chars", "length", "a", F.col("name").alias("b"))
-        first = found.where(place < size).select("conv", "depth", "chars", "length", F.col("name").alias("a"), F.lit(0).cast("long").alias("b"))
+        second = join_unique(second, ends, ["conv", "at"], "__n").select("conv", "depth", "length", "a", F.col("name").alias("b"))
+        first = found.where(place < size).select("conv", "depth", "length", F.col("name").alias("a"), F.lit(0).cast("long").alias("b"))
         old, found = found, _named(first.unionByName(second), ["a", "b"])
         discard(old)
         size *= 2
     return found
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """(conv, depth, chars, length, name): ``name`` is the same for equal prefixes and follows their lexicographic order, from 1.
+
+    A prefix within the first block is named by what it holds.  What follows that block is named apart, so that only long conversations
+    take the rounds that double, and is then put behind the name of the block.
+    """
+    block = F.floor((F.col("depth") - 1) / BLOCK)
+    parts = rows.groupBy("conv", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("depth", "item", "chars", "length"))).alias("r"))  # at most BLOCK
+    joined = lambda i: F.aggregate(F.slice("r", 1, i + 1), F.lit(b""), lambda a, x: F.concat(a, x["item"]))
+    each = F.transform("r", lambda x, i: F.struct(x.depth.alias("depth"), x.chars.alias("chars"), x.length.alias("length"), joined(i).alias("key")))
+    keyed = parts.select("conv", "block", F.inline(each))
+    longest = rows.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    head = _named(keyed.where(F.col("block") == 0).select("conv", "depth", "chars", "length", "key"), ["key"])
+    if longest <= BLOCK:
+        return head
+    rest = keyed.where(F.col("block") > 0).select("conv", (F.col("depth") - BLOCK).alias("depth"), (F.col("length") - BLOCK).alias("length"), "key")
+    tail = _doubled(_named(rest, ["key"]), longest - BLOCK).select("conv", (F.col("depth") + BLOCK).alias("depth"), F.col("name").alias("b"))
+    whole = head.where((F.col("depth") == BLOCK) & (F.col("length") > BLOCK)).select("conv", F.col("name").alias("a"), (F.col("length") - BLOCK).alias("__n"))
+    tail = join_unique(tail, whole, "conv", "__n").drop("__n").join(rows.select("conv", "depth", "chars", "length"), ["conv", "depth"])
+    pairs = head.select("conv", "depth", "chars", "length", F.col("name").alias("a"), F.lit(0).cast("long").alias("b"))
+    return _named(pairs.unionByName(tail), ["a", "b"])
+
+
 def _digests(ends: DataFrame) -> DataFrame:
     """(name, ends_sha256) of (name, conv): the digest of a node's ids, ascending and comma-joined.
 
