@@ -1,76 +1,15 @@
-"""Keyed replacement, upsert and cascading deletion over versioned Parquet tables.
-
-A version is a short list of data directories.  A write adds a directory and then a version that names it, so a failed write changes
-nothing, and appending rows does not copy those that are there.
-"""
+"""Keyed replacement, upsert, merging and cascading deletion over DataFrames.  The stored tables are in tables.py."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
 
-class SnapshotTable:
-    """A table below one path, which any file system of Spark's may hold: rows in ``data``, lists in ``version=N``.
-
-    ``unique`` columns hold no value twice, null and empty text apart; a write that would is refused.
-    """
+from labcurate.operators.tables import Conflict, SnapshotTable
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, unique: tuple[str, ...] = ()):
-        self.spark, self.path, self.schema, self.unique = spark, path.rstrip("/"), schema, unique
-
-    def _found(self, pattern: str) -> list:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
-        return [f.getPath() for f in where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []]
-
-    def version(self) -> int:
-        """0 before the first write.  A version counts once its success mark is there."""
-        return max([int(p.getParent().getName().split("=")[1]) for p in self._found("version=*/_SUCCESS")], default=0)
-
-    def _directories(self, version: int) -> list[str]:
-        return sorted(r.directory for r in self.spark.read.schema("directory string").parquet(f"{self.path}/version={version}").collect()) if version else []
-
-    def read(self, version: int | None = None) -> DataFrame:
-        parts = self._directories(self.version() if version is None else version)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{p}" for p in parts]) if parts else self.spark.createDataFrame([], self.schema)
-
-    def _publish(self, df: DataFrame, parts: list[str], check: bool) -> int:
-        version = 1 + max([int(p.getName().split("=")[1]) for p in self._found("version=*")], default=0)
-        new = f"{version:09d}-{uuid.uuid4().hex}"
-        df.select(self.schema.fieldNames()).write.parquet(f"{self.path}/data/{new}")
-        if check and self.unique:
-            self._refuse_repeated([*parts, new])
-        # Of two writers that take the same number, one fails here and has changed nothing.
-        self.spark.createDataFrame([(p,) for p in [*parts, new]], "directory string").coalesce(1).write.mode("error").parquet(f"{self.path}/version={version}")
-        return version
-
-    def _refuse_repeated(self, parts: list[str]) -> None:
-        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{p}" for p in parts])
-        for c in self.unique:
-            again = rows.where(F.col(c).cast("string") != "").groupBy(c).count().where("count > 1").first()
-            if again:
-                raise ValueError(f"{c} is not unique: {again[0]}")
-
-    def write(self, df: DataFrame) -> int:
-        """The table holds the rows of ``df`` and no others."""
-        return self._publish(df, [], True)
-
-    def append(self, df: DataFrame) -> int:
-        """The rows of ``df`` are added; those that are there are not copied."""
-        return self._publish(df, self._directories(self.version()), True)
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete all but the last ``keep`` versions, and data that no version left names.  Not while others write or read old ones."""
-        versions = sorted(int(p.getParent().getName().split("=")[1]) for p in self._found("version=*/_SUCCESS"))
-        held = {d for v in versions[-keep:] for d in self._directories(v)}
-        for p in [*self._found("version=*"), *self._found("data/*")]:
-            name = p.getName()
-            if name not in held and name not in {f"version={v}" for v in versions[-keep:]}:
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["Conflict", "SnapshotTable", "cascade_delete", "export_json", "get_or_create", "keyed_replace", "merge_filled", "merged", "new_by_hash", "replace_where_any", "update_row", "with_new_ids"]
 
 
 def keyed_replace(target: DataFrame, new: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -88,12 +27,13 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, key
     return parents.join(k, key, "left_anti"), children.join(k, key, "left_anti")
 
 
-def with_new_ids(df: DataFrame, existing: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Adds ids that follow the greatest existing one.  Ids are dealt by sorted partition, not through one task.
+def with_new_ids(df: DataFrame, existing: DataFrame | int, id_col: str, order: list[str]) -> DataFrame:
+    """Adds ids that follow the greatest existing one, which may be given as a number.  Ids are dealt by sorted partition, not through
+    one task.
 
     The rows must read the same each time (a table, not a sample): they are counted by partition first.
     """
-    start = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first().m
+    start = existing if isinstance(existing, int) else existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first().m
     ordered = df.sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
     sizes = sorted(ordered.groupBy("__p").count().collect())
     before, total = [], start

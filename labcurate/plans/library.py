@@ -1,7 +1,8 @@
-"""The whole life of a collection: ingest, extraction, synchronisation, search and deletion over two versioned tables.
+"""The whole life of a collection: ingest, extraction, synchronisation, search and deletion over versioned tables.
 
-A change writes new versions of the tables it touches and then one commit row that names both, so readers see all of it or nothing.
-Each method takes and returns DataFrames; many documents are handled in one call.
+A change is built on the versions that the last commit names, writes drafts of the tables it touches and then one commit row that names
+them, so readers see all of it or nothing.  A draft that was never committed is a base for nothing.  A commit is refused (Conflict)
+where another came since the change began.  Each method takes and returns DataFrames; many documents are handled in one call.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from labcurate.functions import parsing as P
 from labcurate.functions import scoring as S
 from labcurate.operators import curate as C
 from labcurate.operators import explore as X
-from labcurate.operators import review as R
 from labcurate.operators import storage as W
 from labcurate.sources import connectors as N
 
 _LITERATURE = "id long, doi string, title string, authors string, journal string, issn string, year int, volume string, issue string, pages string, content string, file_path string, file_hash string, status string, error_message string, created_at timestamp"
 _RECORDS = "id long, literature_id long, material_name string, lubricant string, cof_value double, cof_operator string, cof_raw string, load_raw string, load_n double, speed_raw string, speed_mps double, temperature_raw string, temperature_k double, potential string, water_content string, surface_roughness string, film_thickness string, mol_ratio string, cation string, extracted_at timestamp, confidence double, evidence string"
-_COMMITS = ("literature long, records long")
+#: Versions of the tables that a commit names, and the greatest ids dealt.
+_COMMITS = "literature long, records long, failures long, batches long, last_literature long, last_record long"
+_FAILURES = "file_hash string, batch_idx int, error string, batch_id string, failed_at timestamp"
+#: A document's identity in synchronisation: its identifier, else its content.
+_DOCUMENT = "coalesce(nullif(doi, ''), concat('hash:', file_hash))"
+NO_DATA, NO_CONTENT = "No valid data extracted.", "No content available"
 _METADATA = ["title", "authors", "journal", "issn", "year", "volume", "issue", "pages"]
 _RAW = ["material_name", "lubricant", "cof", "load", "speed", "temperature", "potential", "water_content", "surface_roughness", "film_thickness", "mol_ratio", "cation", "evidence"]
 #: What a client sends for one document: its metadata and its measurements.
@@ -52,57 +57,97 @@ def typed(raw: DataFrame) -> DataFrame:
     })
 
 
+class _Change:
+    """What one change is built on, what it writes aside, and the commit that makes it visible."""
+
+    def __init__(self, library: Library):
+        self.library, self.base = library, library._commits.version()
+        row = library._commits.read(self.base).first()
+        self.state = row.asDict() if row else dict.fromkeys(library._commit_schema.fieldNames(), 0)
+        self._paths: list[str] = []
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written aside: what is numbered next reads the same each time."""
+        path = f"{self.library._path}/staged/{uuid.uuid4().hex}"
+        self._paths.append(path)
+        df.write.parquet(path)
+        return self.library.spark.read.schema(df.schema).parquet(path)
+
+    def put(self, table: str, new: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """A draft of a table: the rows with the keys of ``gone`` go, ``new`` come."""
+        self.state[table] = self.library._tables[table].change(new, gone, self.state[table], draft=True)
+
+    def numbered(self, rows: DataFrame, counter: str, order: list[str]) -> DataFrame:
+        """``rows``, staged, with ids that no committed row has."""
+        out = W.with_new_ids(rows, self.state[counter], "id", order)
+        self.state[counter] += rows.count()
+        return out
+
+    def commit(self) -> None:
+        row = tuple(self.state[f] for f in self.library._commit_schema.fieldNames())
+        self.library._commits.write(self.library.spark.createDataFrame([row], self.library._commit_schema), base=self.base)
+
+    def __enter__(self) -> _Change:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for p in self._paths:
+            where = self.library.spark._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(self.library.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Library:
-    def __init__(self, spark: SparkSession, path: str):
+    """buckets: into so many parts entries and records are dealt by a hash of the entry's id; fixed when a library is made."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
         self.spark = spark
         self.literature_schema, self.record_schema, self._commit_schema = map(StructType.fromDDL, (_LITERATURE, _RECORDS, _COMMITS))
-        self._path = path.rstrip("/")
-        self._literature = W.SnapshotTable(spark, f"{path}/literature", self.literature_schema, unique=("doi", "file_hash"))
-        self._records = W.SnapshotTable(spark, f"{path}/records", self.record_schema)
-        self._commits = W.SnapshotTable(spark, f"{path}/commits", self._commit_schema)
-
-    def _now(self) -> tuple[int, int]:
+        self._path = path = path.rstrip("/")
+        failures, batches = StructType.fromDDL(_FAILURES), StructType.fromDDL("batch_id string, at timestamp")
+        self._literature = W.SnapshotTable(spark, f"{path}/literature", self.literature_schema, {"doi": "doi", "file_hash": "file_hash", "document": _DOCUMENT}, "id", buckets)
+        self._records = W.SnapshotTable(spark, f"{path}/records", self.record_schema, key="literature_id", buckets=buckets)
+        self._failures = W.SnapshotTable(spark, f"{path}/failures", failures, key="file_hash", buckets=buckets)
+        self._batches = W.SnapshotTable(spark, f"{path}/batches", batches, ("batch_id",), buckets=buckets)
+        self._commits = W.SnapshotTable(spark, f"{path}/commits", self._commit_schema, buckets=1)
+        self._tables = {"literature": self._literature, "records": self._records, "failures": self._failures, "batches": self._batches}
+
+    def _version(self, table: str) -> int:
         row = self._commits.read().first()
-        return (row.literature, row.records) if row else (0, 0)
+        return row[table] if row else 0
 
     def literature(self) -> DataFrame:
-        return self._literature.read(self._now()[0])
+        return self._literature.read(self._version("literature"))
 
     def records(self) -> DataFrame:
-        return self._records.read(self._now()[1])
+        return self._records.read(self._version("records"))
 
-    def _staged(self, df: DataFrame) -> DataFrame:
-        """``df`` written aside: what is numbered next reads the same each time."""
-        path = f"{self._path}/staged/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _clear(self) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/staged")
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def _commit(self, literature: DataFrame | None = None, records: DataFrame | None = None) -> None:
-        a, b = self._now()
-        a = self._literature.write(literature) if literature is not None else a
-        b = self._records.write(records) if records is not None else b
-        self._commits.write(self.spark.createDataFrame([(a, b)], self._commit_schema))
+    def failures(self) -> DataFrame:
+        """Batches whose request failed, with the error; a file's go when it is answered again."""
+        return self._failures.read(self._version("failures"))
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """Files (file_hash, path, content text): those not known yet become entries in state processing.  Returns them."""
-        known = self.literature()
-        fresh = W.new_by_hash(files.select("file_hash", F.col("path").alias("file_path"), F.col("text").alias("content")), known, "file_hash", "file_path")
-        title = F.element_at(F.split("file_path", "/"), -1)
-        fresh = self._staged(fresh.withColumns({"title": title, "authors": F.lit(""), "journal": F.lit(""), "status": F.lit("processing"), "created_at": F.current_timestamp()}))
-        written = self._literature.append(_filled_to(W.with_new_ids(fresh, known, "id", ["file_hash"]), self.literature_schema))
-        self._commits.write(self.spark.createDataFrame([(written, self._now()[1])], self._commit_schema))
-        self._clear()
-        return self.literature().join(files.select("file_hash").distinct(), "file_hash", "left_semi")
+        with _Change(self) as change:
+            rows = files.select("file_hash", F.col("path").alias("file_path"), F.col("text").alias("content"))
+            known = self._literature.known("file_hash", rows.select(F.col("file_hash").alias("value")), change.state["literature"])
+            fresh = W.new_by_hash(rows, known.select(F.col("value").alias("file_hash")), "file_hash", "file_path")
+            title = F.element_at(F.split("file_path", "/"), -1)
+            fresh = change.staged(fresh.withColumns({"title": title, "authors": F.lit(""), "journal": F.lit(""), "status": F.lit("processing"), "created_at": F.current_timestamp()}))
+            change.put("literature", _filled_to(change.numbered(fresh, "last_literature", ["file_hash"]), self.literature_schema))
+            change.commit()
+        return self.entries_of(files)
+
+    def entries_of(self, files: DataFrame) -> DataFrame:
+        """The entries of files (file_hash); only the buckets that can hold them are read."""
+        version = self._version("literature")
+        ids = self._literature.known("file_hash", files.select(F.col("file_hash").alias("value")), version)
+        return self._literature.rows_of(ids.select(F.col("key").alias("id")), version)
 
     def cached(self, files: DataFrame) -> DataFrame:
         """What is stored of the files (file_hash) that are completed: their records with id (file hash, underscore, place from 0),
         ionic_liquid and the entry's metadata, as an extraction would answer."""
-        done = self.literature().where("status = 'completed'").drop("content").join(files.select("file_hash").distinct(), "file_hash", "left_semi")
-        rows = self.records().withColumnRenamed("id", "record_id").join(done.withColumnRenamed("id", "literature_id"), "literature_id")
+        done = self.entries_of(files).where("status = 'completed'").drop("content").withColumnRenamed("id", "literature_id")
+        rows = self._records.rows_of(done.select("literature_id"), self._version("records")).withColumnRenamed("id", "record_id").join(done, "literature_id")
         return C.position_ids(rows, "file_hash", "record_id").withColumn("ionic_liquid", F.col("lubricant"))
 
     def options(self) -> DataFrame:
@@ -115,44 +160,66 @@ class Library:
     def sync(self, payloads: DataFrame, append: bool = False) -> dict[str, int]:
         """Store documents with their records (payload_schema()).  A known identifier keeps its entry, and its records are replaced, or with
         ``append`` added to.  A document is known by its identifier, without one by its file hash, and left out without either.  Rows with the same identifier are one document: their records join and the first title counts."""
-        known, old = self.literature(), self.records()
-        rows = payloads.withColumn("doi", P.blank_to_null(P.normalize_doi(F.col("doi"))))
-        key = F.coalesce("doi", F.concat(F.lit("hash:"), "file_hash"))
-        rows = self._staged(rows.withColumn("key", key).where(F.col("key").isNotNull()).withColumn("place", F.monotonically_increasing_id()))
-        first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
-        given = rows.groupBy("key").agg(*[first(c) for c in ("doi", "file_hash", *_METADATA)])
-        found = W.get_or_create(known.withColumn("key", key), given, "key", "id")
-        created = self._staged(found.where("is_new").drop("id").withColumns({"title": F.coalesce("title", F.lit("Untitled")), "authors": F.coalesce("authors", F.lit("")), "journal": F.coalesce("journal", F.lit("")), "status": F.lit("completed"), "created_at": F.current_timestamp()}))
-        written = self._literature.append(_filled_to(W.with_new_ids(created, known, "id", ["key"]), self.literature_schema))  # not visible before the commit
-        entries = self._literature.read(written)
-        ids = W.get_or_create(entries.withColumn("key", key), given, "key", "id").select("key", F.col("id").alias("literature_id"))
-        given_records = self._staged(typed(rows.select("key", F.inline("records")).join(ids, "key").drop("key")))
-        new, added = R.observed(_filled_to(W.with_new_ids(given_records, old, "id", ["literature_id"]), self.record_schema), "added")
-        if append:
-            after, lost = self._records.append(new), 0
-        else:
-            touched = found.where(~F.col("is_new")).select(F.col("id").alias("literature_id"))
-            kept, stayed = R.observed(old.join(touched, "literature_id", "left_anti").select(self.record_schema.fieldNames()), "stayed")
-            after = self._records.write(kept.unionByName(new))
-            lost = old.count() - stayed.get["rows"]
-        self._commits.write(self.spark.createDataFrame([(written, after)], self._commit_schema))
-        self._clear()
-        return {"synced": added.get["rows"], "replaced": lost}
-
-    def store_answers(self, answers: DataFrame, metadata: DataFrame | None = None) -> None:
-        """Extraction answers (file_hash, batch_idx, answer): curate their records, each file's for itself, and replace those of each file that
-        brings at least one; fill in metadata (file_hash and fields); every file that has answered is completed."""
-        known, old = self.literature(), self.records()
-        raw = C.records_of_answers(answers).withColumn("seq", F.col("batch_idx").cast("long") * 1_000_000 + F.col("pos"))
-        parts = C.curate(raw.drop("id").join(known.select("file_hash", F.col("id").alias("literature_id")), "file_hash"), "seq", within=("literature_id",))
-        new = parts.select("literature_id", *[F.col("cof_raw").alias("cof") if c == "cof" else F.col("ionic_liquid").alias("lubricant") if c == "lubricant" else F.col(c) for c in _RAW], "first_seen")
-        new = _filled_to(W.with_new_ids(self._staged(typed(new)), old, "id", ["literature_id", "first_seen"]), self.record_schema)
-        answered = answers.select("file_hash").distinct().withColumn("__done", F.lit(True))
-        after = known.join(answered, "file_hash", "left").withColumn("status", F.when(F.col("__done"), "completed").otherwise(F.col("status")))
-        if metadata is not None:
-            after = W.merge_filled(after, metadata, "file_hash", [m for m in _METADATA if m in metadata.columns])
-        self._commit(_filled_to(after, self.literature_schema), W.replace_where_any(old, new, "literature_id"))
-        self._clear()
+        with _Change(self) as change:
+            rows = payloads.withColumn("doi", P.blank_to_null(P.normalize_doi(F.col("doi"))))
+            rows = rows.withColumn("key", F.expr(_DOCUMENT))
+            rows = change.staged(rows.where(F.col("key").isNotNull()).withColumn("place", F.monotonically_increasing_id()))
+            first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
+            given = rows.groupBy("key").agg(*[first(c) for c in ("doi", "file_hash", *_METADATA)])
+            known = self._literature.known("document", rows.select(F.col("key").alias("value")), change.state["literature"]).select(F.col("value").alias("key"), F.col("key").alias("id"))
+            known = change.staged(known)
+            created = given.join(known, "key", "left_anti")
+            created = change.staged(created.withColumns({"title": F.coalesce("title", F.lit("Untitled")), "authors": F.coalesce("authors", F.lit("")), "journal": F.coalesce("journal", F.lit("")), "status": F.lit("completed"), "created_at": F.current_timestamp()}))
+            created = change.staged(change.numbered(created, "last_literature", ["key"]))
+            change.put("literature", _filled_to(created, self.literature_schema))
+            ids = known.unionByName(created.select("key", "id")).withColumnRenamed("id", "literature_id")
+            given_records = change.staged(typed(rows.select("key", F.inline("records")).join(ids, "key").drop("key")))
+            replaced = known.select(F.col("id").alias("literature_id"))
+            lost = 0 if append else self._records.rows_of(replaced, change.state["records"]).count()
+            added = given_records.count()
+            change.put("records", _filled_to(change.numbered(given_records, "last_record", ["literature_id"]), self.record_schema), None if append else replaced)
+            change.commit()
+        return {"synced": added, "replaced": lost}
+
+    def store_answers(self, answers: DataFrame, metadata: DataFrame | None = None, batch_id: str | None = None) -> None:
+        """Extraction answers (file_hash, batch_idx, answer, and error if there is one): curate their records, each file's for itself, and
+        replace those of each file that brings at least one.
+
+        A file that brings records is completed, and what it has of metadata (file_hash and fields) is filled in.  One that brings none is
+        failed, with its first batch's error or that there was no data, unless it was completed before: then its records and state
+        stay.  Batches with an error are kept in failures().  A batch_id that was stored before changes nothing.
+        """
+        with _Change(self) as change:
+            if batch_id is not None:
+                this = self.spark.createDataFrame([(batch_id,)], "value string")
+                if self._batches.known("batch_id", this, change.state["batches"]).first():
+                    return
+                change.put("batches", this.select(F.col("value").alias("batch_id"), F.current_timestamp().alias("at")))
+            error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+            given = change.staged(answers.select("file_hash", F.col("batch_idx").cast("int").alias("batch_idx"), "answer", error.alias("error")))
+            files = given.groupBy("file_hash").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("batch_idx"))).alias("error"))
+            found = self._literature.known("file_hash", files.select(F.col("file_hash").alias("value")), change.state["literature"])
+            ids = change.staged(found.select(F.col("value").alias("file_hash"), F.col("key").alias("literature_id")))
+            raw = C.records_of_answers(given.where("error IS NULL")).withColumn("seq", F.col("batch_idx").cast("long") * 1_000_000 + F.col("pos"))
+            parts = C.curate(raw.drop("id").join(ids, "file_hash"), "seq", within=("literature_id",))
+            new = parts.select("literature_id", *[F.col("cof_raw").alias("cof") if c == "cof" else F.col("ionic_liquid").alias("lubricant") if c == "lubricant" else F.col(c) for c in _RAW], "first_seen")
+            new = change.staged(typed(new))
+            bring = new.select("literature_id").distinct()
+            change.put("records", _filled_to(change.numbered(new, "last_record", ["literature_id", "first_seen"]), self.record_schema), bring)
+            entries = self._literature.rows_of(ids.select(F.col("literature_id").alias("id")), change.state["literature"])
+            outcome = ids.join(files, "file_hash").join(bring.withColumn("__some", F.lit(True)), "literature_id", "left").select(F.col("literature_id").alias("id"), F.col("error").alias("__error"), F.coalesce("__some", F.lit(False)).alias("__some"))
+            entries = entries.join(outcome, "id")
+            if metadata is not None:
+                fields = [m for m in _METADATA if m in metadata.columns]
+                filled = metadata.join(ids.join(bring, "literature_id", "left_semi"), "file_hash", "left_semi")
+                entries = W.merge_filled(entries, filled, "file_hash", fields)
+            failed = ~F.col("__some") & (F.col("status") != "completed")
+            entries = entries.withColumn("error_message", F.when(failed, F.coalesce("__error", F.lit(NO_DATA))).when(~F.col("__some"), F.col("error_message")))
+            entries = entries.withColumn("status", F.when(failed, "failed").otherwise("completed"))
+            change.put("literature", change.staged(_filled_to(entries, self.literature_schema)), ids.select(F.col("literature_id").alias("id")))
+            lost = given.where("error IS NOT NULL").select("file_hash", "batch_idx", "error", F.lit(batch_id).cast("string").alias("batch_id"), F.current_timestamp().alias("failed_at"))
+            change.put("failures", lost, files.select("file_hash"))
+            change.commit()
 
     def extract(self, pages: DataFrame, ask_metadata: DataFrame, ask: N.Ask, models: N.Models, registry: DataFrame | None = None, prompt: str = "") -> None:
         """Both passes over the entries that wait: bibliographic data from ask_metadata (file_hash, answer), completed field by field from
@@ -165,18 +232,22 @@ class Library:
         batches = batches.groupBy("file_hash", "batch_idx").agg(F.array_sort(F.collect_list(F.struct("page_no", "text", "image"))).alias("p"))  # three pages
         text, images = F.array_join(F.transform("p", lambda x: x.text), "\n\n"), F.transform("p", lambda x: x.image)
         answers = N.extracted(batches.select("file_hash", "batch_idx", N.extraction_messages(prompt, images, text, models).alias("request")), ask, models)
-        self.store_answers(self._staged(answers), metadata)
+        self.store_answers(answers, metadata)
 
     def vacuum(self) -> None:
         """Only the present versions stay."""
-        for t in (self._literature, self._records, self._commits):
-            t.vacuum()
+        row = self._commits.read().first()
+        for name, table in self._tables.items():
+            table.vacuum(keep=0, also=[row[name]] if row and row[name] else [])
+        self._commits.vacuum()
 
     def delete(self, ids: DataFrame) -> None:
         """Entries (id) go with their records; unknown ids change nothing."""
-        known, old = self.literature(), self.records()
-        gone = ids.select("id").distinct()
-        self._commit(known.join(gone, "id", "left_anti"), old.join(gone.withColumnRenamed("id", "literature_id"), "literature_id", "left_anti"))
+        with _Change(self) as change:
+            gone = change.staged(ids.select("id").distinct())
+            change.put("literature", gone=gone)
+            change.put("records", gone=gone.withColumnRenamed("id", "literature_id"))
+            change.commit()
 
     def list(self, skip: int = 0, limit: int = 100) -> DataFrame:
         return X.page_of(self.literature().drop("content").withColumn("doi", F.coalesce("doi", F.lit(""))), "created_at", "id", skip, limit)
