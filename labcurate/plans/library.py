@@ -221,18 +221,30 @@ class Library:
             change.put("failures", lost, files.select("file_hash"))
             change.commit()
 
-    def extract(self, pages: DataFrame, ask_metadata: DataFrame, ask: N.Ask, models: N.Models, registry: DataFrame | None = None, prompt: str = "") -> None:
-        """Both passes over the entries that wait: bibliographic data from ask_metadata (file_hash, answer), completed field by field from
-        ``registry`` (doi and fields), then the measurements of the pages (file_hash, page_no, text, image) batch by batch."""
-        waiting = self.needs_extraction().select("file_hash")
+    def extract(self, pages: DataFrame, ask_metadata: DataFrame | None, ask: N.Ask, models: N.Models, registry: DataFrame | None = None, prompt: str = "", head_prompt: str = "", system: str | None = None, head_system: str | None = None) -> None:
+        """Both passes over the entries that wait: bibliographic data, completed field by field from ``registry`` (doi and fields), then
+        the measurements of the pages (file_hash, page_no, text, image) batch by batch.
+
+        The first pass asks models.text about the head of each entry's content and its first page's image; ``ask_metadata``
+        (file_hash, answer) are its answers where it has been done already.  Entries with neither content nor pages are failed.
+        """
+        entries = self.needs_extraction().select("file_hash", "content")
+        waiting = entries.select("file_hash")
+        pages = pages.join(waiting, "file_hash", "left_semi")
+        if ask_metadata is None:
+            covers = pages.groupBy("file_hash").agg(F.min_by("image", "page_no").alias("image"))
+            heads = entries.join(covers, "file_hash", "left").where("trim(coalesce(content, '')) <> '' OR image IS NOT NULL")
+            ask_metadata = N.first_pass(heads.select("file_hash", N.head_messages(head_prompt, F.col("content"), F.col("image"), models, head_system).alias("request")), ask, models)
         found = N.metadata_answers(ask_metadata.join(waiting, "file_hash", "left_semi"))
         found = found.withColumn("doi", P.blank_to_null(P.normalize_doi(F.col("doi"))))
         metadata = C.merge_metadata(found, registry, fields=tuple(m for m in _METADATA if m in registry.columns)) if registry is not None else found
-        batches = C.batches(pages.join(waiting, "file_hash", "left_semi"), "file_hash", "page_no")
+        batches = C.batches(pages, "file_hash", "page_no")
         batches = batches.groupBy("file_hash", "batch_idx").agg(F.array_sort(F.collect_list(F.struct("page_no", "text", "image"))).alias("p"))  # three pages
         text, images = F.array_join(F.transform("p", lambda x: x.text), "\n\n"), F.transform("p", lambda x: x.image)
-        answers = N.extracted(batches.select("file_hash", "batch_idx", N.extraction_messages(prompt, images, text, models).alias("request")), ask, models)
-        self.store_answers(answers, metadata)
+        answers = N.extracted(batches.select("file_hash", "batch_idx", N.extraction_messages(prompt, images, text, models, system).alias("request")), ask, models)
+        bare = entries.where("trim(coalesce(content, '')) = ''").join(pages, "file_hash", "left_anti")
+        none = bare.select("file_hash", F.lit(0).alias("batch_idx"), F.lit("[]").alias("answer"), F.lit(NO_CONTENT).alias("error"))
+        self.store_answers(answers.unionByName(none), metadata)
 
     def vacuum(self) -> None:
         """Only the present versions stay."""

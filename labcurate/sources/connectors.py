@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as NoResult
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labcurate.functions import json_fields as J
 from labcurate.functions import parsing as P
+from labcurate.operators.tables import Conflict, SnapshotTable
 
 Fetch = Callable[[str], str | None]
 #: (model, request as JSON text) -> answer
 Ask = Callable[[str, str], str]
+#: Requests that one task has under way at a time.
+AT_ONCE = 8
+#: The first pass: characters of a text that it sees, its temperature, and seconds that it may take.
+HEAD, HEAD_TEMPERATURE, HEAD_SECONDS = 4000, 0.1, 30.0
 
 
 @dataclass(frozen=True)
 class Models:
-    """What an extractor calls.  The fallback is asked where the first model is not there or refuses the request as such."""
+    """What an extractor calls.  The fallback is asked where the first model is not there or refuses the request as such; ``text`` is
+    the model of the first pass, by default the first one.  ``seconds`` is how long a request may take."""
 
     first: str
     fallback: str | None = None
     temperature: float = 0.0
+    text: str | None = None
+    seconds: float | None = 180.0
+    at_once: int = AT_ONCE
 
 
 def with_fallback(ask: Ask, models: Models) -> Fetch:
@@ -34,15 +47,32 @@ def with_fallback(ask: Ask, models: Models) -> Fetch:
         try:
             return ask(models.first, request)
         except Exception as e:  # a client library's own kinds of error
-            if models.fallback is None or not any(w in str(e) for w in ("model_not_found", "404", "400")):
+            refused = getattr(e, "status_code", None) in (400, 404) or re.search(r"model_not_found|\b40[04]\b", str(e))
+            if models.fallback is None or not refused:
                 raise
             return ask(models.fallback, request)
 
     return run
 
 
-def with_retries(fetch: Fetch, attempts: int = 3, first_wait: float = 1.0) -> Fetch:
-    """Try again after transport errors, waiting twice as long each time; then, and after any other error, null."""
+def with_limit(fetch: Fetch, seconds: float | None) -> Fetch:
+    """An error where no answer comes in time.  The call itself is left to end by its client's own limit."""
+
+    def run(key: str) -> str | None:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(fetch, key).result(seconds)
+        except NoResult:
+            raise TimeoutError(f"no answer after {seconds:g} s") from None
+        finally:
+            pool.shutdown(wait=False)
+
+    return fetch if seconds is None else run
+
+
+def with_retries(fetch: Fetch, attempts: int = 3, first_wait: float = 1.0, quiet: bool = True) -> Fetch:
+    """Try again after transport errors, waiting twice as long each time; then, and after any other error, null.  If not ``quiet`` the
+    last transport error goes on, so that no line is not taken for no answer."""
 
     def run(key: str) -> str | None:
         for n in range(attempts):
@@ -51,6 +81,8 @@ def with_retries(fetch: Fetch, attempts: int = 3, first_wait: float = 1.0) -> Fe
             except OSError:
                 if n + 1 < attempts:
                     time.sleep(first_wait * 2**n)
+                elif not quiet:
+                    raise
             except ValueError:
                 return None
         return None
@@ -63,8 +95,12 @@ def called(keys: DataFrame, key: str, fetch: Fetch, answer: str = "answer") -> D
     return answered(keys.select(key).where(F.col(key) != "").distinct(), key, fetch, answer).drop("error")
 
 
-def answered(requests: DataFrame, request: str, fetch: Fetch, answer: str = "answer") -> DataFrame:
-    """All columns of ``requests``, the answer to each row's request, and error: what went wrong with a row stays with it."""
+def answered(requests: DataFrame, request: str, fetch: Fetch, answer: str = "answer", at_once: int = AT_ONCE) -> DataFrame:
+    """All columns of ``requests``, the answer to each row's request, and error: what went wrong with a row stays with it.
+
+    A task has up to ``at_once`` requests under way; each answer goes to its row, in whatever order they come.  How many are under way
+    in all is that times the running tasks, which repartitioning bounds.
+    """
     at = requests.columns.index(request)
 
     def one(text: str) -> tuple[str | None, str | None]:
@@ -74,23 +110,72 @@ def answered(requests: DataFrame, request: str, fetch: Fetch, answer: str = "ans
             return None, str(e) or type(e).__name__
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [one(x) for x in frame.iloc[:, at]]
-            yield frame.assign(**{answer: pd.Series([a for a, _ in made], frame.index, object), "error": pd.Series([e for _, e in made], frame.index, object)})
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                made = list(pool.map(one, frame.iloc[:, at]))
+                yield frame.assign(**{answer: pd.Series([a for a, _ in made], frame.index, object), "error": pd.Series([e for _, e in made], frame.index, object)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
     return requests.mapInPandas(run, f"{schema}, `{answer}` string, error string")
 
 
-def extraction_messages(prompt: str, images: Column, text: Column, models: Models) -> Column:
-    """The request for one batch as JSON text: instructions and text, then its images; images that could not be read are left out."""
+class AnswerCache:
+    """Answers that outlive the job that asked for them: one call a key until its entry expires, also for keys that the service does
+    not know.  What failed on the way is not kept."""
+
+    def __init__(self, spark: SparkSession, path: str, days: float = 30.0, buckets: int = 8):
+        self.days = days
+        self._table = SnapshotTable(spark, path, StructType.fromDDL("key string, answer string, asked_at timestamp"), key="key", buckets=buckets)
+
+    def _fresh(self, keys: DataFrame) -> DataFrame:
+        age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("asked_at")
+        return self._table.rows_of(keys.select("key")).where(age < self.days * 86400)
+
+    def answers(self, keys: DataFrame, key: str, fetch: Fetch, answer: str = "answer", at_once: int = AT_ONCE) -> DataFrame:
+        """(key, answer) for each distinct key that is not null or empty, null where the service knows nothing or could not be reached.
+        Keys without an entry are asked for now; those in the table are looked up in their buckets only."""
+        wanted = keys.select(F.col(key).alias("key")).where(F.col("key") != "").distinct()
+        while True:
+            base = self._table.version()
+            missing = wanted.join(self._fresh(wanted), "key", "left_anti")
+            if missing.isEmpty():
+                break
+            asked = answered(missing, "key", fetch, at_once=at_once).where(F.col("error").isNull())
+            try:  # the answers are written once, in the place of expired ones
+                self._table.change(new=asked.select("key", "answer", F.current_timestamp().alias("asked_at")), gone=missing, base=base)
+                break
+            except Conflict:  # another job has asked; what it has is looked up first
+                continue
+        return wanted.join(self._fresh(wanted), "key", "left").select(F.col("key").alias(key), F.col("answer").alias(answer))
+
+
+def extraction_messages(prompt: str, images: Column, text: Column, models: Models, system: str | None = None) -> Column:
+    """The request for one batch as JSON text: instructions and text, then its images; images that could not be read are left out.
+    ``system`` is what the model is told about its part, if anything."""
     kept = F.filter(images, lambda x: x.isNotNull())
-    return F.to_json(F.struct(F.lit(models.first).alias("model"), F.lit(models.temperature).alias("temperature"), F.concat(F.lit(prompt), F.coalesce(text, F.lit(""))).alias("text"), kept.alias("images")))
+    told = [F.lit(system).alias("system")] if system is not None else []
+    return F.to_json(F.struct(F.lit(models.first).alias("model"), F.lit(models.temperature).alias("temperature"), *told, F.concat(F.lit(prompt), F.coalesce(text, F.lit(""))).alias("text"), kept.alias("images")))
+
+
+def head_messages(prompt: str, text: Column, image: Column, models: Models, system: str | None = None) -> Column:
+    """The first pass's request for one document as JSON text: instructions and the text's head, and the first page's image if any."""
+    kept = F.filter(F.array(image), lambda x: x.isNotNull())
+    told = [F.lit(system).alias("system")] if system is not None else []
+    head = F.substring(F.coalesce(text, F.lit("")), 1, HEAD)
+    return F.to_json(F.struct(F.lit(models.text or models.first).alias("model"), F.lit(HEAD_TEMPERATURE).alias("temperature"), *told, F.concat(F.lit(prompt), head).alias("text"), kept.alias("images")))
+
+
+def first_pass(requests: DataFrame, ask: Ask, models: Models) -> DataFrame:
+    """file_hash, answer: bibliographic data for each document (column request), an empty object where none came in time."""
+    one = with_limit(lambda request: ask(models.text or models.first, request), HEAD_SECONDS)
+    out = answered(requests.select("file_hash", "request"), "request", one, at_once=models.at_once)
+    return out.select("file_hash", F.coalesce("answer", F.lit("{}")).alias("answer"))
 
 
 def extracted(requests: DataFrame, ask: Ask, models: Models) -> DataFrame:
     """file_hash, batch_idx, answer, error: each batch's request (column request) is answered for itself; an error leaves an empty list."""
-    out = answered(requests.select("file_hash", "batch_idx", "request"), "request", with_fallback(ask, models))
+    fetch = with_limit(with_fallback(ask, models), models.seconds)
+    out = answered(requests.select("file_hash", "batch_idx", "request"), "request", fetch, at_once=models.at_once)
     return out.select("file_hash", "batch_idx", F.coalesce("answer", F.lit("[]")).alias("answer"), "error")
 
 
@@ -120,7 +205,7 @@ def extraction_requests(pages: DataFrame, size: int = 3) -> DataFrame:
     return numbered.groupBy("file_hash", "batch_idx").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
 
 
-def metadata_requests(texts: DataFrame, most: int = 4000) -> DataFrame:
+def metadata_requests(texts: DataFrame, most: int = HEAD) -> DataFrame:
     """The head of each text, for the pass that asks for bibliographic data."""
     return texts.select("file_hash", F.substring("text", 1, most).alias("head"))
 
