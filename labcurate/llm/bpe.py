@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import bounded_batches
+from labcurate.llm.common import bounded_batches, small_batches
 
 #: Entries of one generation of a worker's memo, which holds two.
 MEMO_ENTRIES = 400_000
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, id_c
             }
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

@@ -76,6 +76,15 @@ def join_unique(rows: DataFrame, names: DataFrame, key: str, n: str) -> DataFram
     return there.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``; from now on the session hands Python code batches of at most BATCH_BYTES (a longer text stands alone), unless it has a
+    bound of its own.  By default it would hand over 10,000 rows at a time, however long their texts."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not conf.get(key, ""):
+        conf.set(key, str(BATCH_BYTES))
+    return rows
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4 is 2; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

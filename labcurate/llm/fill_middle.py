@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import bounded_batches
+from labcurate.llm.common import bounded_batches, small_batches
 
 #: Units between two checkpoints, and bytes counted at a time.
 STEP = 256
@@ -110,7 +110,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             columns = [pa.array(n, pa.int64()), pa.array(form, pa.string()), pa.array(prefix, pa.int64()), pa.array(middle, pa.int64()), pa.array(output, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names)
 
-    out = base.mapInArrow(run, f"id {kind}, n long, form string, prefix_chars long, middle_chars long, output binary")
+    out = small_batches(base).mapInArrow(run, f"id {kind}, n long, form string, prefix_chars long, middle_chars long, output binary")
     return out.select(F.col("id").alias(id_col), *names[1:-1], F.col("output").cast("string").alias("output"))
 
 

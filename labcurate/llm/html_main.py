@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import bounded_batches
+from labcurate.llm.common import bounded_batches, small_batches
 
 #: Lines in a window, and the sum of text lengths that makes a surge.
 WINDOW = 3
@@ -229,4 +229,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             texts = [main_text(h) for h in batch.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)

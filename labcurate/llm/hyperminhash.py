@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import BROADCAST_ROWS, bounded_batches, cut, discard, join_unique, only
+from labcurate.llm.common import BROADCAST_ROWS, bounded_batches, cut, discard, join_unique, only, small_batches
 from labcurate.llm.components import components
 
 SHINGLE = 3
@@ -111,7 +111,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "sketch"])
 
-    return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, set_id binary, sketch binary")
+    return small_batches(docs).select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, set_id binary, sketch binary")
 
 
 def _let_through(pairs: DataFrame, classes: DataFrame) -> DataFrame:

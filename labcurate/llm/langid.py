@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labcurate.llm import gru
-from labcurate.llm.common import bounded_batches, held_out
+from labcurate.llm.common import bounded_batches, held_out, small_batches
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample that the network is fitted on: so many documents of each language (of so many languages, the most
@@ -154,4 +154,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             names, scores = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)

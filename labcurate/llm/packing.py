@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labcurate.llm.bpe import _NOT_PLAIN, Memo, splitter
-from labcurate.llm.common import bounded_batches, cut
+from labcurate.llm.common import bounded_batches, cut, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -103,7 +103,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "row", "n_tokens", "crcs"])
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, crcs array<long>")
+    return small_batches(rows).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, crcs array<long>")
 
 
 def _lookup(values: np.ndarray) -> F.Column:

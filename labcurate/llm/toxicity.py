@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labcurate.llm import gru
-from labcurate.llm.common import bounded_batches, held_out
+from labcurate.llm.common import bounded_batches, held_out, small_batches
 
 #: Bounds of the labelled sample that the network is fitted on: documents of each label, and their length in characters.
 SAMPLE_PER_LABEL = 1024
@@ -39,7 +39,7 @@ DECAY = 0.001  # of the word and n-gram vectors in each step
 CLIP = 8.0  # of the logarithm of a word's weight in the pooling
 CLEAN_WEIGHT = 4  # a clean document flagged counts as so many toxic ones missed when the cut is set
 ROWS = 512  # spans in one pass
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 50_000
 
 _WORD = re.compile(r"\w+")
 _DIM = WORD_DIM + CHAR_DIM
@@ -303,4 +303,4 @@ def detect(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
             marks = pa.array([int(s >= TOXIC_FROM) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), marks], [*batch.schema.names, "score", "predicted"])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)

@@ -83,3 +83,12 @@ def test_near_duplicates_of_repeated_and_clashing_rows(spark):
     got = STAGES["near_duplicates"](spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(map(str, rows_of(got))) == sorted(map(str, [(3, "a b c d"), (5, "other text entirely here"), (8, None), (8, None), (None, "a b c d")]))
+
+
+def test_stages_keep_columns_that_clash(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60").withColumns({"Score": F.lit(42.0), "lang_pred": F.lit("mine"), "predicted": F.col("doc_id").cast("string")})
+    for name in ("language_id", "toxicity"):
+        got = STAGES[name](spark, docs, folder)
+        rows = got.collect()
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes and rows
+        assert all((r["Score"], r.lang_pred, r.predicted) == (42.0, "mine", str(r.doc_id)) for r in rows)
