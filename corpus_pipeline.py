@@ -6,6 +6,8 @@ documents; the last returns the packed pieces.  An empty table gives an empty on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +19,24 @@ from labcurate.llm.common import cut
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``kept(docs)`` with the columns of ``docs`` as they were: own columns that have one of the names stand aside meanwhile."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return kept(docs.withColumnsRenamed(own)).withColumnsRenamed({c: f"__{c}" for c in names}).withColumnsRenamed({b: a for a, b in own.items()}).select(docs.columns)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Null texts, texts without a letter and texts of no known language go."""
-    found = langid.identify(docs)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    """Null texts, texts without a letter and texts of no known language go.  Each row is judged by its text alone: repeated rows, and
+    rows that share an id, stay or go with their texts; long texts are read whole; a score equal to the bound stays."""
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return beside(docs, ("lang_pred", "score"), lambda rows: langid.identify(rows).where(known))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    found = toxicity.detect(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.where(F.col("predicted") == 0).select(docs.columns)
+    """Documents predicted toxic go.  Each row is judged by its text alone, read whole; null and empty texts stay, repeated rows fare
+    alike, and a score equal to the bound goes."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return beside(docs, ("score", "predicted"), lambda rows: toxicity.detect(rows, labels).where(F.col("predicted") == 0))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +46,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences: one row for each piece."""
+    """What is left, packed into sequences: one row for each piece.  Every row is a document of its own, repeated ones too; texts longer
+    than a sequence are cut into pieces; equally long pieces may change places; other columns are not read."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
