@@ -80,7 +80,7 @@ def small_batches(rows: DataFrame) -> DataFrame:
     """``rows``; from now on the session hands Python code batches of at most BATCH_BYTES (a longer text stands alone), unless it has a
     bound of its own.  By default it would hand over 10,000 rows at a time, however long their texts."""
     conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not conf.get(key, ""):
+    if conf.get(key, "1b") == "1b":  # unset
         conf.set(key, str(BATCH_BYTES))
     return rows
 
