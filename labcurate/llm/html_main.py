@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block.  Text lengths are summed over sliding windows of lines; where the sums surge text
-begins, where they dive it ends.  Lines inside menus, adverts and the like are left out before.  The sums say which elements hold
-text; an element that does is kept from its first line to its last, so that short lines at its ends are not lost.
+Markup is stripped to lines, one for each block; scripts, forms, navigation and parts that are named as adverts, comments and the like
+are left out.  Text lengths are summed over sliding windows of lines.  Where the sums first surge the text begins, where they last
+dive it ends, and what stands between is kept, whatever elements it is in.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from labcurate.llm.common import bounded_batches, small_batches
 
 #: Lines in a window, and the sum of text lengths that makes a surge.
 WINDOW = 3
-SURGE = 80
-
-#: An element with less than this share of the heaviest element's surging text is not text.
-SHARE = 0.1
+SURGE = 50
+#: A line of so many characters outside links is text at the ends of a surge, as is one that ends like a sentence.
+LONG = 40
+#: The title may stand so many lines before the text; so many lines of links in a row are a menu within it.
+TITLE, MENU = 6, 3
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _TAG_STOP = re.compile(r"[\"'>]")
@@ -36,34 +37,51 @@ _NESTED = frozenset("article aside blockquote body details dialog div dl fieldse
 _NEVER = frozenset("aside audio button canvas dialog footer form head label menu nav video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("iframe math noscript object script select style svg template textarea title".split())
-_HOLDERS = frozenset("article div main section".split())
-_MARKS = frozenset("article main".split())
 _AROUND = frozenset("html head body div section p".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|site-info|skip|social|sponsor|sponsored|subscribe|tags|teaser|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+# A class or id says that a part is not text if all its words do or say nothing, and one does.
+_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget".split()
 )
+_PLAIN_WORDS = frozenset("area bar block bottom box button buttons container content form global group icon icons inner item items left link links list main media outer page policy post posts primary right secondary section site slot thread top unit widget wrap wrapper".split())
+_SITE_HEADERS = frozenset("site-header siteheader site-head".split())
+_PARTS = re.compile(r"[-_]+")
+_SIZE = re.compile(r"\d+(?:x\d+)?")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][^\w\s]*\Z")
+_LEGAL = re.compile(r"\A\u00a9")
 
 
 @dataclass
 class Line:
     text: str
     linked: int  # characters inside links
-    heading: bool
-    block: int  # number of the element that holds it, 0 for the page itself
-    marked: bool  # that element is an article or the main part
+    level: int  # of a heading, else 0
+
+    @property
+    def own(self) -> int:
+        """Characters outside links; 0 where most are inside, and for a line that begins with a copyright sign."""
+        return 0 if 2 * self.linked > len(self.text) or _LEGAL.search(self.text) else len(self.text) - self.linked
+
+
+def _says_so(names: str) -> bool:
+    for name in names.lower().split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if name in _SITE_HEADERS or any(p in _WORDS for p in parts) and all(p in _WORDS or p in _PLAIN_WORDS or _SIZE.fullmatch(p) for p in parts):
+            return True
+    return False
 
 
-def _unwanted(name: str, attributes: str, inside: bool) -> bool:
-    if name in _NEVER or name == "header" and not inside:
+def _unwanted(name: str, attributes: str, parent: str) -> bool:
+    """Whether an element begins a part that is not text: by its kind, its role, being hidden, or what it is named.  A header is one of
+    the page, not of an article, where the page itself holds it."""
+    if name in _NEVER or name == "header" and parent in ("", "html", "body"):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and _WORDS.search(value) or key == "role" and value.lower() in _ROLES:
+        if key in ("class", "id") and _says_so(value) or key == "role" and value.lower() in _ROLES:
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             return True
@@ -123,20 +141,17 @@ def lines_of(page: str) -> list[Line]:
     """The blocks that are not part of a menu, advert or the like, in page order."""
     out: list[Line] = []
     text: list[str] = []
-    linked, links, heading = 0, 0, False
+    linked, links, level = 0, 0, 0
     open_tags: list[tuple[str, bool]] = []  # nested elements that are open, and whether each begins an unwanted part
     count: Counter[str] = Counter()  # of their names
-    holders: list[tuple[int, bool]] = []  # of those, the ones that hold text: number, marked
-    skipping, around, numbers = 0, 0, 0
+    skipping, around = 0, 0
 
     def end_line() -> None:
-        nonlocal text, linked, heading
+        nonlocal text, linked, level
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            mark = next((n for n, m in holders if m), None) if count["article"] + count["main"] else None
-            block = mark if mark is not None else holders[-1][0] if holders else 0
-            out.append(Line(joined, linked, heading, block, mark is not None))
-        text, linked, heading = [], 0, False
+            out.append(Line(joined, linked, level))
+        text, linked, level = [], 0, 0
 
     def close_to(at: int) -> None:
         nonlocal skipping, around
@@ -144,8 +159,6 @@ def lines_of(page: str) -> list[Line]:
             skipping -= unwanted
             around -= name in _AROUND
             count[name] -= 1
-            if name in _HOLDERS:
-                holders.pop()
         del open_tags[at:]
 
     for before, name, attributes, closing in tokens(page):
@@ -169,49 +182,70 @@ def lines_of(page: str) -> list[Line]:
             close_to(len(open_tags) - 1)  # a paragraph ends where the next block begins
         while name == "body" and count["head"]:
             close_to(next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == "head"))
-        inside = count["article"] + count["main"] > 0
-        if name in _MARKS and not inside and skipping and around == len(open_tags):
+        if name in ("article", "main") and not count["article"] + count["main"] and skipping and around == len(open_tags):
             close_to(0)  # a part left open does not swallow the article
-        heading = heading or name in _HEADINGS
-        unwanted = _unwanted(name, attributes, inside)
+        if name in _HEADINGS:
+            level = int(name[1])
+        unwanted = _unwanted(name, attributes, open_tags[-1][0] if open_tags else "")
         if (name in _NESTED or unwanted) and name not in _VOID and not attributes.endswith("/"):
             open_tags.append((name, unwanted))
             count[name] += 1
             skipping += unwanted
             around += name in _AROUND
-            if name in _HOLDERS:
-                numbers += 1
-                holders.append((numbers, name in _MARKS))
     end_line()
     return out
 
 
 def surging(weights: np.ndarray) -> np.ndarray:
-    """Which lines lie between a surge and a dive: some window over them sums to SURGE, or to half the page's best window if that is less."""
+    """Which lines some window covers that sums to SURGE, or to half the page's best window if that is less."""
     sums = np.convolve(weights, np.ones(WINDOW))  # of every window that touches a line
     best = np.lib.stride_tricks.sliding_window_view(sums, WINDOW).max(axis=1)
-    return (best >= min(SURGE, best.max() / 2)) & (weights > 0)
+    return best >= min(SURGE, best.max() / 2)
 
 
 def main_text(page: str | None) -> str:
-    """Empty for a null or empty page and where no text stands outside menus and links."""
+    """Empty for a null or empty page and where no text stands outside menus and links.
+
+    The text runs from the first surge to the last dive.  A window also covers short lines beside the text: of these the text begins
+    and ends with one that ends like a sentence (or is a heading at its start), unless more like it follow out of the windows' reach,
+    as in a list.  Headings before the text are taken in, and a title a few lines up.  Lines of links in a row are left out.
+    """
     lines = lines_of(page) if page else []
-    weights = np.array([float(len(x.text) - x.linked) if 2 * x.linked <= len(x.text) else 0.0 for x in lines])
+    weights = np.array([float(x.own) for x in lines])
     if not weights.any():
         return ""
-    high = surging(weights)
-    blocks = np.array([x.block for x in lines])
-    marked = np.array([x.marked for x in lines])
-    held = np.bincount(blocks, weights=weights * high)
-    heaviest = int(held.argmax())
-    if marked[blocks == heaviest].any():  # the text is an article; a page may have several
-        return "\n".join(x.text for x in lines if x.marked)
-    texts = np.isin(blocks, np.flatnonzero(held >= SHARE * held[heaviest]))
-    at = np.flatnonzero(texts & (high | (blocks > 0)))
-    first, last = int(at[0]), int(at[-1])
-    while first and lines[first - 1].heading:
+    at = np.flatnonzero(surging(weights)).tolist()
+    long = min(LONG, weights.max() / 2)
+    sentence = [w >= long or w > 0 and bool(_SENTENCE.search(x.text)) for x, w in zip(lines, weights, strict=True)]
+    begins = [s or w > 0 and x.level > 0 for s, x, w in zip(sentence, lines, weights, strict=True)]
+    first = next((i for i in at if begins[i]), at[0])
+    last = next((i for i in reversed(at) if sentence[i]), at[-1])
+    short = lambda i: 0 <= i < len(lines) and sentence[i] and weights[i] < long and not lines[i].level
+    if short(first) and short(first - 1):  # the end of a list of such lines, most of which no surge covers
+        first = next((i for i in at if i > first and begins[i] and not short(i)), first)
+    if short(last) and short(last + 1):
+        last = next((i for i in reversed(at) if i < last and sentence[i] and not short(i)), last)
+    while first and weights[first - 1] and lines[first - 1].level:
         first -= 1
-    return "\n".join(x.text for x in lines[first : last + 1])
+    for i in range(first - 1, max(first - 1 - TITLE, -1), -1):
+        if not weights[i] or lines[first].level == 1:
+            break
+        if lines[i].level == 1:
+            first = i
+            break
+    linked = [2 * x.linked > len(x.text) for x in lines]
+    kept = []
+    i = first
+    while i <= last:
+        end = i
+        while end <= last and linked[end]:
+            end += 1
+        if end - i >= MENU:
+            i = end
+            continue
+        kept += lines[i : max(end, i + 1)]
+        i = max(end, i + 1)
+    return "\n".join(x.text for x in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -10,25 +10,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The labelled table, of invented sites named for what such sites trade in or write about.  Every site stands under two
-# endings; endings, prefixes and plain paths are dealt out alike to both labels, so that these say nothing, and every other URL has a
-# path of its own label.
-BLOCKED_SITES = "adserver01 banner-ads ads-network popads adclicks click-track user-tracker trackingpixel adult-chat adult-toys xxxcams sexdating casino-games vegas-casino slotjackpots pokercash big-win win-prizes winbigcasino live-bets top-bets sportbet24 free-coins free-spins freecashnow viagrastore cheap-meds cheap-watches diet-pills herbal-pills pharmacy-discount spam-mail spam-bots bulkspam link-farm click-farm seofarm warezdownload crackedkeygens paydaycash crypto-doubler".split()
-ALLOWED_SITES = "city-library gardeners daily-news software-docs familyrecipes state-university traveldiary art-museum openwiki bicycle-club weatherstation townhall science-journal oldtheatre thinkers theology methods theorems school-board orchestra harbourmaster mountaineers poetry-corner orchardkeeper bridgebuilders lecture-notes national-park tenniscourt sheepdogs heritage-trust printworks advocates admissions then-and-there within another freethought earthworks north-south months healthwise thanks-giving".split()
-BLOCKED_PATHS = ("/order/pills", "/casino/bonus", "/claim/prize", "/xxx/live", "/free/spins", "/out/click")
+# The labelled table, of invented sites: words of common kinds of sites, each beside words that stand with both labels
+# alike and say nothing.  Endings, prefixes and plain paths are dealt out alike too, and every other URL has a path of its own label.
+BLOCKED_WORDS = (
+    # games of chance; sex; medicines
+    "slots poker jackpot lotto roulette bingo porn xxx escort camgirls nudes erotic viagra cialis steroids botox "
+    # money; phishing and harmful software; imitations
+    "payday bitcoins forex quickcash login-verify wallet-alert malware warez keygen torrents replica knockoff "
+    # advertising, counting and links for sale; enticements
+    "popup banner clickthru beacon backlinks followers prizes giveaway"
+).split()
+ALLOWED_WORDS = (
+    # offices and schools; learning
+    "library council archive college academy museum physics botany history grammar geology textbook "
+    # news and letters; software and crafts
+    "gazette herald essays poetry compiler database handbook carpentry knitting recipes "
+    # leisure and travel; health, care and belief
+    "orchestra chess canoeing timetable alpine-huts theatre hospital dental parish refugee-aid shelter weather elections genealogy"
+).split()
+BESIDE = ("north", "blue", "river", "city", "royal", "daily", "star", "open", "golden", "first", "green", "central")
+SITES_OF_A_WORD = 4
+BLOCKED_PATHS = ("/claim/prize", "/signup/bonus", "/out/click", "/xxx/live", "/order/now", "/download/crack.exe")
 ALLOWED_PATHS = ("/guide/setup", "/papers/2019", "/wiki/Physics", "/thread/31", "/exhibits/now", "/stories/spring.html")
 PLAIN_PATHS = ("/", "/a/7", "/index.html", "/2021/05/", "/page")
 PREFIXES, ENDINGS = ("", "www.", "shop.", "my."), ("info", "co", "biz", "eu")
 
 
+def labelled_sites() -> list[tuple[str, str, int]]:
+    """(site, its kind's word, 1 = block): each word with SITES_OF_A_WORD of the words beside, before it or after it."""
+    out = []
+    for words, y in ((BLOCKED_WORDS, 1), (ALLOWED_WORDS, 0)):
+        for i, word in enumerate(words):
+            for k in range(SITES_OF_A_WORD):
+                other = BESIDE[(i + k * 5) % len(BESIDE)]
+                out.append((f"{other}-{word}" if k == 0 else f"{word}-{other}" if k == 1 else f"{other}{word}" if k == 2 else f"{word}{other}", word, y))
+    return out
+
+
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 = block)"""
+    """(host, path, 1 = block): two for each site."""
     out = []
-    for sites, own, y in ((BLOCKED_SITES, BLOCKED_PATHS, 1), (ALLOWED_SITES, ALLOWED_PATHS, 0)):
-        for i, site in enumerate(sites):
-            for k in range(2):
-                path = own[i % len(own)] if (i + k) % 2 else PLAIN_PATHS[i % len(PLAIN_PATHS)]
-                out.append((f"{PREFIXES[(i + k) % len(PREFIXES)]}{site}.{ENDINGS[(i + 2 * k) % len(ENDINGS)]}", path, y))
+    for i, (site, _, y) in enumerate(labelled_sites()):
+        own = BLOCKED_PATHS if y else ALLOWED_PATHS
+        for k in range(2):
+            path = own[i % len(own)] if (i + k) % 2 else PLAIN_PATHS[i % len(PLAIN_PATHS)]
+            out.append((f"{PREFIXES[(i + k) % len(PREFIXES)]}{site}.{ENDINGS[(i + 2 * k) % len(ENDINGS)]}", path, y))
     return out
 
 
@@ -36,14 +62,15 @@ BUCKETS = 1 << 15
 SIZES = (3, 4)
 #: Most labelled URLs; more are an error, since all of them meet in one row.
 LABELLED = 2000
-EPOCHS = 300
-RATE = 0.1  # below 2 over a quarter of the matrix's greatest eigenvalue, or steps would swing
+EPOCHS = 400
+RATE = 0.06  # below 2 over a quarter of the matrix's greatest eigenvalue, or steps would swing
 DECAY = 1e-4
 #: Weight of a path's evidence against its host's.
 PATH_WEIGHT = 0.3
 #: The constant feature beside the n-grams.
 BIAS = 0.3
-BLOCK_FROM = 0.5
+#: Chosen on the table alone: where whole kinds are held out, below one in twenty of the allowed sites reach it.
+BLOCK_FROM = 0.75
 
 
 def parts(url: Column) -> tuple[Column, Column]:
