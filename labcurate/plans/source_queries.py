@@ -6,6 +6,7 @@ Outside libraries and services are replaced by small functions whose answers SQL
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from labcurate.plans.queries import _COF, _DBL, _UNITED, _VC, _VL, _each, _quant
 from labcurate.plans.registry import query
 from labcurate.sources import connectors as N
 from labcurate.sources import files as Q
-from labcurate.streaming import ingest
+from labcurate.streaming import ingest, lifecycle
 
 MODELS = N.Models("first", "second")
 
@@ -276,3 +277,97 @@ def library_extract(s: SparkSession, d: str) -> DataFrame:
     pages = files.select("file_hash", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page_no"), "text", F.lit(None).cast("string").alias("image"))
     lib.extract(pages, head, _ask_pages, MODELS, registry)
     return lib.cached(files.select("file_hash")).select("title", "year", "journal", "id", "material_name", "ionic_liquid", "cof_value", "load_n", "status", (F.col("extracted_at").isNotNull() & F.col("created_at").isNotNull()).alias("dated"))
+
+
+_STAGE = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'signup' THEN 'extracting' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+_LIMIT_MS = 86_400_500
+_MOVES = ",:pending,:processing,pending:processing,pending:failed,processing:extracting,processing:failed,extracting:completed,extracting:failed,completed:processing,failed:pending,failed:processing,"
+_OUT = f"(a.state IN ('processing', 'extracting') AND x.since >= a.since + {_LIMIT_MS})"
+_OK = f"contains('{_MOVES}', ',' || CASE WHEN {_OUT} THEN 'failed' ELSE a.state END || ':' || x.state || ',')"
+
+
+@query(
+    "life_cycle",
+    f"WITH e AS (SELECT user_id AS file, epoch_ms(ts) AS ms, event_id AS n, {_STAGE} AS state FROM events), "
+    "f AS (SELECT file, list_reduce(list_prepend({'state': '', 'since': 0::BIGINT, 'moves': 0::BIGINT, 'refused': 0::BIGINT, 'timed': 0::BIGINT}, list({'state': state, 'since': ms, 'moves': 0::BIGINT, 'refused': 0::BIGINT, 'timed': 0::BIGINT} ORDER BY ms, n)), "
+    f"lambda a, x: {{'state': CASE WHEN {_OK} THEN x.state WHEN {_OUT} THEN 'failed' ELSE a.state END, 'since': CASE WHEN {_OK} THEN x.since WHEN {_OUT} THEN a.since + {_LIMIT_MS} ELSE a.since END, 'moves': a.moves + {_OK}::BIGINT, 'refused': a.refused + (NOT {_OK})::BIGINT, 'timed': a.timed + {_OUT}::BIGINT}}) AS s FROM e GROUP BY file), "
+    f"g AS (SELECT file, s, s.state IN ('processing', 'extracting') AND s.since + {_LIMIT_MS} < (SELECT max(ms) - 3600000 FROM e) AS stuck FROM f) "
+    "SELECT file, CASE WHEN stuck THEN 'failed' ELSE s.state END AS state, s.moves AS moves, s.refused AS refused, s.timed + stuck::BIGINT AS timed_out FROM g",
+)
+def life_cycle(s: SparkSession, d: str) -> DataFrame:
+    """Users as files and their events as changes of state, most of them not allowed; who stays under way for a day has failed."""
+    at = _shared(s)
+    arriving = ingest.file_stream(s, f"{d}/events.parque[t]", "event_id long, user_id long, ts timestamp, event_type string")
+    events = arriving.select(F.col("user_id").alias("file"), F.col("ts").alias("at"), F.col("event_id").alias("n"), F.expr(_STAGE).alias("state"))
+    lifecycle.transitions(events, _LIMIT_MS / 1000).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return lifecycle.latest(s.read.schema("file long, at timestamp, n long, before string, state string, note string").parquet(f"{at}/out"))
+
+
+def _ask_some(model: str, request: str) -> str:
+    pages = json.loads(request)["text"].split("\n\n")
+    key = int(pages[0])
+    if key % 5 == 0 or key % 5 == 1 and len(pages) > 1:
+        raise RuntimeError(f"down {key}")
+    return "[]" if key % 5 == 2 else json.dumps({"data": [{"material_name": "muscovite", "ionic_liquid": "bmim pf6", "cof": f"0.{len(pages)}"}]})
+
+
+@query(
+    "library_failures",
+    "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 2) THEN 'failed' ELSE 'completed' END AS status, CASE c_custkey % 5 WHEN 0 THEN 'down ' || c_custkey WHEN 2 THEN 'No valid data extracted.' END AS error_message, "
+    "CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END AS n_records, CASE c_custkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_failures FROM customer",
+)
+def library_failures(s: SparkSession, d: str) -> DataFrame:
+    """Customers as files of four pages: of some a request fails, of some all, some bring nothing.  The answers are stored twice, as by a
+    batch that runs again."""
+    lib = Library(s, _shared(s))
+    files = read(s, d, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("file_hash"), F.col("c_custkey").cast("string").alias("path"), F.col("c_custkey").cast("string").alias("text"))
+    lib.ingest(files)
+    pages = files.select("file_hash", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page_no"), "text", F.lit(None).cast("string").alias("image"))
+    batches = N.extraction_requests(pages)
+    requests = batches.select("file_hash", "batch_idx", N.extraction_messages("", F.array().cast("array<string>"), F.array_join(F.transform("pages", lambda p: p.text), "\n\n"), MODELS).alias("request"))
+    for _ in range(2):
+        lib.store_answers(N.extracted(requests, _ask_some, MODELS), batch_id="run")
+    found = lib.literature().select("id", "file_hash", F.col("content").cast("long").alias("c_custkey"), "status", "error_message")
+    n = lib.records().groupBy(F.col("literature_id").alias("id")).agg(F.count("*").alias("n_records"))
+    lost = lib.failures().groupBy("file_hash").agg(F.count("*").alias("n_failures"))
+    return found.join(n, "id", "left").join(lost, "file_hash", "left").select("c_custkey", "status", "error_message", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_failures", F.lit(0)).alias("n_failures"))
+
+
+@query("keyed_change", "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey % 7 <> 1")
+def keyed_change(s: SparkSession, d: str) -> DataFrame:
+    """Orders in buckets of their customer: some customers' orders are replaced and some deleted, in one change each."""
+    rows = read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    table = W.SnapshotTable(s, _shared(s), rows.schema, unique=("o_orderkey",), key="o_custkey")
+    table.write(rows)
+    some = rows.where("o_custkey % 7 = 0")
+    table.change(new=some.withColumn("o_orderstatus", F.lit("new")), gone=some)
+    table.change(gone=rows.where("o_custkey % 7 = 1"))
+    return table.read()
+
+
+@query("refused_writer", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 2")
+def refused_writer(s: SparkSession, d: str) -> DataFrame:
+    """Two writers begin on the same version; the second is refused and leaves nothing."""
+    rows = read(s, d, "customer").select("c_custkey", "c_name")
+    table = W.SnapshotTable(s, _shared(s), rows.schema, unique=("c_custkey",))
+    base = table.write(rows.where("c_custkey % 3 = 0"))
+    table.append(rows.where("c_custkey % 3 = 1"), base=base)
+    try:
+        table.append(rows.where("c_custkey % 3 = 2"), base=base)
+    except W.Conflict:
+        return table.read()
+    raise AssertionError("a change was published over another")
+
+
+def _told_once(key: str) -> str | None:
+    return None if key.endswith("7") else f"{key.lower()} {uuid.uuid4().hex}"
+
+
+@query("cached_answers", "SELECT c_name AS name, CASE WHEN c_name NOT LIKE '%7' THEN lower(c_name) END AS answer, true AS asked_once FROM customer WHERE c_name <> '' GROUP BY 1")
+def cached_answers(s: SparkSession, d: str) -> DataFrame:
+    """A service that says something else at each call, asked twice for every name, some of which it does not know."""
+    at, names = _shared(s), read(s, d, "customer").select(F.col("c_name").alias("name"))
+    first = N.AnswerCache(s, at).answers(names.where(F.crc32("name") % 2 == 0), "name", _told_once)
+    second = N.AnswerCache(s, at).answers(names, "name", _told_once, "later")
+    both = second.join(first, "name", "left")
+    return both.select("name", F.substring_index("later", " ", 1).alias("answer"), F.coalesce(F.col("answer") == F.col("later"), F.lit(True)).alias("asked_once"))
