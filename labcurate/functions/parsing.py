@@ -5,6 +5,7 @@ Null input gives null unless a function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ def _find(c: Column, pattern: str, group: int = 0) -> Column:
     return blank_to_null(F.regexp_extract(c, pattern, group))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once for each row, however often ``f`` refers to it.  Long chains stay out of generated code."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def _factor(unit: Column, factors: dict[str, float]) -> Column:
     pairs = [F.lit(x) for kv in factors.items() for x in kv]
     return F.create_map(*pairs)[unit]

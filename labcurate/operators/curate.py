@@ -52,10 +52,12 @@ def curate(records: DataFrame, order: str = "seq", fix: bool = False, within: tu
     """Gate, clean, normalise, deduplicate (``within`` groups), type and score: one shuffle of the records, for the deduplication."""
     kept = records.where(has_measurement(F.col("cof"), F.col("friction_force")))
     cof_raw = F.col("cof")
-    # Names and temperatures are few and records many: each goes through its long chain once, and the chains stay out of the records' stage.
-    kept = terms.with_normalized(kept, "material_name", terms.surface(F.col("material_name")))
-    kept = terms.with_normalized(kept, "ionic_liquid", terms.liquid(F.col("ionic_liquid")))
-    kept = terms.with_normalized(kept.withColumn("temperature", P.default_temperature(F.col("temperature"))), "temperature", P.temperature_text(F.col("temperature")))
+    # Row by row: names and defaults are the most skewed keys there are, so nothing is joined on them.
+    kept = kept.withColumns({
+        "material_name": terms.surface(F.col("material_name")),
+        "ionic_liquid": terms.liquid(F.col("ionic_liquid")),
+        "temperature": P.bound(P.default_temperature(F.col("temperature")), P.temperature_text),
+    })
     kept = kept.withColumns({
         "cof_raw": cof_raw,
         "cof_operator": P.cof(cof_raw)["operator"],

@@ -5,10 +5,12 @@ The dictionaries are constants of fixed size, so the chain is one Column express
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labcurate.functions.parsing import strip
+from labcurate.functions.parsing import bound, strip
 from labcurate.operators.dictionaries import LIQUIDS, SURFACES, Term
 
 
@@ -51,25 +53,20 @@ def _without_brackets(low: Column, terms: tuple[Term, ...]) -> Column:
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[bare]
 
 
+def _first_of(c: Column, stages: Callable[[Column, Column], list[Column]]) -> Column:
+    """The first of the stages (of the stripped text and its lower case) that hits, or the text as it is."""
+    chain = lambda given: bound(strip(given), lambda text: bound(F.lower(text), lambda low: F.when(low == "", given).otherwise(F.coalesce(*stages(text, low), given))))
+    return bound(c, chain)
+
+
 def surface(c: Column, terms: tuple[Term, ...] = SURFACES) -> Column:
     """The standard surface, or the text as it is."""
-    text = strip(c)
-    low = F.lower(text)
-    return F.when(low == "", c).otherwise(F.coalesce(_by_alias(low, terms), _by_pattern(text, terms), _fuzzy(low, terms), c))
+    return _first_of(c, lambda text, low: [_by_alias(low, terms), _by_pattern(text, terms), _fuzzy(low, terms)])
 
 
 def liquid(c: Column, terms: tuple[Term, ...] = LIQUIDS) -> Column:
     """The standard ionic liquid, or the text as it is."""
-    text = strip(c)
-    low = F.lower(text)
-    return F.when(low == "", c).otherwise(F.coalesce(_by_alias(low, terms), _by_pattern(text, terms), _without_brackets(low, terms), c))
-
-
-def with_normalized(df: DataFrame, column: str, normal: Column, out: str | None = None) -> DataFrame:
-    """Normalise a column once for each distinct value: worth it where rows are many and values few."""
-    names = df.select(column).where(F.col(column).isNotNull()).distinct().select(F.col(column).alias("__raw"), normal.alias("__normal"))
-    joined = df.join(names, F.col(column) == F.col("__raw"), "left")
-    return joined.withColumn(out or column, F.col("__normal")).drop("__raw", "__normal")
+    return _first_of(c, lambda text, low: [_by_alias(low, terms), _by_pattern(text, terms), _without_brackets(low, terms)])
 
 
 def term_info(spark: SparkSession, df: DataFrame, column: str, terms: tuple[Term, ...]) -> DataFrame:

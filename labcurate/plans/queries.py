@@ -138,8 +138,8 @@ def _terms_sql(column: str) -> str:
     return f"CASE WHEN {text} = '' THEN {column} ELSE coalesce({alias}, {pattern}, {last}, {column}) END"
 
 
-query("normalize_surface", _sql(f"{_terms_sql('material')} AS standard"))(lambda s, d: T.with_normalized(raw(s, d), "material", T.surface(F.col("material")), "standard").select("k1", "k2", "k3", "standard"))
-query("normalize_liquid", _sql(f"{_terms_sql('liquid')} AS standard"))(lambda s, d: T.with_normalized(raw(s, d), "liquid", T.liquid(F.col("liquid")), "standard").select("k1", "k2", "k3", "standard"))
+query("normalize_surface", _sql(f"{_terms_sql('material')} AS standard"))(lambda s, d: raw(s, d).withColumn("standard", T.surface(F.col("material"))).select("k1", "k2", "k3", "standard"))
+query("normalize_liquid", _sql(f"{_terms_sql('liquid')} AS standard"))(lambda s, d: raw(s, d).withColumn("standard", T.liquid(F.col("liquid"))).select("k1", "k2", "k3", "standard"))
 _FORMULAS = {t.term: t.formula for t in LIQUIDS}
 query("term_info", f"WITH {_RAW_SQL}, n AS (SELECT {_KEYS}, {_terms_sql('liquid')} AS standard FROM raw) SELECT {_KEYS}, standard, CASE standard " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FORMULAS.items()) + " END AS formula FROM n")(
     lambda s, d: T.term_info(s, raw(s, d).select("k1", "k2", "k3", T.liquid(F.col("liquid")).alias("standard")), "standard", LIQUIDS).select("k1", "k2", "k3", "standard", "formula")

@@ -46,3 +46,12 @@ def test_the_flagship_runs_as_generated_code(spark):
         assert registry.QUERIES[registry.FLAGSHIP](spark, SF).count() > 0
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_curation_shuffles_once_and_joins_nothing(spark):
+    from labcurate.operators import curate
+
+    names = "material_name ionic_liquid cof friction_force load normal_load speed temperature potential".split()
+    rows = spark.createDataFrame([tuple(["x"] * len(names) + [1])], [*names, "seq"])
+    plan = curate.curate(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "BatchEval" not in plan
