@@ -27,7 +27,7 @@ from labcurate.llm.common import bounded_batches, cut, small_batches
 CAPACITY = 1024
 END_ID = 2
 #: Pre-tokens that a worker remembers, in each of two generations: about 100 bytes each beside the text.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 260_000
 #: Pieces up to this length, a quarter of the capacity, are small: they fill gaps.
 SMALL = CAPACITY // 4
 GROUPS = 256
@@ -73,11 +73,14 @@ class _Tokens:
         memo = self.memo
         split = [self.split(t) if t and not _NOT_PLAIN.search(t) and not self.special.search(t) else None for t in texts]
         memo.make_room()
-        older = memo.older
-        new = [w for w in set().union(*filter(None, split)) if w not in memo and w not in older and len(w) <= 64 and not w.isspace()]
+        new = set().union(*filter(None, split))
+        new.difference_update(memo)
+        again = new.intersection(memo.older)
+        memo.update({w: memo.older[w] for w in again})
+        new = [w for w in new.difference(again) if len(w) <= 64 and not w.isspace()]
         self._learn([w for w in new if w[0] == " "], "")
         self._learn([w for w in new if w[0] != " "], "\n")  # one token
-        return [b"".join([memo[w] for w in s]) if s else self._whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
+        return [b"".join(map(memo.__getitem__, s)) if s else self._whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
 
 
 @lru_cache(maxsize=2)
