@@ -62,7 +62,10 @@ def facet_name(c: Column) -> Column:
 
 def facet_counts(df: DataFrame, column: str, order: str, needle: str | None = None, top: int | None = None) -> DataFrame:
     """(value, n, first_seen), most frequent first, ties in order of first appearance."""
-    out = df.groupBy(facet_name(F.col(column)).alias("value")).agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
+    return _most_frequent(df.groupBy(facet_name(F.col(column)).alias("value")).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")), needle, top)
+
+
+def _most_frequent(out: DataFrame, needle: str | None, top: int | None) -> DataFrame:
     if needle:
         out = out.where(F.contains(F.lower("value"), F.lit(needle.lower())))
     out = out.orderBy(F.col("n").desc(), "first_seen", "value")
@@ -78,6 +81,48 @@ def page_of(df: DataFrame, newest: str, key: str, offset: int = 0, limit: int =
     return df.orderBy(F.col(newest).desc(), F.col(key).desc()).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, newest: str, key: str, after: tuple | None = None, limit: int = 100) -> DataFrame:
+    """The page that follows the row with these values of ``newest`` and ``key``; the first without them.  Nothing is sorted to be skipped:
+    older rows are chosen in the scan.  Rows without a date come last, after a row with one as after (None, key)."""
+    if after is not None:
+        when, last = after
+        if when is None:
+            df = df.where(F.col(newest).isNull() & (F.col(key) < last))
+        else:
+            df = df.where((F.col(newest) <= F.lit(when)) | F.col(newest).isNull())  # for the scan
+            df = df.where(F.col(newest).isNull() | (F.col(newest) < F.lit(when)) | (F.col(key) < last))
+    return df.orderBy(F.col(newest).desc_nulls_last(), F.col(key).desc()).limit(limit)
+
+
+#: Partial aggregates of records by facet value; the empty facet holds all records.
+PARTIALS = "facet string, value string, rows long, first_seen long, n double, total double, least double, greatest double"
+
+
+def partials(rows: DataFrame, facets: list[str], measure: str, order: str, by: str) -> DataFrame:
+    """PARTIALS for each value of ``by``: counts and sums that can be merged."""
+    each = [F.struct(F.lit("").alias("facet"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in facets]]
+    m = F.col(measure)
+    out = rows.select(by, order, measure, F.explode(F.array(*each)).alias("f")).groupBy(by, "f.facet", "f.value")
+    return out.agg(F.count("*").alias("rows"), F.min(order).alias("first_seen"), F.count(m).cast("double").alias("n"), F.sum(m).alias("total"), F.min(m).alias("least"), F.max(m).alias("greatest"))
+
+
+def merged_summary(parts: DataFrame, total_parents: int) -> DataFrame:
+    """As summary(), from partials."""
+    a = parts.where("facet = ''").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_records"), F.min("least").alias("min_value"), F.max("greatest").alias("max_value"), F.nullif(F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0)), F.lit(0.0)).alias("avg_value"))
+    return a.withColumn("total_parents", F.lit(total_parents).cast("long"))
+
+
+def merged_option_lists(parts: DataFrame) -> DataFrame:
+    """As option_lists(), from partials."""
+    return parts.where("facet <> '' AND value <> ''").groupBy("facet").agg(F.array_sort(F.collect_set("value")).alias("options"))
+
+
+def merged_facet_counts(parts: DataFrame, column: str, needle: str | None = None, top: int | None = None) -> DataFrame:
+    """As facet_counts(), from partials."""
+    out = parts.where(F.col("facet") == column).groupBy(facet_name(F.col("value")).alias("value")).agg(F.sum("rows").alias("n"), F.min("first_seen").alias("first_seen"))
+    return _most_frequent(out, needle, top)
+
+
 def with_children(parents: DataFrame, children: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Adds ``children``, an array of structs in order, empty for a parent without any."""
     lists = children.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("children"))

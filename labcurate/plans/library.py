@@ -18,6 +18,7 @@ from labcurate.functions import scoring as S
 from labcurate.operators import curate as C
 from labcurate.operators import explore as X
 from labcurate.operators import storage as W
+from labcurate.operators.tables import BUCKET
 from labcurate.sources import connectors as N
 
 _LITERATURE = "id long, doi string, title string, authors string, journal string, issn string, year int, volume string, issue string, pages string, content string, file_path string, file_hash string, status string, error_message string, created_at timestamp"
@@ -27,6 +28,8 @@ _COMMITS = "literature long, records long, failures long, batches long, last_lit
 _FAILURES = "file_hash string, batch_idx int, error string, batch_id string, failed_at timestamp"
 #: A document's identity in synchronisation: its identifier, else its content.
 _DOCUMENT = "coalesce(nullif(doi, ''), concat('hash:', file_hash))"
+#: Facets whose counts are kept beside the records.
+FACETS = ["material_name", "lubricant"]
 NO_DATA, NO_CONTENT = "No valid data extracted.", "No content available"
 _METADATA = ["title", "authors", "journal", "issn", "year", "volume", "issue", "pages"]
 _RAW = ["material_name", "lubricant", "cof", "load", "speed", "temperature", "potential", "water_content", "surface_roughness", "film_thickness", "mol_ratio", "cation", "evidence"]
@@ -105,7 +108,8 @@ class Library:
         self._path = path = path.rstrip("/")
         failures, batches = StructType.fromDDL(_FAILURES), StructType.fromDDL("batch_id string, at timestamp")
         self._literature = W.SnapshotTable(spark, f"{path}/literature", self.literature_schema, {"doi": "doi", "file_hash": "file_hash", "document": _DOCUMENT}, "id", buckets)
-        self._records = W.SnapshotTable(spark, f"{path}/records", self.record_schema, key="literature_id", buckets=buckets)
+        facets = lambda rows: X.partials(rows, FACETS, "cof_value", "id", BUCKET)
+        self._records = W.SnapshotTable(spark, f"{path}/records", self.record_schema, key="literature_id", buckets=buckets, summary=facets, summary_schema=StructType.fromDDL(X.PARTIALS))
         self._failures = W.SnapshotTable(spark, f"{path}/failures", failures, key="file_hash", buckets=buckets)
         self._batches = W.SnapshotTable(spark, f"{path}/batches", batches, ("batch_id",), buckets=buckets)
         self._commits = W.SnapshotTable(spark, f"{path}/commits", self._commit_schema, buckets=1)
@@ -150,8 +154,16 @@ class Library:
         rows = self._records.rows_of(done.select("literature_id"), self._version("records")).withColumnRenamed("id", "record_id").join(done, "literature_id")
         return C.position_ids(rows, "file_hash", "record_id").withColumn("ionic_liquid", F.col("lubricant"))
 
+    def _facets(self) -> DataFrame:
+        """Partial aggregates of the live buckets, written with them: no record is read."""
+        return self._records.summaries(self._version("records"))
+
     def options(self) -> DataFrame:
-        return X.option_lists(self.records(), ["material_name", "lubricant"])
+        return X.merged_option_lists(self._facets())
+
+    def facets(self, column: str, needle: str | None = None, top: int | None = None) -> DataFrame:
+        """How many records each value of a facet has, most frequent first."""
+        return X.merged_facet_counts(self._facets(), column, needle, top)
 
     def needs_extraction(self, force: bool = False) -> DataFrame:
         """Entries that are not completed; with ``force`` all."""
@@ -261,6 +273,10 @@ class Library:
             change.put("records", gone=gone.withColumnRenamed("id", "literature_id"))
             change.commit()
 
+    def list_after(self, after: tuple | None = None, limit: int = 100) -> DataFrame:
+        """The newest entries, or those that follow an entry with this (created_at, id)."""
+        return X.page_after(self.literature().drop("content").withColumn("doi", F.coalesce("doi", F.lit(""))), "created_at", "id", after, limit)
+
     def list(self, skip: int = 0, limit: int = 100) -> DataFrame:
         return X.page_of(self.literature().drop("content").withColumn("doi", F.coalesce("doi", F.lit(""))), "created_at", "id", skip, limit)
 
@@ -276,7 +292,7 @@ class Library:
         return X.search(self.records(), parents, "literature_id", wanted, ["id"], ["doi", "title", "authors", "journal", "year"])
 
     def stats(self) -> DataFrame:
-        return X.summary(self.records(), self.literature(), "cof_value")
+        return X.merged_summary(self._facets(), self.literature().count())
 
     def chat_context(self) -> DataFrame:
         """The newest text, cut to what a chat may see."""

@@ -20,7 +20,7 @@ from labcurate.operators import storage as W
 from labcurate.operators import terms as T
 from labcurate.operators.dictionaries import SURFACES
 from labcurate.plans.library import Library, payload_schema
-from labcurate.plans.queries import _COF, _DBL, _UNITED, _VC, _VL, _each, _quantity_sql, _shared, _sql, raw, read
+from labcurate.plans.queries import _COF, _DBL, _RAW_SQL, _UNITED, _VC, _VL, _each, _quantity_sql, _shared, _sql, _terms_sql, raw, read
 from labcurate.plans.registry import query
 from labcurate.sources import connectors as N
 from labcurate.sources import files as Q
@@ -371,3 +371,47 @@ def cached_answers(s: SparkSession, d: str) -> DataFrame:
     second = N.AnswerCache(s, at).answers(names, "name", _told_once, "later")
     both = second.join(first, "name", "left")
     return both.select("name", F.substring_index("later", " ", 1).alias("answer"), F.coalesce(F.col("answer") == F.col("later"), F.lit(True)).alias("asked_once"))
+
+
+_FACET_ROWS = "SELECT o_orderkey, o_custkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_custkey % 5 <> 0 AND (o_custkey % 2 = 1 OR o_orderkey % 3 = 0)"
+
+
+@query("library_facets", f"WITH r AS ({_FACET_ROWS}) SELECT 'material_name' AS facet, status AS value, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'lubricant', priority, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'all', '', count(*) FROM r")
+def library_facets(s: SparkSession, d: str) -> DataFrame:
+    """Counts by facet that are kept up with each commit: customers as documents are stored, some replaced by a third of their orders,
+    and some deleted."""
+    lib, schema = Library(s, _shared(s)), payload_schema()
+    fields = {"material_name": "o_orderstatus", "lubricant": "o_orderpriority", "cof": "'0.1'"}
+    record = F.struct(*[F.expr(fields.get(f.name, "cast(null as string)")).alias(f.name) for f in schema["records"].dataType.elementType.fields])
+
+    def payload(orders: DataFrame, docs: DataFrame) -> DataFrame:
+        lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(record).alias("records"))
+        rows = docs.join(lists, "c_custkey", "left").withColumns({"doi": F.concat(F.lit("10.1/"), F.col("c_custkey")), "records": F.coalesce("records", F.array().cast(schema["records"].dataType))})
+        return rows.select(*[F.col(f.name) if f.name in ("doi", "records") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    docs, orders = read(s, d, "customer"), read(s, d, "orders")
+    lib.sync(payload(orders, docs))
+    lib.sync(payload(orders.where("o_orderkey % 3 = 0"), docs.where("c_custkey % 2 = 0")))
+    lib.delete(lib.literature().where("cast(substring(doi, 6) as int) % 5 = 0").select("id"))
+    by = [lib.facets(c).select(F.lit(c).alias("facet"), "value", "n") for c in ("material_name", "lubricant")]
+    return by[0].unionByName(by[1]).unionByName(lib.stats().select(F.lit("all").alias("facet"), F.lit("").alias("value"), F.col("total_records").alias("n")))
+
+
+@query("list_by_cursor", "SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100 OFFSET 200")
+def list_by_cursor(s: SparkSession, d: str) -> DataFrame:
+    """The third page of a hundred, each found from the last row of the one before."""
+    rows, after = read(s, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), None
+    for _ in range(2):
+        last = X.page_after(rows, "o_orderdate", "o_orderkey", after, 100).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("m")).first().m
+        after = (last.o_orderdate, last.o_orderkey)
+    return X.page_after(rows, "o_orderdate", "o_orderkey", after, 100)
+
+
+_USED = f"SELECT standard AS term, count(*) AS n FROM (SELECT {_terms_sql('material')} AS standard FROM raw) GROUP BY 1"
+
+
+@query("dictionary_use", f"WITH {_RAW_SQL}, used AS ({_USED}), terms(ord, term) AS (VALUES {', '.join(f'({i}, {chr(39)}{t.term}{chr(39)})' for i, t in enumerate(SURFACES))}) SELECT ord, terms.term AS term, coalesce(n, 0) AS n FROM terms LEFT JOIN used ON used.term = terms.term")
+def dictionary_use(s: SparkSession, d: str) -> DataFrame:
+    """The dictionary's terms in order, each with the number of records that name it in any way."""
+    used = raw(s, d).groupBy(T.surface(F.col("material")).alias("term")).agg(F.count("*").alias("n"))
+    return T.dictionary(s, SURFACES).select("ord", "term").join(used, "term", "left").select("ord", "term", F.coalesce("n", F.lit(0)).alias("n"))
