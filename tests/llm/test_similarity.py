@@ -190,3 +190,26 @@ def test_search_finds_the_nearest_among_many_near_copies(spark):
         s = x @ x[q]
         s[q] = -np.inf
         assert [got[q][k] for k in range(1, 21)] == np.argsort(-s, kind="stable")[:20].tolist()
+
+
+def test_components_of_a_large_star_in_no_single_task(spark, tmp_path):
+    """A centre with 100,000 leaves, and chains: every join and distinct deals the centre's edges to many tasks."""
+    star = spark.range(1, 100_001).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("a"))
+    chains = spark.range(0, 300).select((F.col("id") + 200_000).alias("a"), (F.col("id") + F.when(F.col("id") % 10 == 9, 0).otherwise(1) + 200_000).alias("b"))
+    most = []
+    inner = components.join_unique
+
+    def watched(rows, names, key, n):
+        out = inner(rows, names, key, n)
+        sizes = rows.groupBy(key).count().join(names, key).agg(F.max(F.when(F.col(n) <= max(1024, names.agg(F.sum(n)).first()[0] // 1000), F.col("count")))).first()[0]
+        most.append(sizes or 0)
+        return out
+
+    components.join_unique = watched
+    try:
+        got = {r.node: r.component for r in components.components(star.select("a", "b").unionByName(chains)).collect()}
+    finally:
+        components.join_unique = inner
+    assert len(got) == 100_001 + 300 and all(got[i] == 0 for i in range(100_001))
+    assert all(got[200_000 + i] == 200_000 + i // 10 * 10 for i in range(300))
+    assert most and max(most) <= 1024  # no key that is shuffled is large
