@@ -19,6 +19,7 @@ from labcurate.operators import review as R
 from labcurate.operators import storage as W
 from labcurate.operators import terms as T
 from labcurate.operators.dictionaries import SURFACES
+from labcurate.operators.term_store import TermStore
 from labcurate.plans.library import Library, payload_schema
 from labcurate.plans.queries import _COF, _DBL, _RAW_SQL, _UNITED, _VC, _VL, _each, _quantity_sql, _shared, _sql, _terms_sql, raw, read
 from labcurate.plans.registry import query
@@ -415,3 +416,25 @@ def dictionary_use(s: SparkSession, d: str) -> DataFrame:
     """The dictionary's terms in order, each with the number of records that name it in any way."""
     used = raw(s, d).groupBy(T.surface(F.col("material")).alias("term")).agg(F.count("*").alias("n"))
     return T.dictionary(s, SURFACES).select("ord", "term").join(used, "term", "left").select("ord", "term", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_PARTS = "SELECT p_partkey, p_name, 'part ' || p_partkey AS term, lower(p_name) AS alias FROM part"
+
+
+@query(
+    "stored_terms",
+    f"WITH t AS ({_PARTS}), first AS (SELECT alias, min(p_partkey) AS k, max(p_partkey) AS last FROM t GROUP BY 1), "
+    "asked AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'a ' || p_name WHEN 2 THEN substr(p_name, 2) ELSE 'no. ' || p_partkey END AS x FROM part), "
+    "letters AS (SELECT DISTINCT x, lower(x) AS low, list_distinct(string_split(lower(x), '')) AS c FROM asked), "
+    "near AS (SELECT x, min(f.k) AS k FROM letters JOIN first f ON (contains(low, f.alias) OR contains(f.alias, low)) AND length(low) >= 3 AND len(list_intersect(c, list_distinct(string_split(f.alias, '')))) >= 0.7 * least(length(low), length(f.alias)) GROUP BY 1) "
+    "SELECT p_partkey, asked.x AS x, coalesce('part ' || f.last, 'part ' || near.k, asked.x) AS standard FROM asked LEFT JOIN first f ON f.alias = lower(asked.x) LEFT JOIN near ON near.x = asked.x",
+)
+def stored_terms(s: SparkSession, d: str) -> DataFrame:
+    """Parts as a stored dictionary, half of their names registered later as aliases; names in other spellings are looked up."""
+    store, parts = TermStore(s, _shared(s)), read(s, d, "part")
+    term, alias = F.concat(F.lit("part "), "p_partkey"), F.lower("p_name")
+    none = F.array().cast("array<string>")
+    store.register(parts.select(F.col("p_partkey").cast("long").alias("ord"), term.alias("term"), F.lit("").alias("chinese_name"), F.lit("").alias("formula"), F.when(F.col("p_partkey") % 2 == 0, F.array(alias)).otherwise(none).alias("aliases"), none.alias("patterns")))
+    store.add_aliases(parts.where("p_partkey % 2 = 1").select(term.alias("term"), alias.alias("alias")))
+    asked = parts.select("p_partkey", F.expr("CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'a ' || p_name WHEN 2 THEN substr(p_name, 2) ELSE 'no. ' || p_partkey END").alias("x"))
+    return store.standard(asked, "x", "standard").select("p_partkey", "x", "standard")
