@@ -8,6 +8,7 @@ where another came since the change began.  Each method takes and returns DataFr
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ _FAILURES = "file_hash string, batch_idx int, error string, batch_id string, fai
 _DOCUMENT = "coalesce(nullif(doi, ''), concat('hash:', file_hash))"
 #: Facets whose counts are kept beside the records.
 FACETS = ["material_name", "lubricant"]
+# Messages about files and about processing them again, and the least content that is worth it.
+NO_STORED = " does not have stored file content. The original file content is required for reprocessing. Please use the file upload endpoint to provide the content."
+TOO_SHORT, LEAST_CONTENT = "File content is empty or too short", 100
+FAILED_AGAIN, DONE_AGAIN = "重新提取失败: ", ("成功重新提取 ", " 条数据记录 (已删除旧记录)")
 NO_DATA, NO_CONTENT = "No valid data extracted.", "No content available"
 _METADATA = ["title", "authors", "journal", "issn", "year", "volume", "issue", "pages"]
 _RAW = ["material_name", "lubricant", "cof", "load", "speed", "temperature", "potential", "water_content", "surface_roughness", "film_thickness", "mol_ratio", "cation", "evidence"]
@@ -60,6 +65,12 @@ def typed(raw: DataFrame) -> DataFrame:
     })
 
 
+class _Again(NamedTuple):
+    """Entries that are processed again: file_hash (or a stand-in for it), literature_id, and content that was given anew."""
+
+    entries: DataFrame
+
+
 class _Change:
     """What one change is built on, what it writes aside, and the commit that makes it visible."""
 
@@ -193,13 +204,14 @@ class Library:
             change.commit()
         return {"synced": added, "replaced": lost}
 
-    def store_answers(self, answers: DataFrame, metadata: DataFrame | None = None, batch_id: str | None = None) -> None:
+    def store_answers(self, answers: DataFrame, metadata: DataFrame | None = None, batch_id: str | None = None, again: _Again | None = None) -> None:
         """Extraction answers (file_hash, batch_idx, answer, and error if there is one): curate their records, each file's for itself, and
         replace those of each file that brings at least one.
 
         A file that brings records is completed, and what it has of metadata (file_hash and fields) is filled in.  One that brings none is
         failed, with its first batch's error or that there was no data, unless it was completed before: then its records and state
-        stay.  Batches with an error are kept in failures().  A batch_id that was stored before changes nothing.
+        stay.  Batches with an error are kept in failures().  A batch_id that was stored before changes nothing.  ``again`` is given
+        by reprocess(): there every entry ends completed, and metadata count only where they are better than what is there.
         """
         with _Change(self) as change:
             if batch_id is not None:
@@ -210,8 +222,11 @@ class Library:
             error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
             given = change.staged(answers.select("file_hash", F.col("batch_idx").cast("int").alias("batch_idx"), "answer", error.alias("error")))
             files = given.groupBy("file_hash").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("batch_idx"))).alias("error"))
-            found = self._literature.known("file_hash", files.select(F.col("file_hash").alias("value")), change.state["literature"])
-            ids = change.staged(found.select(F.col("value").alias("file_hash"), F.col("key").alias("literature_id")))
+            if again is None:
+                found = self._literature.known("file_hash", files.select(F.col("file_hash").alias("value")), change.state["literature"])
+                ids = change.staged(found.select(F.col("value").alias("file_hash"), F.col("key").alias("literature_id")))
+            else:
+                ids = again.entries.select("file_hash", "literature_id")
             raw = C.records_of_answers(given.where("error IS NULL")).withColumn("seq", F.col("batch_idx").cast("long") * 1_000_000 + F.col("pos"))
             parts = C.curate(raw.drop("id").join(ids, "file_hash"), "seq", within=("literature_id",))
             new = parts.select("literature_id", *[F.col("cof_raw").alias("cof") if c == "cof" else F.col("ionic_liquid").alias("lubricant") if c == "lubricant" else F.col(c) for c in _RAW], "first_seen")
@@ -223,9 +238,16 @@ class Library:
             entries = entries.join(outcome, "id")
             if metadata is not None:
                 fields = [m for m in _METADATA if m in metadata.columns]
-                filled = metadata.join(ids.join(bring, "literature_id", "left_semi"), "file_hash", "left_semi")
-                entries = W.merge_filled(entries, filled, "file_hash", fields)
-            failed = ~F.col("__some") & (F.col("status") != "completed")
+                filled = metadata.join(ids if again else ids.join(bring, "literature_id", "left_semi"), "file_hash").drop("file_hash").withColumnRenamed("literature_id", "id")
+                if again:
+                    old = entries.select("id", *[F.col(m).alias(f"__{m}") for m in ("doi", *_METADATA)])
+                    better = S.should_update(F.col("__doi"), F.col("doi") if "doi" in filled.columns else F.lit(None).cast("string"), [F.col(f"__{m}") for m in fields if m != "issn"], [F.col(m) for m in fields if m != "issn"])
+                    filled = filled.join(old, "id").where(better)
+                entries = W.merge_filled(entries, filled, "id", fields)
+            if again:
+                given_texts = again.entries.select(F.col("literature_id").alias("id"), F.col("content").alias("__content"))
+                entries = entries.join(given_texts, "id").withColumn("content", F.coalesce("__content", "content"))
+            failed = ~F.col("__some") & (F.col("status") != "completed") & F.lit(again is None)
             entries = entries.withColumn("error_message", F.when(failed, F.coalesce("__error", F.lit(NO_DATA))).when(~F.col("__some"), F.col("error_message")))
             entries = entries.withColumn("status", F.when(failed, "failed").otherwise("completed"))
             change.put("literature", change.staged(_filled_to(entries, self.literature_schema)), ids.select(F.col("literature_id").alias("id")))
@@ -258,6 +280,42 @@ class Library:
         none = bare.select("file_hash", F.lit(0).alias("batch_idx"), F.lit("[]").alias("answer"), F.lit(NO_CONTENT).alias("error"))
         self.store_answers(answers.unionByName(none), metadata)
 
+    def reprocess(self, wanted: DataFrame, ask: N.Ask, models: N.Models, prompt: str = "", head_prompt: str = "") -> DataFrame:
+        """Extract entries (id, content text that may be null) again: literature_id, success, reprocessed_count, message, needs_upload.
+
+        Content that is given is stored; without it the stored one serves, and an entry that has none needs an upload.  Records
+        are replaced where at least one comes, metadata where the new are better, and the entry ends completed.  Entries that are not
+        there, or whose content has fewer than LEAST_CONTENT characters, are told so and left alone.
+        """
+        known = self._literature.rows_of(wanted.select("id"), self._version("literature"))
+        given = wanted.groupBy("id").agg(F.max("content").alias("given"))
+        filled = lambda c: F.when(F.col(c) != "", F.col(c))
+        rows = given.join(known.select("id", "file_hash", F.col("content").alias("stored"), F.lit(True).alias("there")), "id", "left")
+        rows = rows.withColumn("text", F.coalesce(filled("given"), filled("stored")))
+        told = F.when(F.col("there").isNull(), F.concat(F.lit("Literature ID="), "id", F.lit(" not found"))).when(F.col("text").isNull(), F.concat(F.lit("Literature ID="), "id", F.lit(NO_STORED))).when(F.length(P.strip(F.col("text"))) < LEAST_CONTENT, F.lit(TOO_SHORT))
+        with _Change(self) as aside:
+            rows = aside.staged(rows.withColumn("told", told).withColumn("file_hash", F.coalesce("file_hash", F.concat(F.lit("id:"), "id"))))
+            good = rows.where("told IS NULL")
+            entries = good.select("file_hash", F.col("id").alias("literature_id"), F.col("given").alias("content"))
+            none = F.array().cast("array<string>")
+            heads = N.first_pass(good.select("file_hash", N.head_messages(head_prompt, F.col("text"), F.lit(None).cast("string"), models).alias("request")), ask, models)
+            heads = aside.staged(N.metadata_answers(heads).withColumn("doi", P.blank_to_null(P.normalize_doi(F.col("doi")))))
+            answers = N.extracted(good.select("file_hash", F.lit(0).alias("batch_idx"), N.extraction_messages(prompt, none, F.col("text"), models).alias("request")), ask, models)
+            answers = aside.staged(answers)
+            before = self._commits.version()
+            self.store_answers(answers, heads, again=_Again(entries))
+            row = self._commits.read(before).first()
+            old = self._records.read(row["records"] if row else 0).select("id")
+            new = self._records.rows_of(entries.select("literature_id"), self._version("records")).join(old, "id", "left_anti").groupBy("literature_id").agg(F.count("*").alias("n"))
+            out = rows.join(answers.select("file_hash", "error"), "file_hash", "left").join(new.withColumnRenamed("literature_id", "id"), "id", "left")
+            failed = F.coalesce("told", F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED_AGAIN), "error")))
+            n = F.coalesce("n", F.lit(0))
+            done = F.concat(F.lit(DONE_AGAIN[0]), n, F.lit(DONE_AGAIN[1]))
+            result = out.select(F.col("id").alias("literature_id"), failed.isNull().alias("success"), n.alias("reprocessed_count"), F.coalesce(failed, done).alias("message"), F.coalesce(F.col("there") & F.col("text").isNull(), F.lit(False)).alias("needs_upload"))
+            path = f"{self._path}/outcomes/{uuid.uuid4().hex}"
+            result.write.parquet(path)
+        return self.spark.read.schema(result.schema).parquet(path)
+
     def vacuum(self) -> None:
         """Only the present versions stay."""
         row = self._commits.read().first()

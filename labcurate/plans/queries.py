@@ -284,7 +284,7 @@ def stream_store_new(s: SparkSession, d: str) -> DataFrame:
     """Documents arrive as a stream and each content is stored once."""
     at = _shared(s)
     arriving = ingest.file_stream(s, f"{d}/documents.parque[t]", "doc_id long, text string").select("doc_id", F.md5("text").alias("file_hash"))
-    table = W.SnapshotTable(s, f"{at}/table", s.createDataFrame([], "doc_id long, file_hash string").schema)
+    table = W.SnapshotTable(s, f"{at}/table", s.createDataFrame([], "doc_id long, file_hash string").schema, unique=("file_hash",))
     ingest.store_new(arriving, table, "file_hash", "doc_id", f"{at}/progress").awaitTermination()
     return table.read()
 

@@ -13,10 +13,17 @@ STATES = ("pending", "processing", "extracting", "completed", "failed")
 
 
 def store_new(stream: DataFrame, table: SnapshotTable, hash_col: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Add the rows whose hash the table does not hold yet, a version for each micro-batch; a batch run again adds nothing."""
+    """Add the rows whose hash the table does not hold yet, a version for each micro-batch that brings any; a batch run again adds
+    nothing.  Where the hash is a unique column of the table, only the buckets of the arriving hashes are looked at."""
 
     def upsert(batch: DataFrame, _: int) -> None:
-        table.append(new_by_hash(batch, table.read(), hash_col, order))
+        batch.persist()
+        hashes = batch.select(F.col(hash_col).alias("value")).where("value IS NOT NULL")
+        known = table.known(hash_col, hashes).withColumnRenamed("value", hash_col) if hash_col in table.unique else table.read()
+        fresh = new_by_hash(batch, known, hash_col, order)
+        if not fresh.isEmpty():
+            table.append(fresh)
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

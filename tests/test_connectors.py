@@ -88,3 +88,34 @@ def test_both_passes_of_an_extraction(spark, tmp_path):
     got = {r.file_hash: (r.title, r.year, r.status, r.error_message) for r in lib.literature().collect()}
     assert got == {"a": ("T good 1", 2001, "completed", None), "b": ("b.txt", None, "completed", None), "c": ("c.txt", None, "failed", "No valid data extracted."), "d": ("d.txt", None, "failed", NO_CONTENT)}
     assert lib.records().count() == 2 and lib.failures().select(F.col("file_hash")).first()[0] == "d"
+
+
+def test_processing_again(spark, tmp_path):
+    def ask(model, request):
+        asked = json.loads(request)
+        if asked["temperature"] == N.HEAD_TEMPERATURE:
+            return json.dumps({"title": "Better", "authors": "A, B", "journal": "J", "year": 1999} if "rich" in asked["text"] else {"title": "Worse"})
+        if "broken" in asked["text"]:
+            raise RuntimeError("away")
+        return json.dumps({"data": [{"material_name": "gold", "ionic_liquid": "x", "cof": f"0.{i}"} for i in (1, 2)]}) if "rich" in asked["text"] else "[]"
+
+    lib = Library(spark, str(tmp_path / "lib"), buckets=2)
+    lib.ingest(spark.createDataFrame([(h, f"{h}.txt", t * 200 if t else t) for h, t in (("a", "rich "), ("b", "poor "), ("c", None), ("d", "broken ")) ] + [("e", "e.txt", "short")], "file_hash string, path string, text string"))
+    first = json.dumps({"data": [{"material_name": "mica", "ionic_liquid": "x", "cof": "0.5"}]})
+    lib.store_answers(spark.createDataFrame([(h, 0, first) for h in "abcde"], "file_hash string, batch_idx int, answer string"))
+    ids = {r.file_hash: r.id for r in lib.literature().collect()}
+    wanted = [(i, None) for i in ids.values()] + [(99, None)]
+    out = {r.literature_id: r for r in lib.reprocess(spark.createDataFrame(wanted, "id long, content string"), ask, N.Models("first")).collect()}
+    assert (out[ids["a"]].success, out[ids["a"]].reprocessed_count, out[ids["a"]].needs_upload) == (True, 2, False)
+    assert (out[ids["b"]].success, out[ids["b"]].reprocessed_count) == (True, 0)
+    assert not out[ids["c"]].success and out[ids["c"]].needs_upload and "does not have stored file content" in out[ids["c"]].message
+    assert not out[ids["d"]].success and out[ids["d"]].message.endswith("away")
+    assert out[ids["e"]].message == "File content is empty or too short" and not out[ids["e"]].needs_upload
+    assert out[99].message == "Literature ID=99 not found"
+    titles = {r.file_hash: (r.title, r.year, r.status) for r in lib.literature().collect()}
+    assert titles["a"] == ("Better", 1999, "completed") and titles["b"] == ("b.txt", None, "completed")
+    cofs = {k: sorted(r.cof_raw for r in lib.records().where(F.col("literature_id") == i).collect()) for k, i in ids.items()}
+    assert cofs == {"a": ["0.1", "0.2"], "b": ["0.5"], "c": ["0.5"], "d": ["0.5"], "e": ["0.5"]}
+    given = lib.reprocess(spark.createDataFrame([(ids["c"], "rich " * 200)], "id long, content string"), ask, N.Models("first")).first()
+    assert given.success and given.reprocessed_count == 2
+    assert lib.literature().where(F.col("id") == ids["c"]).first().content.startswith("rich ")
