@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,8 +72,10 @@ def join_unique(rows: DataFrame, names: DataFrame, key: str, n: str) -> DataFram
     Keys that hold more than a thousandth of all rows (so fewer than HOT_KEYS of them, however large the tables) are joined where the
     rows are; the others are shuffled, and none of those is large.
     """
-    total = names.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    total, most = names.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     bound = max(HOT_LEAST, total // HOT_KEYS)
+    if most <= bound:
+        return rows.join(names, key)
     hot, cold = names.where(F.col(n) > bound), names.where(F.col(n) <= bound)
     there = rows.join(F.broadcast(hot), key)
     return there.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
@@ -85,6 +90,26 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+#: What operators keep in a Python worker from task to task, and how it is dropped.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, drop: Callable[[], None]) -> None:
+    """An operator keeps tables in this worker from now on; make_way() drops them when another operator's task begins here."""
+    _kept[name] = drop
+
+
+def make_way(name: str) -> None:
+    """Drop what other operators than ``name`` have kept in this worker: workers are used again, and their memory adds up."""
+    others = [k for k in _kept if k != name]
+    for k in others:
+        _kept.pop(k)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can give memory back
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4 is 2; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labcurate.llm.common import BROADCAST_ROWS, bounded_batches, cut, discard, join_unique, only, small_batches
+from labcurate.llm.common import BROADCAST_ROWS, bounded_batches, cut, discard, join_unique, make_way, only, small_batches
 from labcurate.llm.components import components
 
 SHINGLE = 3
@@ -106,6 +106,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_id (128-bit digest of the set, null if empty), sketch (registers) for each row; no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_way("hyperminhash")
         for batch in bounded_batches(batches, "text", 1 << 20):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labcurate.llm import gru
-from labcurate.llm.common import bounded_batches, held_out, small_batches
+from labcurate.llm.common import bounded_batches, held_out, make_way, small_batches
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample that the network is fitted on: so many documents of each language (of so many languages, the most
@@ -150,6 +150,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", lang_pred string, score double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_way("langid")
         for batch in bounded_batches(batches, "text", 1 << 20):
             names, scores = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labcurate.llm.bpe import _NOT_PLAIN, Memo, splitter
-from labcurate.llm.common import bounded_batches, cut, small_batches
+from labcurate.llm.common import bounded_batches, cut, keep, make_way, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -98,6 +98,8 @@ def tokenised(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY
     """doc_id, row (a number of its own for each row), n_tokens, crcs (of each piece's ids); no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_way("packing")
+        keep("packing", _tokens.cache_clear)
         t = _tokens(path, pattern)
         end = np.uint32(END_ID).astype("<u4").tobytes()
         for batch in bounded_batches(batches, "text", 2 << 20):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labcurate.llm import gru
-from labcurate.llm.common import bounded_batches, held_out, small_batches
+from labcurate.llm.common import bounded_batches, held_out, make_way, small_batches
 
 #: Bounds of the labelled sample that the network is fitted on: documents of each label, and their length in characters.
 SAMPLE_PER_LABEL = 1024
@@ -298,6 +298,7 @@ def detect(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", score double, predicted int"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_way("toxicity")
         for batch in bounded_batches(batches, "text", 1 << 20):
             scores = model.score(batch.column("text").to_pylist())
             marks = pa.array([int(s >= TOXIC_FROM) for s in scores], pa.int32())
