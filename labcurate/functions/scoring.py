@@ -64,6 +64,12 @@ def should_update(old_doi: Column, new_doi: Column, old: list[Column], new: list
     return (has(new_doi) & ~has(old_doi)) | (filled(*new) > filled(*old))
 
 
+# What validation says.
+MISSING_COF, INVALID_COF, NEGATIVE_COF, HIGH_COF = "Missing COF value", "Invalid COF format", "COF cannot be negative", "COF > 1.5 is physically unusual"
+LOAD_UNIT, LOAD_UNSUPPORTED = "Load value must include unit (e.g., 5 N, 100 mN)", "Unsupported unit for load"
+FORCE_UNIT = "Force value must include unit (e.g., 5 N, 100 mN)"
+
+
 def _issue(field: str, message: Column | str, severity: Column | str) -> Column:
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(F.lit(field).alias("field"), text(message).alias("message"), text(severity).alias("severity")).cast(ISSUE)
@@ -74,10 +80,10 @@ def cof_issue(c: Column, strict: bool = False) -> Column:
     blank = c.isNull() | P.strip(c).isin("", "-") if not strict else c.isNull() | (c == "-") | (P.strip(c) == "")
     value = F.lit(None).cast("double") if strict else F.regexp_extract(c, r"-?\d*\.?\d+", 0).try_cast("double")
     return (
-        F.when(blank, _issue("cof", "Missing COF value", "warning"))
-        .when(value.isNull(), _issue("cof", "Invalid COF format", "warning"))
-        .when(value < 0, _issue("cof", "COF cannot be negative", "error"))
-        .when(value > 1.5, _issue("cof", "COF > 1.5 is physically unusual", "warning"))
+        F.when(blank, _issue("cof", MISSING_COF, "warning"))
+        .when(value.isNull(), _issue("cof", INVALID_COF, "warning"))
+        .when(value < 0, _issue("cof", NEGATIVE_COF, "error"))
+        .when(value > 1.5, _issue("cof", HIGH_COF, "warning"))
     )
 
 
@@ -98,13 +104,13 @@ def _has_unit(c: Column) -> Column:
 def load_issue(c: Column) -> Column:
     return (
         F.when(c.isNull() | (c == ""), None)
-        .when(~_has_unit(c), _issue("load", "Load value must include unit (e.g., 5 N, 100 mN)", "warning"))
-        .when(united_newtons(c).isNull(), _issue("load", "Unsupported unit for load", "warning"))
+        .when(~_has_unit(c), _issue("load", LOAD_UNIT, "warning"))
+        .when(united_newtons(c).isNull(), _issue("load", LOAD_UNSUPPORTED, "warning"))
     )
 
 
 def force_issue(c: Column) -> Column:
-    return F.when(c.isNull() | (c == ""), None).when(~_has_unit(c), _issue("friction_force", "Force value must include unit (e.g., 5 N, 100 mN)", "warning"))
+    return F.when(c.isNull() | (c == ""), None).when(~_has_unit(c), _issue("friction_force", FORCE_UNIT, "warning"))
 
 
 def validation(cof: Column, load: Column, force: Column, status: Column, strict: bool = False) -> Column:
