@@ -9,7 +9,7 @@ buckets of their own, so that a change looks only into the buckets of the values
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Collection, Iterable, Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,8 @@ from pyspark.sql.types import IntegerType, StructType
 
 #: Column that names a row's bucket in the directories; schemas must not have it.
 BUCKET = "hash_bucket"
+#: So many keys may be broadcast if Spark finds them small; more meet the rows by a shuffle, as their files' size says little of them.
+FEW = 100_000
 _VERSION = "part string, directory string, buckets array<int>"
 
 
@@ -31,6 +33,11 @@ class Entry(NamedTuple):
     buckets: tuple[int, ...]
 
 
+def _meeting(keys: DataFrame, numbers: Mapping[int, int]) -> DataFrame:
+    """``keys``, of which there are so many by bucket, as rows are joined with them."""
+    return keys.hint("merge") if sum(numbers.values()) > FEW else keys
+
+
 class SnapshotTable:
     """A table below one path, which any file system of Spark's may hold if its rename is atomic.
 
@@ -94,7 +101,7 @@ class SnapshotTable:
 
     # Reading
 
-    def _paths(self, entries: list[Entry], part: str, only: set[int] | None = None, root: str | None = None) -> list[str]:
+    def _paths(self, entries: list[Entry], part: str, only: Collection[int] | None = None, root: str | None = None) -> list[str]:
         return [f"{self.path}/{root or part}/{e.directory}/{BUCKET}={b}" for e in entries if e.part == part for b in e.buckets if only is None or b in only]
 
     def _read(self, paths: list[str], schema: StructType) -> DataFrame:
@@ -109,14 +116,16 @@ class SnapshotTable:
     def rows_of(self, keys: DataFrame, version: int | None = None) -> DataFrame:
         """The rows whose key is in ``keys``; only their buckets are read."""
         entries = self._entries(self.version() if version is None else version)
-        return self._read(self._paths(entries, "data", self._numbers(keys.select(F.col(self.key).cast(self.key_type).alias("k")), "k")), self.schema).join(keys.select(self.key).distinct(), self.key, "left_semi")
+        numbers = self._numbers(keys.select(F.col(self.key).cast(self.key_type).alias("k")), "k")
+        return self._read(self._paths(entries, "data", numbers), self.schema).join(_meeting(keys.select(self.key).distinct(), numbers), self.key, "left_semi")
 
     def known(self, name: str, values: DataFrame, version: int | None = None) -> DataFrame:
         """(value, key): which of the ``values`` (column value, text) of a unique column are there, and with what key; only the values'
         buckets are read."""
         entries = self._entries(self.version() if version is None else version)
         part = f"unique-{name}"
-        return self._read(self._paths(entries, part, self._numbers(values, "value")), self._index_schema()).join(values.select("value").distinct(), "value", "left_semi")
+        numbers = self._numbers(values, "value")
+        return self._read(self._paths(entries, part, numbers), self._index_schema()).join(_meeting(values.select("value").distinct(), numbers), "value", "left_semi")
 
     def summaries(self, version: int | None = None) -> DataFrame:
         """Rows of the summaries of all live buckets, still to be merged."""
@@ -127,8 +136,9 @@ class SnapshotTable:
     def _bucket(self, column: str) -> Column:
         return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(self.buckets)).cast("int")
 
-    def _numbers(self, df: DataFrame, column: str) -> set[int]:
-        return {r[0] for r in df.select(self._bucket(column)).distinct().collect()}  # at most as many as there are buckets
+    def _numbers(self, df: DataFrame, column: str) -> dict[int, int]:
+        """The buckets of the values, with how many rows each has; at most as many as there are buckets."""
+        return dict(df.groupBy(self._bucket(column).alias("b")).agg(F.count("*").alias("n")).collect())
 
     def _save(self, df: DataFrame, part: str, directory: str, column: str) -> Entry:
         """Written in buckets; a bucket with many rows is split among tasks, small ones share one."""
@@ -160,7 +170,7 @@ class SnapshotTable:
         if gone is not None:
             gone = gone.select(F.col(self.key).cast(self.key_type).alias(self.key)).distinct()
             touched = self._numbers(gone, self.key)
-            old = self._read(self._paths(entries, "data", touched), self.schema)
+            old, gone = self._read(self._paths(entries, "data", touched), self.schema), _meeting(gone, touched)
             after = self._without(after, "data", touched)
             after.append(self._save_data(old.join(gone, self.key, "left_anti"), f"{directory}-kept"))
         if new is not None:
@@ -171,7 +181,7 @@ class SnapshotTable:
             after = self._index(name, entries, after, directory, added, None if old is None else old.join(gone, self.key, "left_semi"))
         return self._publish(after, base, draft)
 
-    def _without(self, entries: list[Entry], part: str, numbers: set[int]) -> list[Entry]:
+    def _without(self, entries: list[Entry], part: str, numbers: Collection[int]) -> list[Entry]:
         return [e._replace(buckets=tuple(b for b in e.buckets if b not in numbers)) if e.part == part else e for e in entries]
 
     def _index(self, name: str, entries: list[Entry], after: list[Entry], directory: str, added: DataFrame | None, removed: DataFrame | None) -> list[Entry]:
@@ -180,14 +190,15 @@ class SnapshotTable:
         if removed is not None:
             lost = self._values(removed, name).select("value")
             touched = self._numbers(lost, "value")
-            kept = self._read(self._paths(entries, part, touched), schema).join(lost, "value", "left_anti")
+            kept = self._read(self._paths(entries, part, touched), schema).join(_meeting(lost, touched), "value", "left_anti")
             after = self._without(after, part, touched)
             if touched:
                 after = [*after, self._save(kept.select("value", "key"), part, f"{directory}-kept", "value")]
         if added is not None:
             fresh = self._values(added, name)
-            there = self._read(self._paths(after, part, self._numbers(fresh, "value")), schema)
-            again = fresh.groupBy("value").count().where("count > 1").select("value").unionByName(there.join(fresh, "value", "left_semi").select("value")).first()
+            numbers = self._numbers(fresh, "value")
+            there = self._read(self._paths(after, part, numbers), schema)
+            again = fresh.groupBy("value").count().where("count > 1").select("value").unionByName(there.join(_meeting(fresh, numbers), "value", "left_semi").select("value")).first()
             if again:
                 raise ValueError(f"{name} is not unique: {again[0]}")
             after = [*after, self._save(fresh, part, f"{directory}-new", "value")]

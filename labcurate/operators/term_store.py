@@ -2,6 +2,9 @@
 
 Aliases are found by equality.  The fuzzy stage asks which aliases contain a text or are contained in it; whichever is shorter shares
 all its trigrams with the other, so one trigram of each text, and one of each alias, the rarest, lead to all candidates.
+
+Nothing here is broadcast by Spark's own estimate: that is made from the sizes of compressed files and does not know how many trigrams
+come from a row.
 """
 
 from __future__ import annotations
@@ -53,10 +56,10 @@ class TermStore:
         while True:
             base = self._table.version()
             known = self._table.rows_of(given, base)
-            lost = given.join(known, "term", "left_anti").first()
+            lost = given.join(known.hint("merge"), "term", "left_anti").first()
             if lost:
                 raise ValueError(f"unknown term: {lost.term}")
-            new = known.join(given, "term").withColumn("aliases", F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), "more")))
+            new = known.join(given.hint("merge"), "term").withColumn("aliases", F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), "more")))
             try:
                 self._table.change(new=new, gone=given, base=base)
                 return
@@ -77,20 +80,22 @@ class TermStore:
         found = found.unionByName(_by_pattern(texts, terms).withColumn("__stage", F.lit(2)))
         found = found.unionByName((_without_brackets if brackets else _fuzzy)(texts, terms).withColumn("__stage", F.lit(3)))
         best = found.groupBy("__text").agg(F.min_by("__term", "__stage").alias("__term"))
-        names = values.join(best, "__text", "left").select("__raw", F.coalesce("__term", "__raw").alias("__standard"), "__n")
+        names = values.join(best.hint("merge"), "__text", "left").select("__raw", F.coalesce("__term", "__raw").alias("__standard"), "__n")
         named = join_counted(df.withColumn("__raw", F.col(column)), names, "__raw", "__n")
         return named.withColumn(out, F.col("__standard")).drop("__raw", "__standard", "__n")
 
 
 def _aliases(terms: DataFrame) -> DataFrame:
-    return terms.select("ord", "term", F.posexplode("aliases").alias("at", "alias"))
+    """Each alias once, with the first term that has it and its place."""
+    every = terms.select("ord", "term", F.posexplode("aliases").alias("at", "alias")).withColumn("place", F.struct("ord", "at"))
+    return every.groupBy("alias").agg(F.min("place").alias("place"), F.min_by("term", "place").alias("term"))
 
 
 def _by_alias(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """A later term's alias replaces an earlier one's."""
     every = terms.select("ord", "term", F.explode(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
     index = every.groupBy(F.lower("alias").alias("__low")).agg(F.max_by("term", "ord").alias("__term"))
-    return texts.join(index, "__low").select("__text", "__term")
+    return texts.join(index.hint("merge"), "__low").select("__text", "__term")
 
 
 def _by_pattern(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -109,24 +114,24 @@ def _rarest(df: DataFrame, column: str, other: DataFrame, keep: list[str]) -> Da
     """Each row once with that of its trigrams which ``other`` (gram) holds least often; rows with one that it never holds go."""
     grams = df.select(*keep, F.explode(_grams(F.col(column))).alias("gram"))
     counts = other.groupBy("gram").agg(F.count("*").alias("__c"))
-    some = grams.join(counts, "gram", "left").groupBy(*keep).agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), "gram")).alias("m"))
+    some = grams.join(counts.hint("merge"), "gram", "left").groupBy(*keep).agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), "gram")).alias("m"))
     return some.where("m.c > 0").select(*keep, F.col("m.gram").alias("gram"))
 
 
 def _fuzzy(texts: DataFrame, terms: DataFrame) -> DataFrame:
     long = texts.where(F.length("__low") >= GRAM)
     aliases = _aliases(terms).where(F.length("alias") >= GRAM)
-    alias_grams = aliases.select("ord", "term", "at", "alias", F.explode(_grams(F.col("alias"))).alias("gram"))
+    alias_grams = aliases.select("alias", F.explode(_grams(F.col("alias"))).alias("gram"))
     text_grams = long.select("__low", "__text", F.explode(_grams(F.col("__low"))).alias("gram"))
-    held = _rarest(long, "__low", alias_grams, ["__low", "__text"]).join(alias_grams, "gram").where(F.contains("alias", F.col("__low")))
-    holds = _rarest(aliases, "alias", text_grams, ["ord", "term", "at", "alias"]).join(text_grams, "gram").where(F.contains("__low", F.col("alias")))
+    held = _rarest(long, "__low", alias_grams, ["__low", "__text"]).join(alias_grams.hint("merge"), "gram").where(F.contains("alias", F.col("__low")))
+    holds = _rarest(aliases, "alias", text_grams, ["alias"]).join(text_grams.hint("merge"), "gram").where(F.contains("__low", F.col("alias")))
     letters = lambda c: F.array_remove(F.array_distinct(F.split(c, "")), "")
-    columns = ["__low", "__text", "ord", "term", "at", "alias"]
+    columns = ["__low", "__text", "alias"]
     near = held.select(columns).unionByName(holds.select(columns)).where(F.size(F.array_intersect(letters(F.col("__low")), letters(F.col("alias")))) >= F.least(F.length("__low"), F.length("alias")) * 0.7)
-    return near.groupBy("__text").agg(F.min_by("term", F.struct("ord", "at")).alias("__term"))
+    return near.join(aliases.hint("merge"), "alias").groupBy("__text").agg(F.min_by("term", "place").alias("__term"))
 
 
 def _without_brackets(texts: DataFrame, terms: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(F.lower(c), r"[ \[\]]", "")
     index = terms.groupBy(bare("term").alias("__bare")).agg(F.min_by("term", "ord").alias("__term"))
-    return texts.withColumn("__bare", bare("__low")).join(index, "__bare").select("__text", "__term")
+    return texts.withColumn("__bare", bare("__low")).join(index.hint("merge"), "__bare").select("__text", "__term")

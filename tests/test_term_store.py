@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labcurate.operators import joins
 from labcurate.operators import terms as T
 from labcurate.operators.dictionaries import LIQUIDS, SURFACES
-from labcurate.operators.term_store import TermStore
+from labcurate.operators.term_store import TermStore, _aliases, _fuzzy
 
 TEXTS = [None, "", " ", "Mica", " MICA ", "muscovite mica sheet", "sio2", "silica glass", "SiO2/Si(100)", "graphite (HOPG)", "hop", "gra", "xx", "steel ball", "[BMIM][PF6]", "bmim pf6", "1-butyl-3-methylimidazolium hexafluorophosphate", "emim tfsi", "[EMIM] [TFSI]", "water", "oil-phase", "au(111) surface", "Gold", "diamond-like carbon", "unknown"]
 
@@ -54,3 +54,16 @@ def test_a_hundred_thousand_terms(spark, tmp_path):
     assert got.count() == 600 and got.where("s <> want").collect() == []
     old = store.standard(texts(spark), "x", "s").withColumn("chain", T.surface(F.col("x")))
     assert old.where("NOT s <=> chain AND s NOT LIKE 'compound%'").count() == 0
+
+
+def test_many_terms_with_one_alias(spark, tmp_path):
+    """An alias that many terms share counts as the first one's, goes through the trigrams once, and no trigrams are broadcast."""
+    store = TermStore(spark, str(tmp_path / "t"), buckets=2)
+    rows = spark.range(2000).select(F.col("id").alias("ord"), F.concat(F.lit("t"), "id").alias("term"), F.lit("").alias("chinese_name"), F.lit("").alias("formula"), F.array(F.concat(F.lit("hot bolt"), F.col("id") % 2)).alias("aliases"), F.array().cast("array<string>").alias("patterns"))
+    store.register(rows)
+    asked = spark.createDataFrame([("a hot bolt0",), ("ot bolt1",), ("hot bolt1",), ("no. 7",)], "x string")
+    got = store.standard(asked, "x", "s")
+    assert {r.x: r.s for r in got.collect()} == {"a hot bolt0": "t0", "ot bolt1": "t1", "hot bolt1": "t1999", "no. 7": "no. 7"}
+    assert _aliases(store.terms()).count() == 2
+    texts = asked.select(F.col("x").alias("__low"), F.col("x").alias("__text"))
+    assert "Broadcast" not in _fuzzy(texts, store.terms())._jdf.queryExecution().executedPlan().toString()
