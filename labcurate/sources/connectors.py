@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as NoResult
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -95,8 +97,50 @@ def called(keys: DataFrame, key: str, fetch: Fetch, answer: str = "answer") -> D
     return answered(keys.select(key).where(F.col(key) != "").distinct(), key, fetch, answer).drop("error")
 
 
-def answered(requests: DataFrame, request: str, fetch: Fetch, answer: str = "answer", at_once: int = AT_ONCE) -> DataFrame:
-    """All columns of ``requests``, the answer to each row's request, and error: what went wrong with a row stays with it.
+def _under_way(one: Callable[[str], tuple], keys: list, at_once: int, seconds: float | None) -> list[tuple]:
+    """What ``one`` makes of each key, in order, by at most ``at_once`` threads that take one key after the other.
+
+    A call that takes longer than ``seconds`` is left to end by its client's own limit: its key gets an error, its thread takes no more,
+    and a new one stands in.
+    """
+    made, todo, begun = [None] * len(keys), deque(range(len(keys))), {}
+
+    def work() -> None:
+        while True:
+            try:
+                i = todo.popleft()
+            except IndexError:
+                return
+            begun[i] = time.monotonic(), threading.current_thread()
+            out = one(keys[i])
+            if begun.pop(i, None) is None:  # given up; of the two that take it out of begun one does
+                return
+            made[i] = out
+
+    def start() -> threading.Thread:
+        t = threading.Thread(target=work, daemon=True)
+        t.start()
+        return t
+
+    threads = [start() for _ in range(min(at_once, len(keys)))]
+    while threads:
+        now = time.monotonic()
+        since = min((t for t, _ in begun.copy().values()), default=now)
+        threads[-1].join(None if seconds is None else max(0.0, since + seconds - now))
+        if not threads[-1].is_alive():
+            threads.pop()
+        elif seconds is not None:
+            for i, (since, thread) in begun.copy().items():
+                if time.monotonic() - since >= seconds and begun.pop(i, None):
+                    made[i] = None, f"no answer after {seconds:g} s"
+                    threads.remove(thread)
+                    threads.insert(0, start())
+    return made
+
+
+def answered(requests: DataFrame, request: str, fetch: Fetch, answer: str = "answer", at_once: int = AT_ONCE, seconds: float | None = None) -> DataFrame:
+    """All columns of ``requests``, the answer to each row's request, and error: what went wrong with a row stays with it, and so does that
+    no answer came within ``seconds``.
 
     A task has up to ``at_once`` requests under way; each answer goes to its row, in whatever order they come.  How many are under way
     in all is that times the running tasks, which repartitioning bounds.
@@ -109,14 +153,14 @@ def answered(requests: DataFrame, request: str, fetch: Fetch, answer: str = "ans
         except Exception as e:  # whatever a client library raises concerns this row only
             return None, str(e) or type(e).__name__
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(at_once) as pool:
-            for frame in frames:
-                made = list(pool.map(one, frame.iloc[:, at]))
-                yield frame.assign(**{answer: pd.Series([a for a, _ in made], frame.index, object), "error": pd.Series([e for _, e in made], frame.index, object)})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = _under_way(one, b.column(at).to_pylist(), at_once, seconds)
+            new = [pa.array([m[i] for m in made], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, answer, "error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.mapInPandas(run, f"{schema}, `{answer}` string, error string")
+    return requests.mapInArrow(run, f"{schema}, `{answer}` string, error string")
 
 
 class AnswerCache:
@@ -167,15 +211,13 @@ def head_messages(prompt: str, text: Column, image: Column, models: Models, syst
 
 def first_pass(requests: DataFrame, ask: Ask, models: Models) -> DataFrame:
     """file_hash, answer: bibliographic data for each document (column request), an empty object where none came in time."""
-    one = with_limit(lambda request: ask(models.text or models.first, request), HEAD_SECONDS)
-    out = answered(requests.select("file_hash", "request"), "request", one, at_once=models.at_once)
+    out = answered(requests.select("file_hash", "request"), "request", lambda request: ask(models.text or models.first, request), at_once=models.at_once, seconds=HEAD_SECONDS)
     return out.select("file_hash", F.coalesce("answer", F.lit("{}")).alias("answer"))
 
 
 def extracted(requests: DataFrame, ask: Ask, models: Models) -> DataFrame:
     """file_hash, batch_idx, answer, error: each batch's request (column request) is answered for itself; an error leaves an empty list."""
-    fetch = with_limit(with_fallback(ask, models), models.seconds)
-    out = answered(requests.select("file_hash", "batch_idx", "request"), "request", fetch, at_once=models.at_once)
+    out = answered(requests.select("file_hash", "batch_idx", "request"), "request", with_fallback(ask, models), at_once=models.at_once, seconds=models.seconds)
     return out.select("file_hash", "batch_idx", F.coalesce("answer", F.lit("[]")).alias("answer"), "error")
 
 

@@ -1,6 +1,7 @@
 """Calls to outside services: several at a time and in order, limits, fallbacks, answers that are kept, both passes of an extraction."""
 
 import json
+import threading
 import time
 
 from pyspark.sql import functions as F
@@ -46,6 +47,24 @@ def test_limits_and_refusals():
             assert str(e) == other
 
 
+def test_threads_serve_many_calls_and_late_ones_are_given_up(spark):
+    rows = spark.range(300).selectExpr("'f' AS file_hash", "cast(id AS int) AS batch_idx", "cast(id AS string) AS request").coalesce(1)
+    got = N.extracted(rows, lambda model, request: f"{request} {threading.current_thread().name}", N.Models("first")).collect()
+    assert [(r.batch_idx, r.answer.split()[0], r.error) for r in got] == [(i, str(i), None) for i in range(300)]
+    assert len({r.answer.split(" ", 1)[1] for r in got}) <= N.AT_ONCE  # not a thread for each call
+
+    def ask(model, request):
+        if request in ("0", "1", "5"):
+            time.sleep(20)
+        return request
+
+    began = time.time()
+    got = N.extracted(rows.where("batch_idx < 8"), ask, N.Models("first", seconds=0.5, at_once=2)).collect()
+    late = "no answer after 0.5 s"
+    assert [(r.answer, r.error) for r in got] == [("[]", late) if i in (0, 1, 5) else (str(i), None) for i in range(8)]
+    assert time.time() - began < 15
+
+
 def test_answers_are_kept_and_asked_for_once(spark, tmp_path):
     log = tmp_path / "calls"
     log.mkdir()
