@@ -121,9 +121,8 @@ def parse_and_normalize(c: Column, field: str) -> Column:
 
 
 def is_numeric_entry(c: Column) -> Column:
-    """A short entry with a digit and no qualitative word; null is not."""
-    text = strip(c)
-    return F.coalesce((c != "") & (F.length(text) <= 20) & ~any_of(F.lower(text), QUALITATIVE) & text.rlike(r"(?U)\d"), F.lit(False))
+    """A short entry with a digit and no qualitative word; null is not.  The entry is bound, as a filter would compute it for each use."""
+    return F.coalesce(bound(strip(c), lambda text: (F.length(text) <= 20) & text.rlike(r"(?U)\d") & ~text.rlike("(?i)" + "|".join(QUALITATIVE))), F.lit(False))
 
 
 def sanitize_numeric(c: Column) -> Column:

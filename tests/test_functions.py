@@ -42,6 +42,14 @@ def test_golden(spark, n):
     assert each(spark, f, list(rows)) == list(rows.values())
 
 
+def test_a_filter_computes_an_entry_once(spark):
+    odd = {" 5 N\u3000": True, "\u0663": True, "HIGH 1": False, "H\u0130GH 1": True, "Varies 2": False, " " * 30 + "1": True, "\n": False, "x\n1": True, "\U0001F600" * 19 + "1": True, "\U0001F600" * 20 + "1": False}
+    assert each(spark, P.is_numeric_entry, list(odd)) == list(odd.values())
+    rows = spark.range(9).withColumn("c", F.concat(F.col("id"), F.lit(" nN"))).where(P.is_numeric_entry(F.col("c")))
+    assert rows.count() == 9
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
 def test_confidence_and_missing_cof(spark):
     none = F.lit(None).cast("string")
     row = spark.range(1).select(
