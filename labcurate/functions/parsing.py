@@ -21,9 +21,13 @@ QUALITATIVE = ("increase", "decrease", "depend", "versus", "function", "correla"
 OPERATORS = {"<": "LT", ">": "GT", "≤": "LE", "<=": "LE", "≥": "GE", ">=": "GE"}
 
 
+#: All that (?U)\s matches.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -103,12 +107,11 @@ def strict_newtons(value: Column, unit: Column) -> Column:
 
 def cof(c: Column) -> Column:
     """struct<value, operator>; no or an approximate sign, and text that cannot be read, mean EQ."""
-    text = strip(c)
     p = rf"^(<=|>=|[<>≤≥~±≈])?\s*({_NUMBER})"
-    sign, value = _find(text, p, 1), _find(text, p, 2).try_cast("double")
     pairs = [F.lit(x) for kv in OPERATORS.items() for x in kv]
-    op = F.when(value.isNotNull(), F.create_map(*pairs)[sign])
-    return F.struct(value.alias("value"), F.coalesce(op, F.lit("EQ")).alias("operator"))
+    found = lambda text: F.struct(_find(text, p, 1).alias("sign"), _find(text, p, 2).try_cast("double").alias("value"))
+    op = lambda f: F.when(f["value"].isNotNull(), F.create_map(*pairs)[f["sign"]])
+    return bound(bound(strip(c), found), lambda f: F.struct(f["value"].alias("value"), F.coalesce(op(f), F.lit("EQ")).alias("operator")))
 
 
 def parse_and_normalize(c: Column, field: str) -> Column:

@@ -29,7 +29,7 @@ def confidence(material: Column, lubricant: Column, cof_raw: Column, cof_value:
     value = F.coalesce(F.when(cof_value != 0, cof_value), F.regexp_extract(cof_raw, r"[\d.]+", 0).try_cast("double"), cof_value)
     lost = (
         _points(missing(material), 0.2) + _points(missing(lubricant), 0.2) + _points(doubtful, 0.1) + _points(missing(load), 0.05)
-        + _points(missing(speed), 0.05) + _points(missing(temperature), 0.05) + _points((value > 1.5) | (value < 0), 0.2)
+        + _points(missing(speed), 0.05) + _points(missing(temperature), 0.05) + _points(P.bound(value, lambda v: (v > 1.5) | (v < 0)), 0.2)
     )
     return F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1.0 - lost)), 2)
 

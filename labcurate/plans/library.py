@@ -51,18 +51,22 @@ def _filled_to(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def typed(raw: DataFrame) -> DataFrame:
-    """Typed columns, operators and confidence from a record's texts."""
-    cof = P.cof(F.col("cof"))
-    return raw.withColumns({
+    """Typed columns, operators and confidence from a record's texts.
+
+    Each long chain is bound: all in one generated method would be more than the JVM compiles.
+    """
+    read = raw.withColumn("__cof", P.bound(F.col("cof"), P.cof))
+    scored = F.struct("material_name", "lubricant", "cof", "load", "speed", "temperature")
+    return read.withColumns({
         "material_name": F.coalesce(P.blank_to_null(F.col("material_name")), F.lit("Unknown Material")),
         "lubricant": F.coalesce(P.blank_to_null(F.col("lubricant")), F.lit("Unknown IL")),
-        "cof_raw": F.col("cof"), "cof_value": cof["value"], "cof_operator": cof["operator"],
-        "load_raw": F.col("load"), "load_n": P.force_newtons(F.col("load")),
-        "speed_raw": F.col("speed"), "speed_mps": P.speed_mps(F.col("speed")),
-        "temperature_raw": F.col("temperature"), "temperature_k": P.kelvin(P.temperature_text(F.col("temperature"))),
-        "confidence": S.confidence(F.col("material_name"), F.col("lubricant"), F.col("cof"), F.lit(None).cast("double"), F.col("load"), F.col("speed"), F.col("temperature")),
+        "cof_raw": F.col("cof"), "cof_value": F.col("__cof.value"), "cof_operator": F.col("__cof.operator"),
+        "load_raw": F.col("load"), "load_n": P.bound(F.col("load"), P.force_newtons),
+        "speed_raw": F.col("speed"), "speed_mps": P.bound(F.col("speed"), P.speed_mps),
+        "temperature_raw": F.col("temperature"), "temperature_k": P.bound(F.col("temperature"), lambda c: P.kelvin(P.temperature_text(c))),
+        "confidence": P.bound(scored, lambda r: S.confidence(r["material_name"], r["lubricant"], r["cof"], F.lit(None).cast("double"), r["load"], r["speed"], r["temperature"])),
         "extracted_at": F.current_timestamp(),
-    })
+    }).drop("__cof")
 
 
 class _Again(NamedTuple):

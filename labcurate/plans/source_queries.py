@@ -382,11 +382,12 @@ def library_facets(s: SparkSession, d: str) -> DataFrame:
     """Counts by facet that are kept up with each commit: customers as documents are stored, some replaced by a third of their orders,
     and some deleted."""
     lib, schema = Library(s, _shared(s)), payload_schema()
-    fields = {"material_name": "o_orderstatus", "lubricant": "o_orderpriority", "cof": "'0.1'"}
-    record = F.struct(*[F.expr(fields.get(f.name, "cast(null as string)")).alias(f.name) for f in schema["records"].dataType.elementType.fields])
+    fields = {"material_name": "o.o_orderstatus", "lubricant": "o.o_orderpriority", "cof": "'0.1'"}
+    record = ", ".join(f"'{f.name}', {fields.get(f.name, 'cast(null as string)')}" for f in schema["records"].dataType.elementType.fields)
 
     def payload(orders: DataFrame, docs: DataFrame) -> DataFrame:
-        lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(record).alias("records"))
+        lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.struct("o_orderstatus", "o_orderpriority")).alias("orders"))  # few columns are moved
+        lists = lists.select("c_custkey", F.expr(f"transform(orders, o -> named_struct({record}))").alias("records"))
         rows = docs.join(lists, "c_custkey", "left").withColumns({"doi": F.concat(F.lit("10.1/"), F.col("c_custkey")), "records": F.coalesce("records", F.array().cast(schema["records"].dataType))})
         return rows.select(*[F.col(f.name) if f.name in ("doi", "records") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
