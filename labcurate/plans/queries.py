@@ -309,11 +309,12 @@ def library_sync(s: SparkSession, d: str) -> DataFrame:
     """Two synchronisations and a deletion: customers as documents, orders as measurements; even documents send half of theirs again."""
     lib = Library(s, _shared(s))
     schema = payload_schema()
-    fields = {"cof": "CASE o_orderkey % 3 WHEN 0 THEN '0.1' WHEN 1 THEN '< 0.05' END", "evidence": "cast(o_orderkey as string)"}
-    record = F.struct(*[F.expr(fields.get(f.name, "cast(null as string)")).alias(f.name) for f in schema["records"].dataType.elementType.fields])
+    fields = {"cof": "CASE o.o_orderkey % 3 WHEN 0 THEN '0.1' WHEN 1 THEN '< 0.05' END", "evidence": "cast(o.o_orderkey as string)"}
+    record = ", ".join(f"'{f.name}', {fields.get(f.name, 'cast(null as string)')}" for f in schema["records"].dataType.elementType.fields)
 
     def payload(orders: DataFrame, docs: DataFrame) -> DataFrame:
-        lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(record).alias("records"))
+        lists = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.struct("o_orderkey")).alias("orders"))  # few columns are moved
+        lists = lists.select("c_custkey", F.expr(f"transform(orders, o -> named_struct({record}))").alias("records"))
         rows = docs.join(lists, "c_custkey", "left").withColumns({"doi": F.concat(F.lit("doi:10.1/"), F.col("c_custkey")), "title": F.col("c_name"), "records": F.coalesce("records", F.array().cast(schema["records"].dataType))})
         return rows.select(*[F.col(f.name) if f.name in ("doi", "title", "records") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
